@@ -6,16 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing
+from ..ship import ship
+from . import exact_dedup, mixing, packing, tokens
 from .runtime import table
 
 #: Rows of one Arrow batch; texts may be long, so fewer than Spark's own 10,000.
 ARROW_ROWS = 1000
 
 
+def prepare(spark: SparkSession) -> None:
+    """Session settings that the operators count on."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def _over(name: str, run: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        prepare(spark)
         return run(table(spark, sf_dir, name))
 
     return query
@@ -24,6 +31,7 @@ def _over(name: str, run: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSe
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_exact_dedup": _over("documents", exact_dedup.exact_dedup),
+        "op6_packing": _over("documents", lambda docs: packing.packing(docs, tokenizer=tokens.default_path())),
         "op9_source_mixing": _over("documents", mixing.source_mixing),
     }
 
