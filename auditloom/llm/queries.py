@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..ship import ship
-from . import exact_dedup, mixing, packing, tokens
+from . import exact_dedup, html_blocks, mixing, packing, tokens, warc
 from .runtime import table
 
 #: Rows of one Arrow batch; texts may be long, so fewer than Spark's own 10,000.
@@ -30,7 +30,9 @@ def _over(name: str, run: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSe
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_warc": _over("pages", warc.warc),
         "op4_exact_dedup": _over("documents", exact_dedup.exact_dedup),
+        "op5_html_extraction": _over("pages", html_blocks.extract),
         "op6_packing": _over("documents", lambda docs: packing.packing(docs, tokenizer=tokens.default_path())),
         "op9_source_mixing": _over("documents", mixing.source_mixing),
     }
@@ -38,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_warc": warc.ORACLE_SQL,
         "op4_exact_dedup": exact_dedup.ORACLE_SQL,
         "op9_source_mixing": mixing.ORACLE_SQL,
     }
