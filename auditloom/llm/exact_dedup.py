@@ -87,7 +87,8 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         known = materialize(merged.unionByName(apart), "snapshot")
     several = materialize(known.where("n_rows > 1").select("digest", "last_id"), "several")
 
-    members = Stored(read.join(several, "digest").select("doc_id", "digest", "last_id", "text"), "members")
+    # the hint keeps one plan at every size: texts are always dealt out by digest
+    members = Stored(read.join(several.hint("merge"), "digest").select("doc_id", "digest", "last_id", "text"), "members")
     stays = members.df.where(F.col("doc_id").eqNullSafe(F.col("last_id"))).groupBy("digest").agg(F.min("text").alias("stay_text"))
     same = F.col("text") == F.col("stay_text")
     checked = materialize(members.df.join(stays, "digest").select("doc_id", "digest", F.when(~same, F.col("text")).alias("variant")), "checked")
