@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..ship import ship
-from . import exact_dedup, html_blocks, mixing, packing, tokens, warc
+from . import exact_dedup, html_blocks, minhash, mixing, packing, quality, token_counts, tokens, warc
 from .runtime import table
 
 #: Rows of one Arrow batch; texts may be long, so fewer than Spark's own 10,000.
@@ -28,12 +28,20 @@ def _over(name: str, run: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSe
     return query
 
 
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_minhash_near_dedup": _over("documents", minhash.near_duplicates),
         "op3_warc": _over("pages", warc.warc),
         "op4_exact_dedup": _over("documents", exact_dedup.exact_dedup),
         "op5_html_extraction": _over("pages", html_blocks.extract),
         "op6_packing": _over("documents", lambda docs: packing.packing(docs, tokenizer=tokens.default_path())),
+        "op7_quality_classifier": quality_classifier,
+        "op8_token_counts": _over("documents", lambda docs: token_counts.token_counts(docs, tokenizer=tokens.default_path())),
         "op9_source_mixing": _over("documents", mixing.source_mixing),
     }
 
