@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..ship import ship
-from . import exact_dedup, html_blocks, minhash, mixing, packing, quality, token_counts, tokens, warc
+from . import exact_dedup, html_blocks, licenses, minhash, mixing, packing, quality, token_counts, tokens, warc
 from .runtime import table
 
 #: Rows of one Arrow batch; texts may be long, so fewer than Spark's own 10,000.
@@ -35,6 +35,7 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": _over("documents", licenses.license_scan),
         "op2_minhash_near_dedup": _over("documents", minhash.near_duplicates),
         "op3_warc": _over("pages", warc.warc),
         "op4_exact_dedup": _over("documents", exact_dedup.exact_dedup),
