@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..ship import ship
-from . import exact_dedup, html_blocks, licenses, minhash, mixing, packing, quality, token_counts, tokens, warc
+from . import ann, exact_dedup, html_blocks, licenses, minhash, mixing, packing, quality, token_counts, tokens, warc
 from .runtime import table
 
 #: Rows of one Arrow batch; texts may be long, so fewer than Spark's own 10,000.
@@ -44,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality_classifier": quality_classifier,
         "op8_token_counts": _over("documents", lambda docs: token_counts.token_counts(docs, tokenizer=tokens.default_path())),
         "op9_source_mixing": _over("documents", mixing.source_mixing),
+        "op10_nearest_neighbours": _over("embeddings", ann.nearest_neighbours),
     }
 
 
