@@ -110,7 +110,9 @@ def external_flag(t: Tables) -> DataFrame:
 
 def _element_checks(name: str, column: str, key: str, severities: tuple[str, str, str, str], shortest: int, longest: int) -> None:
     """Missing, duplicate, multiple and ill-sized values of one array column."""
-    first = F.get(column, 0)
+
+    def first() -> Column:
+        return F.get(column, 0)
 
     @_check(f"meta.{name}.missing", severities[0], f"Pages without {name}")
     def missing(t: Tables) -> DataFrame:
@@ -118,7 +120,7 @@ def _element_checks(name: str, column: str, key: str, severities: tuple[str, str
 
     @_check(f"meta.{name}.duplicate", severities[1], f"Pages that share their {name}")
     def duplicate(t: Tables) -> DataFrame:
-        return _shared(_ok(t), F.when(F.array_size(column) >= 1, first)).select("url", F.col("key").alias(key), "duplicateCount")
+        return _shared(_ok(t), F.when(F.array_size(column) >= 1, first())).select("url", F.col("key").alias(key), "duplicateCount")
 
     @_check(f"meta.{name}.multiple", severities[2], f"Pages with more than one {name}")
     def multiple(t: Tables) -> DataFrame:
@@ -126,7 +128,7 @@ def _element_checks(name: str, column: str, key: str, severities: tuple[str, str
 
     @_check(f"meta.{name}.template", severities[3], f"Pages whose {name} is shorter than {shortest} or longer than {longest} characters")
     def template(t: Tables) -> DataFrame:
-        rows = _ok(t).select("url", first.alias(key), F.char_length(first).cast("long").alias("length"))
+        rows = _ok(t).select("url", first().alias(key), F.char_length(first()).cast("long").alias("length"))
         advice = F.when(F.col("length") < shortest, "too-short").otherwise("too-long")
         return rows.where(~F.col("length").between(shortest, longest)).withColumn("recommendation", advice)
 

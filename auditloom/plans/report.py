@@ -19,7 +19,7 @@ SITE_WIDE = "(site-wide)"
 OTHER = "Other"
 
 _key = lambda name: F.get_json_object("detail", f"$.{name}")
-_tail = F.element_at(F.split("rule_id", r"\."), -1)
+_tail = lambda: F.element_at(F.split("rule_id", r"\."), -1)
 
 
 def text(name: str) -> Column:
@@ -57,7 +57,7 @@ class Sheet:
         """The sheet's rows; what has no column of its own is in ``details`` (JSON)."""
         extra = {"recommendation": self.advice()} if self.advice and all(k != "recommendation" for _, k, _ in self.columns) else {}
         if self.name == "Performance":
-            extra = {"metric": _tail}
+            extra = {"metric": _tail()}
         details = F.to_json(F.struct(*[v.alias(k) for k, v in sorted(extra.items())])) if extra else F.lit(None).cast("string")
         mine = findings.where(F.col("rule_id").isin(*self.rules))
         return mine.select("severity", F.coalesce("url", F.lit(SITE_WIDE)).alias("url"), *[make().alias(k) for _, k, make in self.columns], details.alias("details"))
@@ -73,16 +73,16 @@ def _by_rule(**words: str) -> Callable[[], Column]:
     def make() -> Column:
         out = F.lit(words["other"])
         for tail, advice in words.items():
-            out = F.when(_tail == tail.replace("_", "-"), advice).otherwise(out) if tail != "other" else out
+            out = F.when(_tail() == tail.replace("_", "-"), advice).otherwise(out) if tail != "other" else out
         return out
 
     return make
 
 
 def _element(sheet: str, name: str, key: str, header: str, advice: dict[str, str]) -> Sheet:
-    value = lambda: F.when(_tail == "multiple", joined(f"{key}s")).otherwise(text(key))
-    count = lambda: F.when(_tail == "duplicate", number("duplicateCount")).otherwise(number("count"))
-    return Sheet(sheet, tuple(f"meta.{name}.{k}" for k in ("missing", "duplicate", "multiple")), (("Issue", "issue", lambda: _tail), (header, key, value), ("Count", "count", count)), _by_rule(**advice))
+    value = lambda: F.when(_tail() == "multiple", joined(f"{key}s")).otherwise(text(key))
+    count = lambda: F.when(_tail() == "duplicate", number("duplicateCount")).otherwise(number("count"))
+    return Sheet(sheet, tuple(f"meta.{name}.{k}" for k in ("missing", "duplicate", "multiple")), (("Issue", "issue", _tail), (header, key, value), ("Count", "count", count)), _by_rule(**advice))
 
 
 _t, _n, _j = (lambda f: lambda name: (lambda: f(name)))(text), (lambda f: lambda name: (lambda: f(name)))(number), (lambda f: lambda name: (lambda: f(name)))(joined)
@@ -95,7 +95,7 @@ SHEETS = (
     ),
     Sheet(
         "Broken Links", ("links.broken-internal", "links.broken-external"),
-        (("Link href", "href", _t("href")), ("Target status", "targetStatusCode", _n("targetStatusCode")), ("Link type", "linkType", lambda: F.regexp_replace(_tail, "^broken-", ""))),
+        (("Link href", "href", _t("href")), ("Target status", "targetStatusCode", _n("targetStatusCode")), ("Link type", "linkType", lambda: F.regexp_replace(_tail(), "^broken-", ""))),
         _const("Remove or fix link"),
     ),
     Sheet("External Links", ("links.external-flag",), (("Link href", "href", _t("href")), ("rel", "rel", _j("rel")))),
@@ -105,7 +105,7 @@ SHEETS = (
     Sheet("Duplicate Pages", ("dupe.content",), (("Content hash", "contentHash", _t("contentHash")), ("Group size", "duplicateCount", _n("duplicateCount"))), _const("Canonicalize duplicates to one URL")),
     Sheet(
         "Indexation", ("index.canonical", "index.robots"),
-        (("Issue", "issue", lambda: F.when(_tail == "robots", "noindex/blocked").otherwise(text("issue"))), ("Canonical URL", "canonicalUrl", _t("canonicalUrl")), ("Robots reason", "reason", _j("reason"))),
+        (("Issue", "issue", lambda: F.when(_tail() == "robots", "noindex/blocked").otherwise(text("issue"))), ("Canonical URL", "canonicalUrl", _t("canonicalUrl")), ("Robots reason", "reason", _j("reason"))),
         _by_rule(robots="Remove the noindex/robots block if the page should rank", other="Set a self-referential canonical"),
     ),
     Sheet("URL Heuristics", ("index.url-heuristics",), (("Issues", "issues", _j("issues")),), _const("Use lowercase, hyphenated, short, param-free URLs")),
@@ -113,13 +113,13 @@ SHEETS = (
     Sheet("Hreflang", ("i18n.hreflang",), (("Lang", "lang", _t("lang")), ("href", "href", _t("href")), ("Issue", "issue", _j("issue"))), _const("Add reciprocal return tags and valid BCP-47 lang codes")),
     Sheet(
         "Images", ("image.alt-title", "image.broken"),
-        (("Image src", "src", _t("src")), ("Issue", "issue", lambda: F.when(_tail == "broken", F.concat(F.lit("broken ("), F.coalesce(text("statusCode"), F.lit("?")), F.lit(")"))).otherwise(text("altState"))),
+        (("Image src", "src", _t("src")), ("Issue", "issue", lambda: F.when(_tail() == "broken", F.concat(F.lit("broken ("), F.coalesce(text("statusCode"), F.lit("?")), F.lit(")"))).otherwise(text("altState"))),
          ("Status", "statusCode", _n("statusCode"))),
         _by_rule(broken="Fix or remove the broken image", other="Add descriptive alt text"),
     ),
     Sheet(
         "Mirrors", ("mirror.main-mirror", "mirror.trailing-slash"),
-        (("Issue", "issue", lambda: _tail), ("Variant / duplicate-of", "variant", lambda: F.when(_tail == "main-mirror", joined("variants")).otherwise(text("slashUrl"))), ("Mirror count", "mirrorCount", _n("mirrorCount"))),
+        (("Issue", "issue", _tail), ("Variant / duplicate-of", "variant", lambda: F.when(_tail() == "main-mirror", joined("variants")).otherwise(text("slashUrl"))), ("Mirror count", "mirrorCount", _n("mirrorCount"))),
         _by_rule(main_mirror="Redirect mirrors to one canonical origin", other="Redirect to a single trailing-slash form"),
     ),
     Sheet(
