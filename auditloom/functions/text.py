@@ -59,3 +59,16 @@ def humanize(key: Column) -> Column:
     """camelCase and snake_case keys as words with a capital."""
     words = F.lower(F.regexp_replace(F.regexp_replace(key, "([a-z0-9])([A-Z])", "$1 $2"), "[_-]+", " "))
     return F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 1_000_000))
+
+
+def first_details(detail: Column, most: int = 4) -> Column:
+    """The first entries of a JSON object as 'Key: value' joined by ' · '."""
+    names = F.slice(F.json_object_keys(detail), 1, most)
+    return F.array_join(F.transform(names, lambda k: F.concat(humanize(k), F.lit(": "), F.coalesce(F.element_at(F.from_json(detail, "map<string,string>"), k), F.lit("null")))), " · ")
+
+
+def seconds(duration: Column) -> Column:
+    """Seconds of 900, 900s, 15m, 2h or 30d; null for anything else."""
+    unit = F.lower(F.regexp_extract(duration, r"^\s*\d+\s*([smhdSMHD]?)\s*$", 1))
+    amount = F.nullif(F.regexp_extract(duration, r"^\s*(\d+)\s*[smhdSMHD]?\s*$", 1), F.lit("")).cast("long")
+    return amount * F.when(unit == "m", 60).when(unit == "h", 3600).when(unit == "d", 86400).otherwise(1)

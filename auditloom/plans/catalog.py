@@ -16,7 +16,7 @@ from ..operators.checks import REGISTRY
 from ..ship import ship
 from ..sources import demo, html, psi
 from ..sources.tables import Tables
-from . import engine, oracle, read_api, report
+from . import catalogue, engine, oracle, read_api, report
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -37,8 +37,24 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
+_KEPT: dict[tuple[str, str, str], Tables | DataFrame] = {}
+
+
+def _kept(what: str, spark: SparkSession, sf_dir: str, make: Callable[[], Tables | DataFrame]):
+    """Derived tables are shared by some eighty queries: persisted once per session and folder (lost blocks are recomputed)."""
+    key = (what, spark.sparkContext.applicationId, sf_dir)
+    if key not in _KEPT:
+        made = make()
+        _KEPT[key] = Tables(**{n: getattr(made, n).persist() for n in made.__dataclass_fields__}) if isinstance(made, Tables) else made.persist()
+    return _KEPT[key]
+
+
 def _tables(spark: SparkSession, sf_dir: str) -> Tables:
-    return enrich.enrich(demo.demo_tables(spark, sf_dir))
+    def make() -> Tables:
+        raw = _kept("raw", spark, sf_dir, lambda: demo.demo_tables(spark, sf_dir))
+        return enrich.enrich(raw)
+
+    return _kept("enriched", spark, sf_dir, make)
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -56,7 +72,7 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine.run_checks(_tables(spark, sf_dir)).findings
+    return _kept("findings", spark, sf_dir, lambda: engine.run_checks(_tables(spark, sf_dir)).findings)
 
 
 def _add_checks() -> None:
@@ -249,6 +265,50 @@ def _(s, d):
     return enrich.merge_verified(links, results).select("source_url", "href", "target_status_code", "is_redirect", "is_broken")
 
 
+# --- crawl rows ------------------------------------------------------------------------
+
+
+_CRAWLED = "(select page_id, regexp_replace(url, '#.*$', '') as url, html, case page_id % 7 when 0 then 301 when 1 then 404 when 2 then 503 when 3 then 100 else 200 end as code, page_id % 3 = 0 as moved from pages)"
+
+
+def _crawled(s: SparkSession, d: str) -> DataFrame:
+    i = F.col("page_id") % 7
+    code = F.when(i == 0, 301).when(i == 1, 404).when(i == 2, 503).when(i == 3, 100).otherwise(200)
+    pages = s.read.parquet(f"{d}/pages.parquet")
+    return pages.select("page_id", urls.without_fragment(F.col("url")).alias("url"), "html", code.alias("code"), (F.col("page_id") % 3 == 0).alias("moved"))
+
+
+@_query("crawl_status_class", f"select page_id, case when code between 200 and 599 then (code // 100)::varchar || 'xx' end as status_class from {_CRAWLED}")
+def _(s, d):
+    return _crawled(s, d).select("page_id", tx.status_class(F.col("code")).alias("status_class"))
+
+
+@_query("crawl_keep_first", f"select page_id, url from {_CRAWLED} qualify row_number() over (partition by url order by page_id) = 1")
+def _(s, d):
+    rows = _crawled(s, d).select(F.lit("real").alias("audit_id"), "url", F.col("page_id").alias("fetched"))
+    return html.keep_first(rows).select(F.col("fetched").alias("page_id"), "url")
+
+
+@_query("crawl_redirect_chain", f"select page_id, case when moved then url || ' 301 > ' || url || 'x ' || code else '' end as chain from {_CRAWLED}")
+def _(s, d):
+    final = F.when(F.col("moved"), F.concat("url", F.lit("x")))
+    chain = tx.redirect_chain(F.col("url"), final, F.col("code"))
+    hops = F.transform(chain, lambda h: F.concat(h["url"], F.lit(" "), h["statusCode"].cast("string")))
+    return _crawled(s, d).select("page_id", F.array_join(hops, " > ").alias("chain"))
+
+
+@_query("crawl_content_length", f"select page_id, case when page_id % 2 = 0 then page_id else strlen(html) end::int as length from {_CRAWLED}")
+def _(s, d):
+    declared = F.when(F.col("page_id") % 2 == 0, F.col("page_id").cast("string")).otherwise("12x")
+    return _crawled(s, d).select("page_id", tx.content_length(declared, F.col("html")).alias("length"))
+
+
+@_query("crawl_base_url", f"select page_id, case when moved then url || 'x' else url end as base from {_CRAWLED}")
+def _(s, d):
+    final = F.when(F.col("moved"), F.concat("url", F.lit("x"))).otherwise(" ")
+    return _crawled(s, d).select("page_id", tx.base_url(F.col("url"), final).alias("base"))
+
+
 # --- sampling and performance ------------------------------------------------------------
 
 
@@ -298,6 +358,25 @@ select event_id, null::int as lcp_ms, null::double as cls, v::int as inp_ms, (v
   case when v % 10 < 9 then 'speed-index' else '' end as usability_flags from v"""
 
 
+@_query("perf_upsert", oracle.VIEWS + "select page_url, strategy, case when strategy = 'mobile' then -1 else lcp_ms end as lcp_ms from perf")
+def _(s, d):
+    old = _tables(s, d).performance.select("audit_id", "page_url", "strategy", "lcp_ms")
+    return perf.upsert(old, old.where("strategy = 'mobile'").withColumn("lcp_ms", F.lit(-1))).select("page_url", "strategy", "lcp_ms")
+
+
+@_query("perf_outcome", oracle.VIEWS + "select count(*) as requested, count(q.page_url) as cached, (select count(*) from perf where lcp_ms <= 2500) as ok, (select count(*) from perf where lcp_ms > 2500) as failed from (select url, unnest(['mobile', 'desktop']) as strategy from ok) x left join perf q on q.page_url = x.url and q.strategy = x.strategy")
+def _(s, d):
+    t = _tables(s, d)
+    runs = t.performance.select("page_url", "strategy", F.when(F.col("lcp_ms") > 2500, "slow").alias("error"))
+    return perf.outcome(runs, perf.pairs(perf.candidates(t.pages)), t.performance)
+
+
+@_query("perf_refresh", _F + "select rule_id, count(*) as n from f where rule_id not like 'perf.%' or rule_id = 'perf.lcp' group by 1")
+def _(s, d):
+    found = _findings(s, d)
+    return perf.refresh(found, found.where("rule_id = 'perf.lcp'")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- attempts -----------------------------------------------------------------------------
 
 
@@ -352,6 +431,17 @@ def _(s, d):
     return read_api.matching(_findings(s, d), rule_id="dupe.content").agg(F.count(F.lit(1)).alias("total"))
 
 
+@_query("findings_described")
+def _(s, d):
+    return catalogue.described(_findings(s, d), catalogue.english(s)).groupBy("rule_id", "title", "family", "description").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("findings_first_details", _F.split(", f as (")[0] + """ select url, 'Target status code: ' || coalesce(target_status_code::varchar, 'null') as line from (select distinct source_url as url, href, target_status_code from links where type = 'internal' and is_broken)""")
+def _(s, d):
+    found = engine.of_check(REGISTRY["links.broken-internal"], _tables(s, d))
+    return found.select("url", F.element_at(F.split(tx.first_details(F.col("detail")), " · "), 2).alias("line"))
+
+
 @_query("report_section_summary")
 def _(s, d):
     return report.section_summary(_findings(s, d))
