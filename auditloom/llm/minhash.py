@@ -3,11 +3,14 @@
 Each text's set of five-word shingles gives one sketch: a single hash deals the
 shingles to bins, every bin keeps its least value, and an empty bin copies the
 first filled bin of its own fixed random order.  Bands of the sketch are bucket
-keys.  In a bucket, candidate edges run from a centre to the other members (a star),
-and only between different components; every candidate is confirmed on the full
-sets.  Buckets that still hold several components get more centres, four times as
-many in each round, until every two members are tested against each other or are
-in one component, so that no link between bucket members is lost.
+keys.  In a bucket, candidate edges run from a centre, the member that shares most
+buckets with most others, to the other members (a star); every candidate is
+confirmed on the full sets.  Members that are then in one component need no further
+test.  For every other member the rest of its links is found exactly: two linked
+sets share one of their rarest shingles (how many must be looked at follows from
+both sizes), so these members meet all members of their buckets by rare shingles,
+and what they meet is confirmed as well.  No link between members of a bucket is
+lost, and no group is compared pair by pair.
 
 Texts with the same set are one node.  With 24 bands of 5 rows, two texts of
 similarity 0.85 share no bucket with a probability of about 1e-6.
@@ -168,28 +171,16 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept - one row per input row."""
     rows = materialize(sketched(docs), "sketches")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").cast("int").alias("n"), F.first("keys").alias("keys"))
     nodes = materialize(nodes, "nodes")
-    keyed = nodes.select("node", F.col("n").cast("int").alias("n"), F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("centre")).where("m > 1").select("key", "centre")
-    members = materialize(keyed.join(sizes.hint("merge"), "key"), "members")
+    members = materialize(bucket_members(nodes), "members")
     sets = materialize(full_sets(docs, nodes.select("node", "rep").join(members.select("node").distinct(), "node", "left_semi")), "sets")
-    n_of = members.select(F.col("node").alias("centre"), F.col("n").alias("nc")).distinct()
-    star = members.where("node <> centre").select("centre", "node", "n").distinct().join(n_of, "centre")
-    star = star.where(_near_in_size("n", "nc")).select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    links = materialize(confirm(star, sets), "links")
+    star = members.where("node <> centre").select("centre", "node", "n", "centre_n").distinct().where(_near_in_size("n", "centre_n"))
+    links = materialize(confirm(star.select(F.col("centre").alias("a"), F.col("node").alias("b")), sets), "links")
     labels = components(links)
-    rest = materialize(_unsettled(members.where("node <> centre").select("key", "node", "n"), labels), "rest")
-    fan = 4
-    while not rest.isEmpty():
-        chosen = F.pmod(F.xxhash64("node", F.lit(fan)), F.col("m")) < fan
-        centres = rest.where(chosen).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-        pairs = rest.join(centres, "key").where((F.col("root") != F.col("ra")) & _near_in_size("n", "na"))
-        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        links = materialize(links.unionByName(confirm(pairs, sets)), "links")
-        labels = components(links)
-        rest = materialize(_unsettled(rest.where(~chosen).select("key", "node", "n"), labels), "rest")
-        fan *= 4
+    rest = materialize(confirm(rare_pairs(members, labels, sets), sets), "links")
+    if not rest.isEmpty():
+        labels = components(links.unionByName(rest))
     found = nodes.select("node", "rep").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = found.groupBy("root").agg(F.min("rep").alias("component"))
     of_node = found.join(least, "root").select(F.col("node").alias("of"), "component")
@@ -198,18 +189,63 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def bucket_members(nodes: DataFrame) -> DataFrame:
+    """key, node, n, centre, centre_n of the buckets with several members."""
+    keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    several = materialize(keyed.join(sizes.hint("merge"), "key"), "buckets")
+    shared = several.groupBy("node").agg(F.sum("m").alias("shared"))
+    centres = several.join(shared, "node").groupBy("key").agg(F.max(F.struct("shared", "node", "n")).alias("c"))
+    centres = centres.select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"))
+    return several.drop("m").join(centres, "key")
+
+
+def rare_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: every pair that may be linked of a member outside its bucket's main component and a member of such a bucket, in different components."""
+    of_centre = labels.select(F.col("node").alias("centre"), F.col("root").alias("centre_root"))
+    rooted = members.join(labels, "node", "left").join(of_centre, "centre", "left")
+    rooted = rooted.select("key", "node", F.coalesce("root", "node").alias("root"), F.coalesce("centre_root", "centre").alias("centre_root"))
+    apart = materialize(rooted.where("root <> centre_root and node is not null").select("key", "node", "root").distinct(), "apart")
+    probes = apart.select("node").distinct().withColumn("probe", F.lit(True))
+    near = rooted.join(apart.select("key").distinct(), "key", "left_semi").select("node", "root").distinct()
+    near = near.join(probes, "node", "left")
+    entries = materialize(rare_entries(near.join(sets, "node")), "rare")
+    left = entries.where("probe").select("w", F.col("own").alias("c"), F.col("other").alias("d"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
+    right = entries.select("w", F.col("other").alias("c"), F.col("own").alias("d"), "node", "root", "n")
+    pairs = left.join(right, ["w", "c", "d"]).where((F.col("root") != F.col("ra")) & _near_in_size("n", "na"))
+    return pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+
+
+#: Sizes in one class differ by 2 percent; linked sets are at most so many classes apart.
+_CLASS_STEP, _CLASSES_APART = 1.02, 9
+
+
+def rare_entries(rows: DataFrame) -> DataFrame:
+    """w, own, other, node, root, n, probe: the rarest shingles of each set (by which it can meet sets of each size class), those of one set alone left out.
+
+    Sets of sizes x and y are linked only if they share (PERCENT / (100 + PERCENT)) (x + y)
+    shingles, so the first one they share, in order of rarity, is early in both.
+    """
+    sized = rows.withColumn("n", F.size("shingles"))
+    each = sized.select("node", F.explode("shingles").alias("w"))
+    often = each.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    listed = each.join(often.hint("merge"), "w").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("shared"))
+    own = F.floor(F.log(F.col("n")) / F.log(F.lit(_CLASS_STEP))).cast("int")
+    ranked = sized.drop("shingles").join(listed, "node").withColumn("own", own)
+    ranked = ranked.withColumn("other", F.explode(F.sequence(F.col("own") - _CLASSES_APART, F.col("own") + _CLASSES_APART)))
+    least = F.greatest(F.floor(F.pow(F.lit(_CLASS_STEP), F.col("other"))) - 1, F.ceil(F.col("n") * PERCENT / 100), F.lit(1))
+    need = F.ceil((F.col("n") + least) * PERCENT / (100 + PERCENT) - 1e-6)
+    first = F.col("n") - F.size("shared")  # shingles of this set alone come first
+    take = F.greatest(F.lit(0), F.col("n") - need + 1 - first).cast("int")
+    ranked = ranked.where(take > 0).withColumn("take", F.explode(F.slice("shared", 1, take)))
+    return ranked.select(F.col("take.w").alias("w"), "own", "other", "node", "root", "n", "probe")
+
+
 def _near_in_size(a: str, b: str):
     """Sets whose sizes alone do not rule a link out."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
-def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (key, node, n, root, m) of the buckets that still hold several components."""
-    rooted = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("key", "m")
-    return rooted.join(open_keys, "key")
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group; of rows that repeat the kept id with linked texts one stays."""
     found = materialize(near_duplicates(docs), "groups")
