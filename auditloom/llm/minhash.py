@@ -108,20 +108,21 @@ def set_names(sets: np.ndarray, counts: np.ndarray) -> list[bytes | None]:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (name of the set), keys (bucket keys; null without shingles)."""
+    """doc_id, text_key (tells rows of one id apart), n_shingles, node (name of the set), keys (bucket keys; empty without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole, "text"):
-                sets, counts = shingle_sets(part.column(1))
+                sets, counts = shingle_sets(part.column(2))
                 keys = band_keys(sketches(sets, counts))
                 per_text = np.where(counts > 0, BANDS, 0)
                 keys = list_column(np.ascontiguousarray(keys[counts > 0]).ravel(), per_text)
                 names = pa.array(set_names(sets, counts), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), names, keys], ["doc_id", "n_shingles", "node", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int64()), names, keys], ["doc_id", "text_key", "n_shingles", "node", "keys"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, node binary, keys array<long>")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, node binary, keys array<long>")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -170,6 +171,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept - one row per input row."""
+    return grouped(docs).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, n_shingles, root (null without shingles), component_id - one row per input row."""
     rows = materialize(sketched(docs), "sketches")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").cast("int").alias("n"), F.first("keys").alias("keys"))
     nodes = materialize(nodes, "nodes")
@@ -183,10 +189,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         labels = components(links.unionByName(rest))
     found = nodes.select("node", "rep").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = found.groupBy("root").agg(F.min("rep").alias("component"))
-    of_node = found.join(least, "root").select(F.col("node").alias("of"), "component")
+    of_node = found.join(least, "root").select(F.col("node").alias("of"), "root", "component")
     out = rows.join(of_node, F.col("node") == F.col("of"), "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_key", "n_shingles", "root", component.alias("component_id"))
 
 
 def bucket_members(nodes: DataFrame) -> DataFrame:
@@ -247,13 +253,15 @@ def _near_in_size(a: str, b: str):
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group; of rows that repeat the kept id with linked texts one stays."""
-    found = materialize(near_duplicates(docs), "groups")
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone_id")).distinct()
-    left = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    left = left.join(gone, F.col("__id").eqNullSafe(F.col("__gone_id")), "left_anti")
-    tied = found.where("kept and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__tied"))
+    """``docs`` with one row of each group: that with the smallest id, of rows that repeat this id the one with the least text key.  Rows without shingles all stay."""
+    found = materialize(grouped(docs).where("root is not null").select("root", F.col("doc_id").alias("__i"), F.col("text_key").alias("__k")), "groups")
+    order = F.struct(F.col("__i").isNull().alias("last"), "__i", "__k")
+    stays = found.groupBy("root").agg(F.min(order).alias("s"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.col("s.__i").alias("si"), F.col("s.__k").alias("sk"))
+    several = materialize(found.join(stays, "root").withColumn("stays", F.col("__i").eqNullSafe(F.col("si")) & (F.col("__k") == F.col("sk"))).select("__i", "__k", "stays"), "several")
+    marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": F.xxhash64(F.coalesce("text", F.lit("")))})
+    same = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__key") == F.col("__k"))
+    left = marked.join(several.where("not stays").select("__i", "__k").distinct(), same, "left_anti")
+    tied = several.where("stays").groupBy("__i", "__k").count().where("count > 1")
     if not tied.isEmpty():
-        on = F.col("__id").eqNullSafe(F.col("__tied"))
-        left = left.join(tied, on, "left_anti").unionByName(left.join(tied, on, "left_semi").dropDuplicates(["__id"]))
-    return left.drop("__id")
+        left = left.join(tied, same, "left_anti").unionByName(left.join(tied, same, "left_semi").dropDuplicates(["__id", "__key"]))
+    return left.drop("__id", "__key")

@@ -358,6 +358,14 @@ def test_near_duplicate_stage(spark):
     assert set(got) == want and len([i for i in got if i == 9]) == 1
 
 
+def test_near_duplicate_stage_with_repeated_ids(spark):
+    a, b = words(60, 1), words(60, 2)
+    rows = [(1, a), (2, a + " end"), (2, b), (3, b + " end"), (4, words(60, 3)), (4, words(60, 3) + " end"), (None, words(60, 4)), (None, ""), (None, None)]
+    left = {(r["doc_id"], r["text"]) for r in minhash.keep_one(docs(spark, rows)).collect()}
+    fours = {x for x in left if x[0] == 4}
+    assert left - fours == {(1, a), (2, b), (None, words(60, 4)), (None, ""), (None, None)} and len(fours) == 1
+
+
 def test_densified_sketches():
     sets, counts = minhash.shingle_sets(pa.array(["a b c d e f", "", "a", words(400)]))
     sketch = minhash.sketches(sets, counts)
