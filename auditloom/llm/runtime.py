@@ -8,6 +8,7 @@ survives the loss of any executor and cuts the lineage.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -32,7 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder; removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/auditloom-{label}-{uuid.uuid4().hex}"
+    raw = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/auditloom-{label}-{uuid.uuid4().hex}")
+    path = raw.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(raw).toString()  # with scheme, as executors may have no default
+    path = re.sub("^file:/+", "file:///", path)
     atexit.register(_forget, spark, path)
     return path
 
