@@ -83,7 +83,7 @@ def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _STEP = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -175,7 +175,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]] if len(at) else raw[:0], at - at[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20):
     """Cut a batch so that each part has about ``most_bytes`` of text (a longer single text is a part of its own)."""
     _, offsets = text_buffer(batch.column(batch.schema.get_field_index(column)))
     i, n = 0, batch.num_rows

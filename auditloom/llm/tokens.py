@@ -20,7 +20,7 @@ from .runtime import Words, text_buffer
 #: Pattern of the byte-level pre-tokenizer (fixed value of the public vocabulary).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct units that a worker remembers; beyond it the table starts anew.
-MOST_UNITS = 1_500_000
+MOST_UNITS = 400_000
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _PROBE = "It's 12 o'clock,\n\n  naïve – “quoted” words'll don't  x\ttab 你好 "
 _FIRST = np.uint64(0x5851F42D4C957F2D)
