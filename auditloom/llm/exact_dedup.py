@@ -90,9 +90,11 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     # the hint keeps one plan at every size: texts are always dealt out by digest
     members = Stored(read.join(several.hint("merge"), "digest").select("doc_id", "digest", "last_id", "text"), "members")
     stays = members.df.where(F.col("doc_id").eqNullSafe(F.col("last_id"))).groupBy("digest").agg(F.min("text").alias("stay_text"))
+    stays = Stored(stays, "stays")  # written first, so that a large class's side of the join can be split
     same = F.col("text") == F.col("stay_text")
-    checked = materialize(members.df.join(stays, "digest").select("doc_id", "digest", F.when(~same, F.col("text")).alias("variant")), "checked")
+    checked = materialize(members.df.join(stays.df, "digest").select("doc_id", "digest", F.when(~same, F.col("text")).alias("variant")), "checked")
     members.drop()
+    stays.drop()
     groups = checked.groupBy("digest", "variant").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     joined = checked.alias("c").join(groups.alias("g"), (F.col("c.digest") == F.col("g.digest")) & F.col("c.variant").eqNullSafe(F.col("g.variant")))
     grouped = joined.select("c.doc_id", "g.keep_id", "g.group_size", "c.digest")
