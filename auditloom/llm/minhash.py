@@ -12,8 +12,9 @@ both sizes), so these members meet all members of their buckets by rare shingles
 and what they meet is confirmed as well.  No link between members of a bucket is
 lost, and no group is compared pair by pair.
 
-Texts with the same set are one node.  With 24 bands of 5 rows, two texts of
-similarity 0.85 share no bucket with a probability of about 1e-6.
+Texts with the same set are one node.  The threshold is a parameter; the number of
+bands of 5 rows follows from it (24 at 85 percent, 35 at 80), so that two texts just
+at the threshold share no bucket with a probability of about 1e-6.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with
 nothing; with fewer than five words the whole sequence is the one shingle; rows
@@ -23,7 +24,9 @@ id; rows with null id follow their component's smallest id (null if it has none)
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +36,25 @@ from pyspark.sql import functions as F
 from .runtime import LOWER, NOT_SPACE, Stored, Words, list_column, materialize, mix, slices, text_buffer
 
 SHINGLE_WORDS = 5
-#: Linked if 100 * intersection >= PERCENT * union.
+#: Linked if 100 * intersection >= percent * union; this is op2's percent.
 PERCENT = 85
-BANDS, ROWS = 24, 5
-BINS = BANDS * ROWS
-_ORDER = np.random.default_rng(20240229).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1)
+ROWS = 5
+#: Probability that two texts just at the threshold share no bucket, at most.
+MISS = 1e-6
 _MANY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def bands_for(percent: int) -> int:
+    """The least number of bands that keeps to MISS."""
+    return math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** ROWS)))
+
+
+@lru_cache
+def _order(bins: int) -> np.ndarray:
+    """The order of each bin in which an empty one looks for a donor."""
+    return np.random.default_rng(20240229).permuted(np.tile(np.arange(bins), (bins, 1)), axis=1)
+
+
 def shingle_sets(column: pa.Array, k: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles of each text, ascending within a text, and their number."""
     raw, offsets = text_buffer(column)
@@ -68,28 +82,29 @@ def _chain(hashed: np.ndarray) -> np.uint64:
     return out[0]
 
 
-def sketches(sets: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def sketches(sets: np.ndarray, counts: np.ndarray, bands: int = bands_for(PERCENT)) -> np.ndarray:
     """One-permutation sketch of each set, without empty bins (rows of empty sets have no meaning)."""
-    n = len(counts)
+    n, bins, order_of = len(counts), bands * ROWS, _order(bands * ROWS)
     doc = np.repeat(np.arange(n), counts)
     value = mix(sets ^ np.uint64(0x2545F4914F6CDD1D))
-    cell = doc * BINS + (((value >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)).astype(np.int64)
-    out = np.full(n * BINS, _MANY)
+    cell = doc * bins + (((value >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64)
+    out = np.full(n * bins, _MANY)
     order = np.argsort(value)[::-1]
     out[cell[order]] = value[order]  # the last one written, the least, stays
-    out = out.reshape(n, BINS)
+    out = out.reshape(n, bins)
     filled = out != _MANY
     for i in np.flatnonzero((counts > 0) & ~filled.all(axis=1)):
         empty = np.flatnonzero(~filled[i])
-        donor = _ORDER[empty, np.argmax(filled[i][_ORDER[empty]], axis=1)]
+        donor = order_of[empty, np.argmax(filled[i][order_of[empty]], axis=1)]
         out[i, empty] = out[i, donor]
     return out
 
 
 def band_keys(sketch: np.ndarray) -> np.ndarray:
     """Bucket keys: one per band."""
-    rows = sketch.reshape(len(sketch), BANDS, ROWS)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), rows.shape[:2])
+    bands = sketch.shape[1] // ROWS
+    rows = sketch.reshape(len(sketch), bands, ROWS)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), rows.shape[:2])
     for r in range(ROWS):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, r])
     return key
@@ -107,15 +122,15 @@ def set_names(sets: np.ndarray, counts: np.ndarray) -> list[bytes | None]:
     return [row.tobytes() if n else None for row, n in zip(packed, counts, strict=True)]
 
 
-def sketched(docs: DataFrame) -> DataFrame:
+def sketched(docs: DataFrame, bands: int) -> DataFrame:
     """doc_id, text_key (tells rows of one id apart), n_shingles, node (name of the set), keys (bucket keys; empty without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole, "text"):
                 sets, counts = shingle_sets(part.column(2))
-                keys = band_keys(sketches(sets, counts))
-                per_text = np.where(counts > 0, BANDS, 0)
+                keys = band_keys(sketches(sets, counts, bands))
+                per_text = np.where(counts > 0, bands, 0)
                 keys = list_column(np.ascontiguousarray(keys[counts > 0]).ravel(), per_text)
                 names = pa.array(set_names(sets, counts), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int64()), names, keys], ["doc_id", "text_key", "n_shingles", "node", "keys"])
@@ -142,12 +157,12 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "node binary, shingles array<long>").dropDuplicates(["node"])
 
 
-def confirm(edges: DataFrame, sets: DataFrame) -> DataFrame:
+def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The edges (a, b) whose full sets are similar enough."""
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - both
-    return edges.join(left, "a").join(right, "b").where(both * 100 >= union * PERCENT).select("a", "b")
+    return edges.join(left, "a").join(right, "b").where(both * 100 >= union * percent).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -169,22 +184,22 @@ def components(edges: DataFrame) -> DataFrame:
         last = tuple(state)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept - one row per input row."""
-    return grouped(docs).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return grouped(docs, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def grouped(docs: DataFrame) -> DataFrame:
+def grouped(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, text_key, n_shingles, root (null without shingles), component_id - one row per input row."""
-    rows = materialize(sketched(docs), "sketches")
+    rows = materialize(sketched(docs, bands_for(percent)), "sketches")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").cast("int").alias("n"), F.first("keys").alias("keys"))
     nodes = materialize(nodes, "nodes")
     members = materialize(bucket_members(nodes), "members")
     sets = materialize(full_sets(docs, nodes.select("node", "rep").join(members.select("node").distinct(), "node", "left_semi")), "sets")
-    star = members.where("node <> centre").select("centre", "node", "n", "centre_n").distinct().where(_near_in_size("n", "centre_n"))
-    links = materialize(confirm(star.select(F.col("centre").alias("a"), F.col("node").alias("b")), sets), "links")
+    star = members.where("node <> centre").select("centre", "node", "n", "centre_n").distinct().where(_near_in_size("n", "centre_n", percent))
+    links = materialize(confirm(star.select(F.col("centre").alias("a"), F.col("node").alias("b")), sets, percent), "links")
     labels = components(links)
-    rest = materialize(confirm(rare_pairs(members, labels, sets), sets), "links")
+    rest = materialize(confirm(rare_pairs(members, labels, sets, percent), sets, percent), "links")
     if not rest.isEmpty():
         labels = components(links.unionByName(rest))
     found = nodes.select("node", "rep").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -206,7 +221,7 @@ def bucket_members(nodes: DataFrame) -> DataFrame:
     return several.drop("m").join(centres, "key")
 
 
-def rare_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def rare_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: every pair that may be linked of a member outside its bucket's main component and a member of such a bucket, in different components."""
     of_centre = labels.select(F.col("node").alias("centre"), F.col("root").alias("centre_root"))
     rooted = members.join(labels, "node", "left").join(of_centre, "centre", "left")
@@ -215,46 +230,52 @@ def rare_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFr
     probes = apart.select("node").distinct().withColumn("probe", F.lit(True))
     near = rooted.join(apart.select("key").distinct(), "key", "left_semi").select("node", "root").distinct()
     near = near.join(probes, "node", "left")
-    entries = materialize(rare_entries(near.join(sets, "node")), "rare")
+    entries = materialize(rare_entries(near.join(sets, "node"), percent), "rare")
     left = entries.where("probe").select("w", F.col("own").alias("c"), F.col("other").alias("d"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
     right = entries.select("w", F.col("other").alias("c"), F.col("own").alias("d"), "node", "root", "n")
-    pairs = left.join(right, ["w", "c", "d"]).where((F.col("root") != F.col("ra")) & _near_in_size("n", "na"))
+    pairs = left.join(right, ["w", "c", "d"]).where((F.col("root") != F.col("ra")) & _near_in_size("n", "na", percent))
     return pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
-#: Sizes in one class differ by 2 percent; linked sets are at most so many classes apart.
-_CLASS_STEP, _CLASSES_APART = 1.02, 9
+#: Sizes in one class differ by 2 percent.
+_CLASS_STEP = 1.02
+
+
+def classes_apart(percent: int) -> int:
+    """Linked sets are at most so many size classes apart."""
+    return math.ceil(math.log(100 / percent) / math.log(_CLASS_STEP))
 
 
-def rare_entries(rows: DataFrame) -> DataFrame:
+def rare_entries(rows: DataFrame, percent: int) -> DataFrame:
     """w, own, other, node, root, n, probe: the rarest shingles of each set (by which it can meet sets of each size class), those of one set alone left out.
 
-    Sets of sizes x and y are linked only if they share (PERCENT / (100 + PERCENT)) (x + y)
+    Sets of sizes x and y are linked only if they share (percent / (100 + percent)) (x + y)
     shingles, so the first one they share, in order of rarity, is early in both.
     """
+    apart = classes_apart(percent)
     sized = rows.withColumn("n", F.size("shingles"))
     each = sized.select("node", F.explode("shingles").alias("w"))
     often = each.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     listed = each.join(often.hint("merge"), "w").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("shared"))
     own = F.floor(F.log(F.col("n")) / F.log(F.lit(_CLASS_STEP))).cast("int")
     ranked = sized.drop("shingles").join(listed, "node").withColumn("own", own)
-    ranked = ranked.withColumn("other", F.explode(F.sequence(F.col("own") - _CLASSES_APART, F.col("own") + _CLASSES_APART)))
-    least = F.greatest(F.floor(F.pow(F.lit(_CLASS_STEP), F.col("other"))) - 1, F.ceil(F.col("n") * PERCENT / 100), F.lit(1))
-    need = F.ceil((F.col("n") + least) * PERCENT / (100 + PERCENT) - 1e-6)
+    ranked = ranked.withColumn("other", F.explode(F.sequence(F.col("own") - apart, F.col("own") + apart)))
+    least = F.greatest(F.floor(F.pow(F.lit(_CLASS_STEP), F.col("other"))) - 1, F.ceil(F.col("n") * percent / 100), F.lit(1))
+    need = F.ceil((F.col("n") + least) * percent / (100 + percent) - 1e-6)
     first = F.col("n") - F.size("shared")  # shingles of this set alone come first
     take = F.greatest(F.lit(0), F.col("n") - need + 1 - first).cast("int")
     ranked = ranked.where(take > 0).withColumn("take", F.explode(F.slice("shared", 1, take)))
     return ranked.select(F.col("take.w").alias("w"), "own", "other", "node", "root", "n", "probe")
 
 
-def _near_in_size(a: str, b: str):
+def _near_in_size(a: str, b: str, percent: int):
     """Sets whose sizes alone do not rule a link out."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each group: that with the smallest id, of rows that repeat this id the one with the least text key.  Rows without shingles all stay."""
-    found = materialize(grouped(docs).where("root is not null").select("root", F.col("doc_id").alias("__i"), F.col("text_key").alias("__k")), "groups")
+    found = materialize(grouped(docs, percent).where("root is not null").select("root", F.col("doc_id").alias("__i"), F.col("text_key").alias("__k")), "groups")
     order = F.struct(F.col("__i").isNull().alias("last"), "__i", "__k")
     stays = found.groupBy("root").agg(F.min(order).alias("s"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.col("s.__i").alias("si"), F.col("s.__k").alias("sk"))
     several = materialize(found.join(stays, "root").withColumn("stays", F.col("__i").eqNullSafe(F.col("si")) & (F.col("__k") == F.col("sk"))).select("__i", "__k", "stays"), "several")

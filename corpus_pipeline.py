@@ -13,6 +13,9 @@ from auditloom.llm import exact_dedup, minhash, mixing, packing, quality, tokens
 from auditloom.llm.queries import prepare
 from auditloom.llm.runtime import materialize, table
 
+#: Near duplicates share so many percent of their shingles (op2's own percent is another).
+NEAR_PERCENT = 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it is fitted on the labelled ones among them."""
@@ -29,7 +32,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that with the smallest id."""
     prepare(spark)
-    return minhash.keep_one(docs)
+    return minhash.keep_one(docs, NEAR_PERCENT)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from auditloom.llm import ann, exact_dedup, fuse, html_blocks, licenses, minhash, mixing, packing, quality, runtime, token_counts, tokens, warc, zipfmt
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, digest string, node string, score double"
@@ -366,6 +367,32 @@ def test_near_duplicate_stage_with_repeated_ids(spark):
     assert left - fours == {(1, a), (2, b), (None, words(60, 4)), (None, ""), (None, None)} and len(fours) == 1
 
 
+def plain_kept(rows, percent):
+    """Ids of the rows that stay: the least of each component, pairs compared at ``percent``."""
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} or {tuple(t.split())} for _, t in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if root[a] != root[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                root = [root[b] if r == root[a] else r for r in root]
+    return {min(rows[k][0] for k in range(len(rows)) if root[k] == r) for r in set(root)}
+
+
+def test_near_duplicate_stage_takes_eighty_percent(spark):
+    rows = near_rows(7)
+    want = plain_kept(rows, 80)
+    assert want < plain_kept(rows, 85)
+    # 20 of 25 shingles are shared: exactly 0.80; 20 of 26 are not enough
+    a, b = words(24, 31), words(24, 33)
+    edge = [(800, a), (801, a + " k1 k2 k3 k4 k5"), (802, b), (803, b + " k1 k2 k3 k4 k5 k6")]
+    left = [r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs(spark, rows + edge), "").collect()]
+    assert sorted(left) == sorted(want | {800, 802, 803})
+
+
+def test_bands_and_size_classes_follow_the_threshold():
+    assert [minhash.bands_for(p) for p in (85, 80)] == [24, 35] and [minhash.classes_apart(p) for p in (85, 80)] == [9, 12]
+
+
 def test_densified_sketches():
     sets, counts = minhash.shingle_sets(pa.array(["a b c d e f", "", "a", words(400)]))
     sketch = minhash.sketches(sets, counts)
