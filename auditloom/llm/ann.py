@@ -5,16 +5,19 @@ each other in orders of random hyperplane signs; each round then joins every nod
 neighbours and reverse neighbours with each other (neighbours of neighbours) and
 keeps the nearest.  A query walks the graph from its own node (if it is indexed) and
 from a fixed number of pivots, always expanding the nearest nodes of a beam that are
-not expanded yet; the best of the beam are ranked again by the exact cosine.
+not expanded yet; the best of the beam, and all that tie with the k-th within the
+codes' error, are ranked again by the exact cosine.
 
-Distances within the walk are of half-precision unit vectors; results never are.
+Distances within the walk are of single-precision unit vectors; results never are.
+Where their error leaves open whether a node that is not ranked, or not in a full
+beam, belongs to the k nearest, the query is compared with all rows.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or
 differ in length from the most common length take no part, as query or candidate;
 rows that repeat id and vector are one; a query's own id is never its result; ties
 go to the smaller id, null ids last; an empty table gives an empty result.  Queries
-that the walk leaves with fewer results than there are candidates are answered by
-comparing them, in blocks, with all rows.
+that the walk leaves with fewer results than there are candidates, or in doubt, are
+answered by comparing them, in blocks, with all rows.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from .runtime import Stored, list_column, materialize
 NEIGHBOURS, REVERSE, DESCENTS, PROPOSALS = 20, 14, 6, 6
 #: Orders of the start and nodes compared in a block of one.
 ORDERS, BLOCK, SIGN_BITS = 3, 128, 20
-#: Nodes in a beam, nodes expanded at once, pivots, queries walked together, beam nodes ranked again.
+#: Nodes in a beam, nodes expanded at once, pivots, queries walked together, beam nodes ranked again at least.
 BEAM, FAN, PIVOTS, QUERY_BLOCK, RERANK = 800, 64, 32, 2048, 64
 
 
@@ -43,9 +46,9 @@ def _matrix(column: pa.Array, kind=np.float64) -> np.ndarray:
 
 
 def _codes(column: pa.Array) -> np.ndarray:
-    """Unit vectors from their half-precision bytes."""
+    """Unit vectors from their single-precision bytes."""
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), dtype="<f2").reshape(len(rows), -1).astype(np.float32) if rows else np.zeros((0, 0), np.float32)
+    return np.frombuffer(b"".join(rows), dtype="<f4").reshape(len(rows), -1) if rows else np.zeros((0, 0), np.float32)
 
 
 def valid_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -59,13 +62,13 @@ def valid_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "e
 
 
 def _coded(nodes: DataFrame) -> DataFrame:
-    """node, code: half-precision unit vectors."""
+    """node, code: single-precision unit vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1))
             x = x / np.abs(x).max(axis=1, keepdims=True)
-            x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("<f2")
+            x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("<f4")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["node", "code"])
 
     return nodes.select("node", "vector").mapInArrow(run, "node long, code binary")
@@ -286,11 +289,11 @@ def _expand(state: DataFrame, links: DataFrame) -> DataFrame:
     return seen.mapInArrow(score, "q long, other long, sim float")
 
 
-def _walk(block: DataFrame, nodes: DataFrame, links: DataFrame, beam: int) -> DataFrame:
-    """q, node: the nearest beam nodes of each query (columns q, node, code) of one block."""
+def _walk(block: DataFrame, nodes: DataFrame, links: DataFrame, beam: int, k: int, error: float) -> DataFrame:
+    """q, bound, node: the beam nodes to rank of each query (columns q, node, code) of one block; no other node seen is nearer than ``bound`` by its code."""
     pivots = nodes.orderBy(F.xxhash64("node", F.lit(77)), "node").limit(PIVOTS).select(F.col("node").alias("other"), F.col("code").alias("theirs")).collect()
     ids = np.array([p["other"] for p in pivots], dtype=np.int64)
-    codes = np.stack([np.frombuffer(p["theirs"], "<f2").astype(np.float32) for p in pivots])
+    codes = np.stack([np.frombuffer(p["theirs"], "<f4") for p in pivots])
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,7 +311,11 @@ def _walk(block: DataFrame, nodes: DataFrame, links: DataFrame, beam: int) -> Da
         state.drop()
         state = new
     _release(block)
-    return state.df.select("q", F.explode(F.slice("ids", 1, RERANK)).alias("node"))
+    at = lambda i: F.coalesce(F.get("sims", F.lit(i)).cast("double"), F.lit(-9.0))
+    cut = state.df.withColumn("cut", F.least(at(RERANK - 1), at(k) - 2 * error))
+    left = F.array_max(F.filter("sims", lambda x: x < F.col("cut")))
+    taken = F.filter(F.arrays_zip("ids", "sims"), lambda x: x["sims"] >= F.col("cut"))
+    return cut.select("q", F.coalesce(left, "least").cast("double").alias("bound"), F.explode(taken).alias("e")).select("q", "bound", F.col("e.ids").alias("node"))
 
 
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
@@ -341,14 +348,18 @@ def brute_force(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         def nearest(batches: Iterator[pa.RecordBatch], keys=keys, ids=ids, wanted=wanted) -> Iterator[pa.RecordBatch]:
             norms = np.sqrt((wanted * wanted).sum(axis=1))
             for batch in batches:
+                if not batch.num_rows:
+                    continue
                 x, theirs = _matrix(batch.column(1)), batch.column(0).to_pylist()
                 sims = (wanted @ x.T) / (norms[:, None] * np.sqrt((x * x).sum(axis=1)))
-                for i in range(len(keys)):
-                    for j in np.argsort(-sims[i], kind="stable")[: k + 1]:
-                        if theirs[j] != ids[i]:
-                            yield pa.RecordBatch.from_pydict({"q": [keys[i]], "query_id": pa.array([ids[i]], pa.int64()), "vec_id": pa.array([theirs[j]], pa.int64())})
-
-        near = vectors.select("vec_id", "vector").mapInArrow(nearest, "q long, query_id long, vec_id long")
+                last = max(0, len(x) - k - 1)
+                least = np.partition(sims, last, axis=1)[:, last]
+                # the margin keeps ties, which _ranked settles by id
+                found = [(i, j) for i, j in np.argwhere(sims >= least[:, None] - 1e-12).tolist() if theirs[j] != ids[i]]
+                columns = [pa.array([keys[i] for i, _ in found], pa.int64()), pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([theirs[j] for _, j in found], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["q", "query_id", "vec_id"])
+
+        near = vectors.select("vec_id", "vector").mapInArrow(nearest, "q long, query_id long, vec_id long").distinct()
         pairs = near.join(vectors.select(F.col("vec_id").alias("v"), "vector"), F.col("vec_id").eqNullSafe(F.col("v")))
         pairs = pairs.join(F.broadcast(spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(keys, wanted, strict=True)], "q long, query array<double>")), "q")
         part = _ranked(pairs, k)
@@ -376,18 +387,22 @@ def nearest_neighbours(table: DataFrame, *, every: int = 50, k: int = 5, beam: i
     empty = "query_id long, rank int, vec_id long, score double"
     if queries.isEmpty():
         return spark.createDataFrame([], empty)
+    # a bound on the error of a sum of so many products in single precision
+    error = (queries.select(F.size("query")).first()[0] + 4) * 2.0**-24
     graph = build_graph(nodes)
     links = materialize(adjacency(graph), "links")
     found = None
     for block in _blocks(queries, QUERY_BLOCK):
-        part = materialize(_walk(block, nodes, links, beam), "found")
+        part = materialize(_walk(block, nodes, links, beam, k, error), "found")
         found = part if found is None else found.unionByName(part)
-    pairs = found.join(queries.drop("node", "code"), "q").join(members, "node").where(~F.col("query_id").eqNullSafe(F.col("vec_id")))
+    pairs = found.drop("bound").join(queries.drop("node", "code"), "q").join(members, "node").where(~F.col("query_id").eqNullSafe(F.col("vec_id")))
     ranked = materialize(_ranked(pairs, k), "ranked")
     total = vectors.select("vec_id").distinct().count() - 1
-    short = queries.join(ranked.groupBy("q").count().where(F.col("count") >= min(k, total)), "q", "left_anti")
+    sure = ranked.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("last")).join(found.select("q", "bound").distinct(), "q")
+    sure = sure.where((F.col("n") >= min(k, total)) & (F.col("last") > F.col("bound") + error))
+    short = queries.join(sure, "q", "left_anti")
     short = materialize(short.select("q", "query_id", "query"), "short")
     if not short.isEmpty():
-        rest = brute_force(short, vectors, k)
+        rest = brute_force(short, members, k)
         ranked = ranked.join(short.select("q"), "q", "left_anti").unionByName(rest)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -453,6 +453,17 @@ def test_neighbours(spark):
     assert few == {50: 51}
 
 
+def test_neighbours_among_jittered_copies(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal(8) + 1e-4 * rng.standard_normal((1500, 8)))]
+    found = {}
+    for r in ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=100, beam=128).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = plain_neighbours(rows, 100, 5)
+    hits = [len(set(found[i]) & set(js)) for i, js, _ in want]
+    assert len(found) == 15 and sum(hits) / (5 * len(hits)) >= 0.99
+
+
 def test_brute_force_fills_up(spark):
     rows = [(0, 1, [1.0, 0.0], 5), (0, 1, [1.0, 0.0], 6)]
     queries = spark.createDataFrame([(1, 0, [1.0, 0.0])], "q long, query_id long, query array<double>")
