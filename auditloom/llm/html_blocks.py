@@ -1,75 +1,98 @@
 """Main text of web pages from flat text blocks.
 
-A page is cut into flat blocks; each has its word count, its link density, those
-of the blocks before and after it, and what its surroundings say (inside an
-article, inside a menu or another marked part, a heading).  A decision tree trained
-on the small labelled table below says which blocks belong to the article.
-
-Defined cases: null and empty html give an empty text; unclosed and stray tags are
-repaired (a block tag ends an open paragraph, an unknown end tag is ignored);
-rows that repeat are extracted each by itself.
+A page is cut into flat blocks; each has its word count, its link density, and those
+of the blocks before and after it.  A decision tree trained on the small table of
+labelled pages below says which blocks belong to the article.  Its upper levels
+look at word counts and link densities only; what its surroundings say of a block
+(inside an article, inside a marked part, a heading) may settle only what these
+levels leave mixed.
+
+Tags are read in one pass, in time linear in the page, with quotes, comments and
+raw-text elements as the HTML standard has them (so what follows a quoted value,
+comment or script that never ends belongs to it).
+
+Defined cases: null and empty html give an empty text, and so does an empty table an
+empty result; pages of any length are read whole; unclosed and stray tags are
+repaired (a block tag ends an open paragraph, an unknown end tag is ignored); rows
+that repeat are extracted each by itself; a block whose leaf is tied between both
+labels is kept.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "zone", "page_has_article", "heading")
-
-# Labelled blocks: the features in order, then 1 for article text.  zone: 1 in an
-# article, -1 in a part marked as something else, 0 neither.
-LABELLED = [
-    # pages with an article: what stands in it, short or long
-    (1, 0.0, 40, 0.0, 35, 0.0, 1, 1, 0, 1), (2, 0.0, 0, 0.0, 60, 0.0, 1, 1, 1, 1), (8, 0.0, 5, 0.0, 80, 0.0, 1, 1, 1, 1),
-    (12, 0.0, 90, 0.1, 3, 0.0, 1, 1, 0, 1), (55, 0.05, 8, 0.0, 70, 0.0, 1, 1, 0, 1), (140, 0.02, 60, 0.0, 80, 0.1, 1, 1, 0, 1),
-    (3, 0.0, 2, 0.0, 1, 0.0, 1, 1, 0, 1), (1, 0.0, 1, 1.0, 4, 1.0, 1, 1, 0, 1), (30, 0.3, 12, 0.0, 9, 0.5, 1, 1, 0, 1),
-    (6, 0.5, 40, 0.0, 40, 0.0, 1, 1, 0, 1), (4, 1.0, 50, 0.0, 45, 0.0, 1, 1, 0, 1), (5, 1.0, 30, 0.1, 2, 1.0, 1, 1, 0, 1),
-    (22, 0.0, 3, 1.0, 6, 1.0, 1, 1, 0, 1), (9, 0.0, 30, 0.0, 12, 0.5, 1, 1, 0, 1), (400, 0.1, 9, 0.0, 0, 0.0, 1, 1, 0, 1),
-    # rows of links inside it
-    (2, 1.0, 2, 1.0, 3, 1.0, 1, 1, 0, 0), (3, 1.0, 4, 1.0, 2, 1.0, 1, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 1, 0, 0), (6, 1.0, 5, 1.0, 7, 1.0, 1, 1, 0, 0),
-    # parts marked as menus, adverts, footers, notices, comments
-    (1, 1.0, 1, 1.0, 1, 1.0, -1, 1, 0, 0), (3, 1.0, 2, 1.0, 40, 0.0, -1, 1, 0, 0), (8, 0.0, 1, 1.0, 9, 0.0, -1, 1, 0, 0),
-    (45, 0.0, 30, 0.0, 60, 0.0, -1, 1, 0, 0), (120, 0.0, 80, 0.0, 70, 0.0, -1, 1, 0, 0), (15, 0.1, 70, 0.0, 0, 0.0, -1, 1, 0, 0),
-    (5, 0.0, 60, 0.0, 50, 0.0, -1, 1, 1, 0), (60, 0.0, 4, 0.0, 5, 0.0, -1, 0, 0, 0), (9, 0.4, 2, 1.0, 3, 1.0, -1, 0, 0, 0),
-    (2, 1.0, 2, 1.0, 2, 1.0, -1, 0, 0, 0), (150, 0.0, 90, 0.0, 100, 0.0, -1, 0, 0, 0), (6, 0.0, 40, 0.0, 20, 0.1, -1, 0, 1, 0),
-    (1, 0.0, 0, 0.0, 50, 0.0, -1, 0, 0, 0), (25, 0.0, 140, 0.0, 12, 0.0, -1, 1, 0, 0), (70, 0.1, 12, 0.0, 30, 0.0, -1, 1, 0, 0),
-    # pages with an article: what stands beside it
-    (4, 0.0, 0, 0.0, 60, 0.0, 0, 1, 1, 0), (40, 0.0, 60, 0.0, 30, 0.0, 0, 1, 0, 0), (90, 0.1, 20, 0.0, 15, 0.0, 0, 1, 0, 0),
-    (2, 1.0, 3, 1.0, 2, 1.0, 0, 1, 0, 0), (12, 0.0, 80, 0.0, 0, 0.0, 0, 1, 0, 0), (7, 0.5, 2, 1.0, 50, 0.0, 0, 1, 0, 0),
-    (150, 0.0, 0, 0.0, 8, 0.0, 0, 1, 0, 0), (1, 0.0, 40, 0.0, 40, 0.0, 0, 1, 0, 0), (25, 0.9, 30, 0.9, 20, 0.9, 0, 1, 0, 0),
-    # pages without one: long blocks with few links
-    (40, 0.0, 3, 0.0, 50, 0.0, 0, 0, 0, 1), (80, 0.1, 60, 0.0, 40, 0.0, 0, 0, 0, 1), (25, 0.0, 2, 1.0, 30, 0.0, 0, 0, 0, 1),
-    (18, 0.1, 30, 0.0, 2, 1.0, 0, 0, 0, 1), (200, 0.02, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (60, 0.3, 10, 0.0, 12, 0.0, 0, 0, 0, 1),
-    (30, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (22, 0.2, 22, 0.2, 22, 0.2, 0, 0, 0, 1), (16, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 1),
-    # short blocks between them, headings before them
-    (2, 0.0, 40, 0.0, 35, 0.0, 0, 0, 0, 1), (1, 0.0, 60, 0.0, 80, 0.1, 0, 0, 0, 1), (8, 0.0, 25, 0.0, 30, 0.0, 0, 0, 0, 1),
-    (5, 0.0, 0, 0.0, 45, 0.0, 0, 0, 1, 1), (9, 0.0, 2, 1.0, 30, 0.0, 0, 0, 1, 1), (4, 0.0, 70, 0.0, 60, 0.0, 0, 0, 1, 1), (7, 0.0, 1, 0.0, 120, 0.0, 0, 0, 1, 1),
-    # links and short blocks among short ones
-    (2, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0), (3, 1.0, 2, 1.0, 60, 0.0, 0, 0, 0, 0), (30, 0.9, 20, 0.9, 25, 0.9, 0, 0, 0, 0),
-    (18, 0.8, 3, 1.0, 40, 0.0, 0, 0, 0, 0), (4, 0.0, 2, 1.0, 1, 1.0, 0, 0, 0, 0), (3, 0.0, 4, 0.0, 2, 0.0, 0, 0, 0, 0),
-    (6, 0.0, 5, 0.3, 0, 0.0, 0, 0, 0, 0), (8, 0.0, 3, 1.0, 4, 1.0, 0, 0, 0, 0), (5, 0.0, 60, 0.0, 2, 1.0, 0, 0, 0, 0),
-    (9, 0.2, 50, 0.0, 0, 0.0, 0, 0, 0, 0), (2, 0.0, 0, 0.0, 2, 1.0, 0, 0, 1, 0), (4, 0.0, 3, 1.0, 3, 0.0, 0, 0, 1, 0), (1, 1.0, 40, 0.0, 45, 0.0, 0, 0, 0, 0),
-]
+#: Word counts and link densities come first, hints of tags and class names after them.
+DENSITIES = ("words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density")
+HINTS = ("article", "beside", "page_has_article", "heading")
+FEATURES = DENSITIES + HINTS
+
+# Labelled pages.  A number stands for so many words of text; the first number of a
+# block carries the label: + for article text, - for anything else.
+LABELLED_PAGES = (
+    # pages of the common kind: menu, advert, article, footer
+    "<nav><ul><li><a>-1</a><li><a>-1</a><li><a>-1</a><li><a>-1</a></ul></nav><div class=ad>-8</div><article><h1>+8</h1><p>+8<br><p>+28<p>+41<p>+3<p>+71<p>+9<br><p>+1<p>+30</article><footer>-9</footer>",
+    "<nav><ul><li><a>-1</a><li><a>-1</a><li><a>-1</a></ul></nav><div class=ad>-12</div><article><h1>+12</h1><p>+31<br><p>+22<p>+96<p>+64</article><footer>-7</footer>",
+    "<nav><a>-1</a><a>1</a><a>1</a></nav><div class=ad>-5</div><article><h1>+5</h1><p>+5<br><p>+1<p>+2<p>+1<p>+160<p>+4</article><footer>-13</footer>",
+    "<nav><ul><li><a>-2</a><li><a>-1</a></ul></nav><div class=ad>-19</div><article><h1>+2</h1><p>+2<br><p>+12<p>+1</article><footer>-10</footer>",
+    "<nav><ul><li><a>-1</a><li><a>-1</a></ul></nav><div class=ad>-7</div><article><h1>+1</h1><p>+1</article><footer>-6</footer>",
+    # a magazine: teasers, share bar, pull quote, related stories, comments, newsletter
+    "<header><a>-3</a><ul><li><a>-1</a><li><a>-2</a><li><a>-1</a></ul></header><div class=cookie-consent><p>-34<button>-2</button></div><main><article class='post has-sidebar'><h1>+9</h1><div class=byline>+4</div><p>+62<p>+48 <a>4</a> 20"
+    "<div class=share-buttons><a>-1</a><a>1</a></div><h2>+4</h2><p>+85<blockquote>+14</blockquote><ul><li>+6<li>+9<li>+5</ul><figure><figcaption>+8</figcaption></figure><p>+57<aside class=related><h3>-3</h3><ul><li><a>-8</a><li><a>-7</a></ul></aside>"
+    "<p>+33<form class=newsletter><label>-6</label><button>-1</button></form></article><section id=comments><h3>-2</h3><article class=comment><p>-31</article><article class=comment><p>-64</article><article class=comment><p>-9</article></section></main>"
+    "<aside><h3>-2</h3><p>-22<ul><li><a>-6</a><li><a>-5</a></ul></aside><footer><p>-18<a>-2</a><a>2</a></footer>",
+    # a blog of plain divisions
+    "<div id=header><a>-4</a></div><div id=menu><a>-1</a> <a>1</a> <a>1</a></div><div class=post><h2>+6</h2><p>+44<p>+71<p>+5<pre>+22</pre><p>+38 <a>2</a> 9</div><div class=sidebar><h4>-2</h4><p>-27<a>-3</a><br><a>-2</a></div><div class=comments><p>-41<p>-18</div><div id=footer>-12</div>",
+    "<div class=navbar><ul><li><a>-1</a><li><a>-1</a><li><a>-1</a></ul></div><div class=entry><h1>+7</h1><p>+52<p>+61<p><a>+7</a><p>+45<table><tr><td>+2<td>+1<tr><td>+3<td>+1</table><p>+28</div><div class=advert>-25</div><div class=copyright>-9</div>",
+    # pages without any mark: word counts and links alone
+    "<div><a>-1</a> <a>1</a> <a>2</a> <a>1</a></div><div><h1>+6</h1><p>+55<p>+42<p>+3<p>+67</div><div><a>-3</a> <a>2</a></div><div>-6</div>",
+    "<table><tr><td><a>-2</a><br><a>-1</a><br><a>-3</a><td><b>+5</b><p>+80<p>+36<p>+51<p>+12<p>+44</table><p><a>-2</a> <a>2</a><p>-5",
+    "<p><a>-2</a> | <a>1</a><p>+24<p>+31<p>+18<p>+66<p><a>-1</a> <a>2</a>",
+    "<div>-3</div><div><a>-5</a></div><div><a>-6</a></div><div><a>-4</a></div><div>+38</div><div>+49</div><div><a>-5</a></div><div>-4</div><div><a>-2</a></div>",
+    "<p>+70", "<p>+19<p>+26", "<p>+34<p>+2<p>+47<p><a>-1</a>",
+    "<h1>+3</h1><p>+47<p>+5<p>+58<hr><p>-4 <a>3</a>",
+    # a page of links: nothing to keep
+    "<ul><li><a>-4</a><li><a>-6</a><li><a>-3</a><li><a>-9</a></ul><p>-3<p><a>-12</a><p><a>-15</a> 2<p>-2",
+    # wrappers whose names mislead
+    "<div class=content-with-sidebar><article><h1>+5</h1><p>+39<p>+2<p>+56</article></div><div class=sidebar><p>-21<a>-4</a></div><footer>-8</footer>",
+    "<main class='page comments-open'><p>+8<p>+46<p>+35<p>+3</main><footer>-6 <a>1</a></footer>",
+    "<form><div class=menu><a>-1</a><a>1</a></div><main><h1>+4</h1><p>+29<p>+73<p>+6</main><div>-7</div></form>",
+    "<div class=page-header><h1>-3</h1></div><nav><a>-1</a><a>2</a></nav><main><h2>+5</h2><p>+66<div class=notice><p>-24</div><p>+41<div class='ad sponsored'><p>-30<a>-3</a></div><p>+52</main><footer><p>-40<p>-15</footer>",
+    # questions, steps, recipes: many short blocks in an article
+    "<header>-2</header><article><h1>+6</h1><p>+21<h2>+1</h2><ul><li>+3<li>+2<li>+4<li>+2</ul><h2>+1</h2><ol><li>+11<li>+9<li>+14</ol><p>+7</article><div class=social><a>-1</a> <a>1</a></div><div>-11</div>",
+    "<article><h1>+4</h1><dl><dt>+5<dd>+33<dt>+6<dd>+27<dt>+4<dd>+41</dl><p><a>+9</a><p>+15 <a>8</a></article><aside><p>-55<p>-35</aside><footer>-16</footer>",
+    # very short and very long ones
+    "<article><p>+3</article>", "<main><p>+4</main>", "<article><h1>+2</h1></article><footer>-4</footer>", "<div class=post><p>+2<p>+3</div>", "<article><p>+1<p>+1<p>+2</article><aside>-2</aside>",
+    "<article><h1>+3</h1><p>+400<p>+900</article><footer><p>-120<p>-80</footer>", "<nav><a>-1</a></nav><article>+6</article><div class=comments><p>-150<p>-220</div>", "<div class=cookie>-60</div><article>+4</article>",
+    "<article><p>+11<p><a>+6</a><p><a>+3</a> 4<p>+25</article>", "<article><h2><a>+7</a></h2><p>+31<p>+17 <a>12</a></article><nav><a>-9</a><a>7</a></nav>", "<p>-2", "<p>+17", "<p>+33", "<div class=post>+30</div>", "<div class=entry>+9</div>", "<nav><a>-3</a></nav><p>-3", "<footer><p>-33</footer>", "<form><p>-16<p>-4</form>",
+    # what is no article text at the end of an article
+    "<article><p>+4<div class=share>-1</div><section id=comments><p>-9</section></article>", "<article><h1>+3</h1><p>+40<aside>-12</aside></article>", "<main><p>+25<p>+31<div class=comments><p>-20<p>-44</div></main>",
+    "<article><p>+18<form class=newsletter>-7</form></article>", "<article><p>+60<p>+35<div class=share><a>-1</a> <a>1</a></div></article>", "<div class=entry><p>+41<p>+12<div class=related><a>-6</a></div></div>",
+    # a long notice and a long advert beside a short article
+    "<div class=gdpr><p>-85<p>-40</div><article><h1>+3</h1><p>+14<p>+22</article><div class=promo><h3>-4</h3><p>-60</div><div class=subscribe><p>-28</div><footer>-30</footer>",
+)
 
 
 class Tree:
-    """Binary decision tree by Gini impurity, grown until the labelled rows are told apart or ``depth`` is reached."""
+    """Binary decision tree by Gini impurity; the first ``density_levels`` levels split by DENSITIES only, the next ones by all features, until the labels are told apart or ``depth`` is reached."""
 
-    def __init__(self, rows: np.ndarray, labels: np.ndarray, depth: int = 7, least: int = 1):
+    def __init__(self, rows: np.ndarray, labels: np.ndarray, depth: int = 9, density_levels: int = 3, least: int = 1):
         share = labels.mean() if len(labels) else 0.0
         self.value, self.split = bool(share >= 0.5), None
         if depth == 0 or len(labels) < 2 * least or share in (0.0, 1.0):
             return
         best = None
-        for j in range(rows.shape[1]):
+        for j in range(len(DENSITIES) if density_levels > 0 else rows.shape[1]):
             order = np.argsort(rows[:, j], kind="stable")
             x, y = rows[order, j], labels[order]
             left, n = np.cumsum(y)[:-1], len(y)
@@ -83,7 +106,7 @@ class Tree:
             return
         _, j, at = best
         below = rows[:, j] <= at
-        self.split = (j, at, Tree(rows[below], labels[below], depth - 1, least), Tree(rows[~below], labels[~below], depth - 1, least))
+        self.split = (j, at, *[Tree(rows[side], labels[side], depth - 1, density_levels - 1, least) for side in (below, ~below)])
 
     def predict(self, rows: np.ndarray) -> np.ndarray:
         if self.split is None:
@@ -94,77 +117,145 @@ class Tree:
         out[below], out[~below] = left.predict(rows[below]), right.predict(rows[~below])
         return out
 
+    def by_densities(self, rows: np.ndarray) -> np.ndarray:
+        """Which rows are decided without a look at a hint."""
+        if self.split is None:
+            return np.full(len(rows), True)
+        j, at, left, right = self.split
+        if j >= len(DENSITIES):
+            return np.full(len(rows), False)
+        below = rows[:, j] <= at
+        out = np.empty(len(rows), dtype=bool)
+        out[below], out[~below] = left.by_densities(rows[below]), right.by_densities(rows[~below])
+        return out
+
+
+def labelled_blocks(page: str) -> tuple[list[Block], bool, np.ndarray]:
+    """Blocks of a labelled page written out, whether it marks an article, and the label of each block."""
+    first = {"+": "kept", "-": "left", "": "w"}
+    written = re.sub(r"(?<![\w<])([+-]?)(\d+)(?!\w)", lambda m: first[m[1]] + " w" * (int(m[2]) - 1), page)
+    found, has_article = blocks(written)
+    return found, has_article, np.array([b.text[0].startswith("kept") for b in found], dtype=np.float64)
+
+
+#: Each labelled page is also read so many times with other lengths; by how much (as powers of e) they vary with and without marked parts.
+VARIANTS, VARY_MARKED, VARY_BARE = 12, 1.2, 0.25
+
+
+def varied(page: str, rng: np.random.Generator) -> str:
+    """A labelled page with all lengths changed at random."""
+    most = VARY_MARKED if re.search(r"<(article|main|nav|footer|form)|class=|id=", page) else VARY_BARE
+    return re.sub(r"(?<![\w<])\d+(?!\w)", lambda m: str(max(1, round(int(m[0]) * float(np.exp(rng.uniform(-most, most)))))), page)
+
 
+@lru_cache
 def trained() -> Tree:
-    """The tree of the labelled table."""
-    rows = np.array(LABELLED, dtype=np.float64)
-    return Tree(rows[:, :-1], rows[:, -1])
+    """The tree of the labelled pages and their variants."""
+    rng = np.random.default_rng(5)
+    pages = [labelled_blocks(page) for page in LABELLED_PAGES]
+    pages += [labelled_blocks(varied(page, rng)) for _ in range(VARIANTS) for page in LABELLED_PAGES]
+    return Tree(np.concatenate([features(f, a) for f, a, _ in pages]), np.concatenate([y for _, _, y in pages]))
 
 
 # ---------------------------------------------------------------------------
-# Flat blocks.
+# Tags.
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(script|style|noscript|template|svg|math|iframe|object|textarea|select|title|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"""(class|id|role|hidden|style|aria-hidden|itemprop)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_NAME = r"(?:=[^\s/>=]*+|[^\s/>=]++)"
+_VALUE = r"""(?>"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+|)"""
+#: A comment, a declaration, or a tag with its attributes; every form ends at the end of the page at the latest, so no place is read twice.
+_TOKEN = re.compile(rf"<!--(?:-?>|(?s:.*?)(?:--!?>|\Z))|<[!?][^>]*+>?|</(?![a-zA-Z])[^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?>[\s/]++|{_NAME}(?:\s*+=\s*+{_VALUE})?+)*+)(?:>|\Z)")
+_ATTR = re.compile(rf"([^\s/>=]++|=[^\s/>=]*+)(?:\s*+=\s*+({_VALUE}))?+")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+_END_OF = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>?", re.I) for t in _RAW}
+#: Elements whose text is not part of the page; those of the second set end at the next block tag.
+_SILENT = frozenset("noscript template object canvas audio video svg math select".split())
+_FRAGILE = frozenset("svg math select".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
-    "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
+    "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_MARKED_TAGS = frozenset("nav footer aside form menu dialog button fieldset head".split())
-_MARKED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-# Words of class and id names that mark parts beside the article (fixed values).
-_MARKED_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted banner nav navbar navigation menu breadcrumb breadcrumbs crumbs sidebar sidebars side rail footer foot masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending popular comment comments commentlist disqus reply replies respond discussion widget widgets toolbar pagination pager copyright legal disclaimer skip search form paywall teaser outbrain taboola".split()
+_CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_LIMITS = frozenset("ul ol dl table div section article main body td th".split())
+
+# ---------------------------------------------------------------------------
+# Hints.
+
+_BESIDE_TAGS = frozenset("nav footer aside menu dialog button head search".split())
+_BESIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+# Words of class and id names (fixed values): parts that never hold the article, parts
+# that may stand round it, parts that are the article, and words that tell a state.
+_STRONG_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted nav navbar navigation menu breadcrumb breadcrumbs crumbs footer foot cookie cookies consent gdpr newsletter subscribe subscription related recommended recommendations trending popular comment comments commentlist disqus reply replies respond discussion teaser outbrain taboola".split()
+)
+_WEAK_WORDS = frozenset(
+    "banner sidebar sidebars side rail masthead topbar notice notices notification alert popup modal overlay signup login share sharing social widget widgets toolbar pagination pager copyright legal disclaimer skip search form paywall".split()
 )
 _HEADER_WORDS = frozenset(("header", "head"))
 _ARTICLE_WORDS = frozenset("article articlebody post entry story content maincontent main".split())
-_CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_LIMITS = frozenset("ul ol dl table div section article main body td th".split())
+_STATE_WORDS = frozenset("has have with no without not is are open opened closed enabled disabled allow allows layout wrapper wrap container".split())
 
 
 @dataclass
 class Block:
-    """A run of text without a block tag inside."""
+    """A run of text without a block tag inside, and what its surroundings say."""
 
     text: list[str] = field(default_factory=list)
     link_words: int = 0
-    zone: int = 0
+    article: int = 0
+    beside: int = 0
     heading: bool = False
 
 
-def _marks(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is marked as beside the article, and whether as the article."""
-    marked, article = tag in _MARKED_TAGS or (tag == "header" and not in_article), tag in ("article", "main")
+def _marks(tag: str, attrs: str, in_article: bool) -> tuple[int, int, bool]:
+    """How far an element says to stand beside the article (2: never holds it, 1: may stand round it), or to be the article (2: by tag, 1: by name); whether it is hidden."""
+    beside = 2 if tag in _BESIDE_TAGS else 1 if tag in ("form", "fieldset") or (tag == "header" and not in_article) else 0
+    article, hidden = 2 if tag in ("article", "main") else 0, False
     if attrs and not attrs.isspace():
-        for name, a, b, c in _ATTR.findall(attrs):
-            name, value = name.lower(), a or b or c
+        for name, value in _ATTR.findall(attrs):
+            name, value = name.lower(), value.strip("\"'") if value[:1] in "\"'" else value
             if name in ("class", "id", "itemprop"):
-                words = {w.lower() for w in _PART.findall(value)}
-                if words & _MARKED_WORDS or (words & _HEADER_WORDS and not in_article and tag not in _HEADINGS and not words & _ARTICLE_WORDS):
-                    marked = True
-                elif tag in ("div", "section") and words & _ARTICLE_WORDS:
-                    article = True
+                for token in value.split():
+                    words = {w.lower() for w in _PART.findall(token)}
+                    if words & _STATE_WORDS:
+                        words -= _STRONG_WORDS | _WEAK_WORDS | _HEADER_WORDS
+                    if words & _STRONG_WORDS:
+                        beside = 2
+                    elif words & _WEAK_WORDS or (words & _HEADER_WORDS and not in_article and tag not in _HEADINGS and not words & _ARTICLE_WORDS):
+                        beside = max(beside, 1)
+                    elif tag in ("div", "section") and words & _ARTICLE_WORDS:
+                        article = max(article, 1)
             elif name == "role":
-                marked |= value.lower() in _MARKED_ROLES
-                article |= value.lower() in ("main", "article")
+                beside = max(beside, 2 * (value.lower() in _BESIDE_ROLES))
+                article = max(article, 2 * (value.lower() in ("main", "article")))
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-                marked = True
-    return marked and tag not in ("html", "body"), article and not marked
+                hidden = True
+    if tag in ("html", "body"):
+        return 0, 0, False
+    return beside, article, hidden
+
+
+def _inside(around: tuple[int, int], tag: str, attrs: str) -> tuple[int, int]:
+    """(article, beside) inside an element, from those around it."""
+    article, beside = around
+    own, says, hidden = _marks(tag, attrs, article > 0)
+    if hidden:
+        return 0, 3
+    if says and beside < 3 and (tag == "main" or (not own and (beside < 2 if says == 2 else beside < 1))):
+        return max(article, says), 0
+    if tag == "article" and own == 1:  # its name speaks of what else it holds
+        return (2, 0) if beside < 2 else around
+    return article, max(beside, own)
 
 
 def blocks(page: str) -> tuple[list[Block], bool]:
     """Flat blocks with text, in page order, and whether the page marks an article."""
     found: list[Block] = []
     current = Block()
-    stack: list[tuple[str, int]] = []  # open elements and the zone inside each
-    zone, links, heading, has_article = 0, 0, 0, False
+    stack: list[tuple[str, tuple[int, int]]] = []  # open elements, and (article, beside) inside each
+    n_open: Counter = Counter()
+    around, silent, has_article = (0, 0), 0, False
 
     def flush() -> None:
         nonlocal current
@@ -176,77 +267,83 @@ def blocks(page: str) -> tuple[list[Block], bool]:
             current = Block()
 
     def text(raw: str) -> None:
-        if raw:
+        if raw and not silent:
             if not current.text:
-                current.zone, current.heading = zone, heading > 0
+                (current.article, current.beside), current.heading = around, any(n_open[h] for h in _HEADINGS)
             current.text.append(raw)
-            if links:
+            if n_open["a"]:
                 current.link_words += len(raw.split())
 
     def close(upto: int) -> None:
-        nonlocal zone, links, heading
+        nonlocal around, silent
         while len(stack) > upto:
             tag, _ = stack.pop()
-            links -= tag == "a"
-            heading -= tag in _HEADINGS
-        zone = stack[-1][1] if stack else 0
+            n_open[tag] -= 1
+            silent -= tag in _SILENT
+        around = stack[-1][1] if stack else (0, 0)
+
+    def last(names: tuple[str, ...]) -> int:
+        return next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in names)
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    while (m := _TOKEN.search(page, at)) is not None:
         text(page[at : m.start()])
         at = m.end()
-        tag = (m[3] or "").lower()
-        if not tag:
-            if m[1]:
-                text(" ")
+        tag = (m[2] or "").lower()
+        if not tag or (at == len(page) and page[-1] != ">"):  # a tag that never ends is no tag, and takes the rest of the page with it
             continue
         if tag in _BLOCK:
             flush()
-        if m[2]:
-            at_open = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at_open is not None:
-                close(at_open)
+        if m[1]:
+            if n_open[tag] > 0:
+                close(last((tag,)))
+            continue
+        if tag in _RAW:
+            end = _END_OF[tag].search(page, at)
+            at = end.end() if end else len(page)
+            text(" ")
             continue
+        if tag in _BLOCK and silent and tag not in ("option", "optgroup"):
+            while any(n_open[t] > 0 for t in _FRAGILE):
+                close(last(tuple(_FRAGILE)))
         if tag in _VOID:
             continue
         if tag in _BLOCK:
-            names = [t for t, _ in stack]
             ends = _CLOSED_BY.get(tag, ())
-            for i in range(len(names) - 1, -1, -1):
-                if names[i] == "p" or names[i] in ends or (names[i] in _HEADINGS and tag in _HEADINGS):
-                    close(i)
-                    break
-                if names[i] in _LIMITS:
-                    break
-        elif tag == "a" and links:
-            close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "a"))
-        marked, article = _marks(tag, m[4], zone == 1)
-        if article and zone >= 0:
-            zone, has_article = 1, True
-        elif marked:
-            zone = -1
-        if m[4].rstrip().endswith("/") and tag not in _BLOCK:
-            zone = stack[-1][1] if stack else 0
+            p = "p" if not silent else ""  # a hidden part does not end the paragraph it stands in
+            if n_open["p"] > 0 or any(n_open[t] > 0 for t in ends) or tag in _HEADINGS:
+                for i in range(len(stack) - 1, -1, -1):
+                    name = stack[i][0]
+                    if name == p or name in ends or (name in _HEADINGS and tag in _HEADINGS):
+                        close(i)
+                        break
+                    if name in _LIMITS:
+                        break
+        elif tag == "a" and n_open["a"] > 0:
+            close(last(("a",)))
+        elif tag not in _SILENT and tag != "a" and not m[3]:
+            continue  # plain inline elements say nothing
+        if m[3].endswith("/") and tag not in _BLOCK:
             continue
-        stack.append((tag, zone))
-        links += tag == "a"
-        heading += tag in _HEADINGS
-    rest = page[at:]
-    text(rest[: rest.rfind("<")] if re.search(r"<[a-zA-Z/!][^>]*\Z", rest) else rest)
+        around = _inside(around, tag, m[3])
+        has_article |= around[0] > 0 and around[1] == 0
+        stack.append((tag, around))
+        n_open[tag] += 1
+        silent += tag in _SILENT
+    text(page[at:])
     flush()
     return found, has_article
 
 
 def features(found: list[Block], has_article: bool) -> np.ndarray:
     """The features of each block of a page."""
-    n = len(found)
     words = np.array([len(b.text[0].split()) for b in found], dtype=np.float64)
     density = np.minimum(1.0, np.array([b.link_words for b in found], dtype=np.float64) / np.maximum(words, 1))
-    out = np.zeros((n, len(FEATURES)))
+    out = np.zeros((len(found), len(FEATURES)))
     out[:, 0], out[:, 1] = words, density
     out[1:, 2], out[1:, 3] = words[:-1], density[:-1]
     out[:-1, 4], out[:-1, 5] = words[1:], density[1:]
-    out[:, 6], out[:, 7], out[:, 8] = [b.zone for b in found], has_article, [b.heading for b in found]
+    out[:, 6], out[:, 7], out[:, 8], out[:, 9] = [b.article for b in found], [b.beside for b in found], has_article, [b.heading for b in found]
     return out
 
 

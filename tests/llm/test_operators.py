@@ -201,10 +201,6 @@ def test_extract(spark):
     assert html_blocks.extract(pages.limit(0)).count() == 0
 
 
-def test_tree_tells_its_table_apart():
-    rows = np.array(html_blocks.LABELLED)
-    assert (html_blocks.trained().predict(rows[:, :-1]) == rows[:, -1]).all()
-
 
 # --- 6, 8: tokens ------------------------------------------------------------------------
 
