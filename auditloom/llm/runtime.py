@@ -8,6 +8,7 @@ survives the loss of any executor and cuts the lineage.
 from __future__ import annotations
 
 import atexit
+import hashlib
 import re
 import tempfile
 import uuid
@@ -16,15 +17,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder: ``spark.checkpoint.dir``, or a fresh temporary folder where that is unset (tests)."""
+    """URI of the shared folder: ``spark.checkpoint.dir``; where that is unset a fresh temporary folder on a local master (tests), and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="auditloom-")
@@ -76,15 +80,47 @@ def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-rows // per_partition))
 
 
+# ---------------------------------------------------------------------------
+# Hot keys.
+
+#: A key is hot if it has more than LEAST_HOT rows, and more than 1 / HOT of the rows of all such keys; so there are at most HOT of them.
+HOT, LEAST_HOT = 4096, 64
+
+
+def hot_keys(counts: DataFrame, key: str, n: str) -> DataFrame:
+    """The hot ones among ``counts`` (one row per key with its ``n`` rows): key, copies (into how many parts its rows should be cut) - at most HOT rows, with at most 2 HOT copies in all."""
+    large = counts.where(F.col(n) > LEAST_HOT).select(key, F.col(n).alias("n"))
+    total = large.agg(F.sum("n")).first()[0]
+    if total is None:
+        return counts.sparkSession.createDataFrame([], T.StructType([counts.schema[key], T.StructField("copies", T.IntegerType())]))
+    most = max(LEAST_HOT, total // HOT)
+    return materialize(large.where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("copies")), "hot")
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``table`` (at most one small row per key) so that no task gets all rows of a hot key: these stay where they are and meet a broadcast of at most HOT rows of ``table``; all others are dealt out by key."""
+    keys = F.broadcast(hot.select(key))  # at most HOT rows
+    few = F.broadcast(table.join(keys, key, "left_semi"))  # at most HOT rows, too
+    return rows.join(keys, key, "left_semi").join(few, key, how).unionByName(rows.join(keys, key, "left_anti").join(table.hint("merge"), key, how))
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, by: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` joined to ``table`` (rows of any width) by key and the columns ``also``: the rows of a hot key are cut into parts by the hash of ``by``, each with copies of the table's rows."""
+    copies = F.broadcast(hot.select(F.col(key).alias("__hot"), "copies"))  # at most HOT rows
+    left = rows.join(copies, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.pmod(F.xxhash64(by), F.coalesce("copies", F.lit(1)).cast("long")).cast("int")).drop("__hot", "copies")
+    right = table.join(copies, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("__hot", "copies")
+    return left.join(right.hint("merge"), [key, *also, "__salt"]).drop("__salt")
+
+
 # ---------------------------------------------------------------------------
 # Words of UTF-8 buffers.  Both word classes are classes of bytes: every byte of
 # a character beyond ASCII is 0x80 or more and belongs to words.
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_SEEDS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _STEP = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-_SEGMENT = 1 << 18
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Longer words (in bytes) are hashed one by one.
+_LONG_WORD = 512
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -101,19 +137,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_table(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    if base not in _powers or len(_powers[base][0]) < n:
-        n = max(n, _SEGMENT + 1)
-        inverse = pow(base, -1, 1 << 64)
-        made = []
-        for b in (base, inverse):
-            p = np.full(n, np.uint64(b))
-            p[0] = 1
-            made.append(np.multiply.accumulate(p))
-        _powers[base] = (made[0], made[1])
-    return _powers[base]
-
-
 class Words:
     """Words of a batch of texts: ``doc[i]:doc[i+1]`` are the words of text i; ``starts``/``ends`` are byte positions in ``buf``."""
 
@@ -135,19 +158,24 @@ class Words:
         self.counts = np.diff(self.doc)
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word; ``which`` picks one of two independent families."""
-        out = np.empty(len(self.starts), dtype=np.uint64)
-        i = 0
-        while i < len(out):
-            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + _SEGMENT, "right")))
-            lo, hi = int(self.starts[i]), int(self.ends[j - 1])
-            pw, inv = _power_table(_BASES[which], hi - lo + 1)
-            sums = np.zeros(hi - lo + 1, dtype=np.uint64)
-            np.cumsum((self.buf[lo:hi].astype(np.uint64) + np.uint64(1)) * pw[: hi - lo], out=sums[1:])
-            s, e = self.starts[i:j] - lo, self.ends[i:j] - lo
-            out[i:j] = (sums[e] - sums[s]) * inv[s]
-            i = j
-        return mix(out + (self.ends - self.starts).astype(np.uint64) * np.uint64(_STEP[which]))
+        """A 64-bit hash of each word, eight bytes at a time through a mixing step; ``which`` picks one of two independent families."""
+        length = self.ends - self.starts
+        out = length.astype(np.uint64) * np.uint64(_STEP[which]) ^ np.uint64(_SEEDS[which])
+        padded = np.concatenate([self.buf, np.zeros(8, dtype=np.uint8)])
+        eight = np.ndarray((len(self.buf) + 1,), dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from every place on
+        at = np.flatnonzero(length <= _LONG_WORD)
+        done = 0
+        while len(at):
+            chunk, left = eight[self.starts[at] + done], length[at] - done
+            short = left < 8
+            chunk[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+            out[at] = mix(out[at] ^ chunk)
+            done += 8
+            at = at[left > 8]
+        for i in np.flatnonzero(length > _LONG_WORD):
+            own = hashlib.blake2b(self.buf[self.starts[i] : self.ends[i]].tobytes(), digest_size=8, salt=str(which).encode())
+            out[i] = np.frombuffer(own.digest(), dtype="<u8")[0]
+        return out
 
     def grams(self, hashed: np.ndarray, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of k words within a text, and how many each text has."""

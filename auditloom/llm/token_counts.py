@@ -5,9 +5,11 @@ text.  Blocks of the files are searched for that id with one vectorised
 comparison each; a prefix scan over a file's blocks then tells every separator its
 ordinal and the separator before it, also across block boundaries.
 
-Defined cases: null and empty texts have 0 tokens; repeated rows are counted each
-by itself; the strings of special tokens in a text are ordinary text, so no text
-can hold a separator; an empty table gives an empty result.
+Defined cases: null and empty texts have 0 tokens; texts of any length are counted
+whole, also across blocks; repeated rows are counted each by itself, so there are no
+ties; the strings of special tokens in a text are ordinary text, so no text can hold
+a separator; a vocabulary with ids beyond 16 bits is refused (ValueError); an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .runtime import Stored, list_column, materialize, remove, scratch, slices
 from .warc import file_system
 
 END_OF_DOCUMENT = 50256
+#: Files hold 16-bit ids.
+MOST_ID = (1 << 16) - 1
 #: A file is closed beyond so many bytes; blocks are searched by one task each.
 FILE_BYTES, BLOCK_BYTES = 256 << 20, 8 << 20
 
@@ -43,6 +47,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                     name, size, ordinal = f"tokens-{uuid.uuid4().hex}.u16", 0, 0
                     out = store.open_output_stream(f"{base}/{name}")
                 ids, counts = encode.batch(part.column(1))
+                if len(ids) and ids.max() > MOST_ID:
+                    raise ValueError(f"token id {ids.max()} does not fit a file of 16-bit ids")
                 at = np.cumsum(counts)
                 flat = np.insert(ids, at, end_id).astype("<u2")
                 out.write(flat.tobytes())
