@@ -1,27 +1,36 @@
 """Exact deduplication against immutable snapshots.
 
 A snapshot's digests are dealt to buckets; each bucket has a static binary fuse
-filter.  Digests of an incoming batch are grouped within the batch, screened by
-the filters, and only those that pass join the exact buckets.  Members of every
-class of more than one row are then compared byte for byte with the row that stays.
-
-Defined cases: null text is empty text; empty texts are equal to each other; a
-null id never stays unless all ids of its class are null; rows that repeat both
-id and text each count in ``group_size`` and are all marked kept (a tie).
+filter, built once and never changed.  Digests of an incoming batch are grouped
+within the batch, screened by the filters of every earlier snapshot, and only those
+that pass join the exact buckets.  The digests that turn out to repeat get filters
+of their own; probed where a text is read, they keep texts that occur once out of
+the shuffle.  Members of every class of more than one row are then compared byte for
+byte with the row that stays.
+
+Defined cases: null text is empty text; empty texts are equal to each other; texts of
+any length are digested and compared whole; a null id never stays unless all ids of
+its class are null; rows that repeat both id and text each count in ``group_size``
+and are all marked kept (a tie); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fuse
-from .runtime import Stored, materialize, partitions_for
+from .runtime import Stored, hot_join, hot_keys, materialize, partitions_for, salted_join
 
 #: Digests in one bucket, so in one filter and one task's group.
 BUCKET_ROWS = 200_000
+#: Filters of at most so many digests (about 1.2 bytes each) are held by every worker.
+MOST_FILTERED = 50_000_000
 
 
 def _bucket(n: int):
@@ -37,68 +46,151 @@ def classes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("n_rows"))
 
 
-def snapshot_filters(snapshot: DataFrame, buckets: int) -> DataFrame:
-    """One binary fuse filter per bucket of a snapshot's classes."""
+def _dealt(classes_: DataFrame, buckets: int) -> DataFrame:
+    return classes_.select(_bucket(buckets).alias("bucket"), "digest")
+
+
+def filters_of(classes_: DataFrame, buckets: int) -> DataFrame:
+    """One binary fuse filter per bucket of digests."""
 
     def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"bucket": [key[0]], "filter": [fuse.build(_key64(frame["digest"]))]})
 
-    return snapshot.select(_bucket(buckets).alias("bucket"), "digest").groupBy("bucket").applyInPandas(one, "bucket int, filter binary")
+    return _dealt(classes_, buckets).groupBy("bucket").applyInPandas(one, "bucket int, filter binary")
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """An immutable batch: its classes (digest, last_id, n_rows), and a filter for each of its buckets."""
+
+    classes: DataFrame
+    filters: DataFrame
+    buckets: int
+
+    @classmethod
+    def of(cls, rows: DataFrame) -> Snapshot:
+        """The snapshot of a batch of rows (digest, doc_id)."""
+        found = materialize(classes(rows), "classes")
+        buckets = partitions_for(rows.sparkSession, found.count(), BUCKET_ROWS)
+        return cls(found, materialize(filters_of(found, buckets), "filters"), buckets)
+
+    def save(self, folder: str) -> None:
+        """Write the snapshot to a folder, where ``load`` finds it."""
+        self.classes.withColumn("bucket", _bucket(self.buckets)).write.parquet(f"{folder}/classes")
+        self.filters.withColumn("buckets", F.lit(self.buckets)).write.parquet(f"{folder}/filters")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> Snapshot:
+        """A saved snapshot; its filters are those that were built with it."""
+        filters = spark.read.schema("bucket int, filter binary, buckets int").parquet(f"{folder}/filters")
+        first = filters.select("buckets").first()
+        return cls(spark.read.schema("digest binary, last_id long, n_rows long").parquet(f"{folder}/classes"), filters.drop("buckets"), first[0] if first else 1)
+
+    def screen(self, incoming: DataFrame) -> DataFrame:
+        """digest of the incoming classes that pass their bucket's filter."""
+
+        def probe(frame: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            if not len(frame) or not len(own):
+                return pd.DataFrame({"digest": pd.Series([], dtype=object)})
+            return frame.loc[fuse.contains(own["filter"].iloc[0], _key64(frame["digest"])), ["digest"]]
+
+        return _dealt(incoming, self.buckets).groupBy("bucket").cogroup(self.filters.groupBy("bucket")).applyInPandas(probe, "digest binary")
 
+    def known(self, incoming: DataFrame) -> DataFrame:
+        """The snapshot's classes that incoming classes (digest) belong to: only what passes a filter meets the exact buckets."""
+        return self.classes.join(self.screen(incoming), "digest", "left_semi")
 
-def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
-    """Incoming classes whose digest passes its bucket's filter."""
-    schema = "digest binary"
 
-    def probe(frame: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if not len(frame) or not len(own):
-            return pd.DataFrame({"digest": pd.Series([], dtype=object)})
-        return frame.loc[fuse.contains(own["filter"].iloc[0], _key64(frame["digest"])), ["digest"]]
+_loaded: dict[str, tuple[int, dict[int, bytes]]] = {}
 
-    dealt = incoming.select(_bucket(buckets).alias("bucket"), "digest")
-    return dealt.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(probe, schema)
+
+def _filters_at(path: str) -> dict[int, bytes]:
+    """Filters written to the shared folder, read once by each worker."""
+    if path not in _loaded:
+        from pyarrow import parquet
+
+        from .warc import file_system
+
+        store, base = file_system(path)
+        _loaded.clear()  # one set at a time
+        found = parquet.read_table(base, filesystem=store)
+        _loaded[path] = dict(zip(found.column("bucket").to_pylist(), found.column("filter").to_pylist(), strict=True))
+    return _loaded[path]
+
+
+def may_repeat(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """The rows (column digest) whose digest may be among ``several``, found where they are read; all rows where the filters would be too large for every worker to hold."""
+    n = several.count()
+    if n > MOST_FILTERED:
+        return rows
+    buckets = max(1, -(-n // BUCKET_ROWS))
+    stored = Stored(filters_of(several, buckets), "filters")
+    path = stored.path
+
+    @F.pandas_udf("boolean")
+    def passes(bucket: pd.Series, digest: pd.Series) -> pd.Series:
+        out = np.zeros(len(digest), dtype=bool)
+        for b, own in _filters_at(path).items():
+            at = np.flatnonzero(bucket.to_numpy() == b)
+            if len(at):
+                out[at] = fuse.contains(own, _key64(digest.iloc[at]))
+        return pd.Series(out)
+
+    return rows.where(passes(_bucket(buckets), F.col("digest")))
+
+
+def repeated(digests: DataFrame, snapshots: int) -> DataFrame:
+    """digest, last_id, n_rows of the classes of more than one row; rows (doc_id, digest, batch) come in as so many snapshots."""
+    held: list[Snapshot] = []
+    common = None
+    for i in range(snapshots):
+        new = Snapshot.of(digests.where(F.col("batch") == i))
+        for old in held:
+            both = old.known(new.classes).select("digest")
+            common = both if common is None else common.unionByName(both)
+        held.append(new)
+    all_classes = functools.reduce(DataFrame.unionByName, [s.classes for s in held])
+    within = all_classes.where("n_rows > 1").select("digest", "last_id", "n_rows")
+    if common is None:
+        return within
+    common = materialize(common.distinct(), "common")
+    across = all_classes.join(common, "digest", "left_semi").groupBy("digest").agg(F.max("last_id").alias("last_id"), F.sum("n_rows").alias("n_rows"))
+    return across.unionByName(within.join(common, "digest", "left_anti"))
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", snapshots: int = 2) -> DataFrame:
     """Keep the largest id of each set of equal texts.
 
-    The table is folded in as ``snapshots`` immutable batches: each is grouped by
-    itself, screened against the filters of those before it, and merged.
+    The table comes in as ``snapshots`` immutable batches: each is grouped by itself
+    and screened against the filters of those before it.
     Returns doc_id, keep_id, group_size, kept, text_sha256 - one row per input row.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(snapshots)).cast("int")
     digests = materialize(read.select("doc_id", "digest", batch.alias("batch")), "digests")
-    known = None
-    for i in range(snapshots):
-        fresh = materialize(classes(digests.where(F.col("batch") == i)), "classes")
-        if known is None:
-            known = fresh
-            continue
-        buckets = partitions_for(spark, max(known.count(), fresh.count()), BUCKET_ROWS)
-        filters = materialize(snapshot_filters(known, buckets), "filters")
-        passed = materialize(screen(fresh, filters, buckets), "passed")
-        # exact buckets: only what passed its filter meets the snapshot
-        pairs = fresh.join(passed, "digest", "left_semi").unionByName(known.join(passed, "digest", "left_semi"))
-        merged = pairs.groupBy("digest").agg(F.max("last_id").alias("last_id"), F.sum("n_rows").alias("n_rows"))
-        apart = fresh.join(passed, "digest", "left_anti").unionByName(known.join(passed, "digest", "left_anti"))
-        known = materialize(merged.unionByName(apart), "snapshot")
-    several = materialize(known.where("n_rows > 1").select("digest", "last_id"), "several")
-
-    # the hint keeps one plan at every size: texts are always dealt out by digest
-    members = Stored(read.join(several.hint("merge"), "digest").select("doc_id", "digest", "last_id", "text"), "members")
+    several = materialize(repeated(digests, snapshots), "several")
+
+    hot = hot_keys(several, "digest", "n_rows")
+    several = several.drop("n_rows")
+
+    # one plan at every size: what may repeat is dealt out by digest
+    members = Stored(salted_join(may_repeat(read, several), several, "digest", hot, "doc_id").select("doc_id", "digest", "last_id", "text"), "members")
     stays = members.df.where(F.col("doc_id").eqNullSafe(F.col("last_id"))).groupBy("digest").agg(F.min("text").alias("stay_text"))
-    stays = Stored(stays, "stays")  # written first, so that a large class's side of the join can be split
+    stays = Stored(stays, "stays")
     same = F.col("text") == F.col("stay_text")
-    checked = materialize(members.df.join(stays.df, "digest").select("doc_id", "digest", F.when(~same, F.col("text")).alias("variant")), "checked")
+    checked = salted_join(members.df, stays.df, "digest", hot, "doc_id").select("doc_id", "digest", F.when(~same, F.col("text")).alias("variant"))
+    checked = materialize(checked, "checked")
     members.drop()
     stays.drop()
-    groups = checked.groupBy("digest", "variant").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    joined = checked.alias("c").join(groups.alias("g"), (F.col("c.digest") == F.col("g.digest")) & F.col("c.variant").eqNullSafe(F.col("g.variant")))
-    grouped = joined.select("c.doc_id", "g.keep_id", "g.group_size", "c.digest")
-    single = digests.join(several, "digest", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
+    counted = [F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
+    equal = checked.where("variant is null").select("doc_id", "digest")
+    equal = hot_join(equal, materialize(equal.groupBy("digest").agg(*counted), "groups"), "digest", hot)
+    other = checked.where("variant is not null")  # texts of one digest that differ
+    other = other.join(other.groupBy("digest", "variant").agg(*counted), ["digest", "variant"])
+    grouped = equal.unionByName(other.drop("variant")).select("doc_id", "keep_id", "group_size", "digest")
+    single = digests.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(several, "digest", "left_anti")
+    single = single.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
     return grouped.unionByName(single).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
