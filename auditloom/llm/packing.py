@@ -1,11 +1,14 @@
 """Packing token pieces into fixed-length sequences: first-fit decreasing over a tournament tree.
 
-Every text is cut into full sequences and one tail.  Tails are dealt to randomised
-groups; each group fills its own sequences, longest tail first, into the first
-sequence with room, found by a tournament tree over the capacities left.
-
-Defined cases: null and empty texts hold the end id alone; repeated rows are
-packed as often as they occur; an empty table gives an empty result.
+Every text is cut into full sequences and at most one tail.  A full piece is a
+sequence of its own and moves no further; tails are dealt to randomised groups, and
+each group fills its own sequences, longest tail first, into the first sequence with
+room, found by a tournament tree over the capacities left.
+
+Defined cases: null and empty texts hold the end id alone; a text of any length is
+read whole and adds one tail to one group at most; repeated rows are packed as often
+as they occur; tails of one length go in the order of doc_id (nulls last), start,
+checksum and row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ LENGTH = 1024
 END_ID = 0
 #: Tails in one group on average.
 GROUP_TAILS = 8192
+#: Sequence ids of full pieces begin here; those of groups are all smaller.
+FULL_FROM = 1 << 62
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
 
@@ -92,8 +97,9 @@ def first_fit_decreasing(sizes: list[int], length: int) -> tuple[list[int], list
 def packing(docs: DataFrame, *, tokenizer: str, length: int = LENGTH, group_tails: int = GROUP_TAILS) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset - one row per piece."""
     cut = materialize(pieces(docs, tokenizer, length), "pieces")
-    groups = max(1, -(-cut.where(F.col("start") + F.col("length") == F.col("doc_tokens")).count() // group_tails))
-    spread = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "salt", "doc_tokens"), F.lit(groups)))
+    tails = cut.where(F.col("length") < length)
+    groups = max(1, -(-tails.count() // group_tails))
+    spread = tails.withColumn("g", F.pmod(F.xxhash64("doc_id", "salt", "doc_tokens", "ids_crc32"), F.lit(groups)))
 
     def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "doc_id", "start", "ids_crc32", "salt"], ascending=[False, True, True, True, True], kind="stable")
@@ -103,4 +109,6 @@ def packing(docs: DataFrame, *, tokenizer: str, length: int = LENGTH, group_tail
         return frame.drop(columns=["g", "salt"])
 
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return spread.groupBy("g").applyInPandas(pack, out)
+    full = cut.where(F.col("length") == length).drop("salt")
+    full = full.withColumns({"sequence_id": F.monotonically_increasing_id() + FULL_FROM, "offset": F.lit(0).cast("long")})
+    return spread.groupBy("g").applyInPandas(pack, out).unionByName(full)
