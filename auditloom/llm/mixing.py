@@ -2,12 +2,14 @@
 
 Sizes are summed by source and hash bucket; the bucket in which a source's budget
 runs out is the only one refined (three levels of 4096 buckets over a 36-bit hash
-of the id), and the rows below the threshold are taken by a filter.  Thresholds
+of id and text), and the rows below the threshold are taken by a filter.  Thresholds
 are nested: a smaller budget takes a subset.  Nothing is sorted.
 
-Defined cases: null text has size 0; a null source is a source of its own, after
-all others; rows without id hash as the empty id; rows that repeat an id share
-its hash and are taken together; a source whose sizes are all 0 takes nothing.
+Defined cases: null text has size 0 and hashes as the empty text; a null source is a
+source of its own, after all others; a null id hashes as the empty id; rows that
+repeat both id and text share their hash and are taken together, others of one id
+are not; texts of any length are counted and hashed whole; a source whose sizes are
+all 0 takes nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,9 +25,10 @@ MOST_REPEATS = 3
 LEVEL_BITS, LEVELS = 12, 3
 
 
-def hash36(id_col: str):
-    """36 bits of the id's md5."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 9), 16, 10).cast("long")
+def hash36(id_col: str, text_col: str = "text"):
+    """36 bits of the md5 of id and text."""
+    both = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text_col), F.lit("")))
+    return F.conv(F.substring(F.md5(both.cast("binary")), 1, 9), 16, 10).cast("long")
 
 
 def ranked(sources: DataFrame) -> DataFrame:
@@ -116,7 +119,7 @@ def mixed(docs: DataFrame) -> DataFrame:
 ORACLE_SQL = r"""
 with recursive sized as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-         ('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 9))::bigint as hash
+         ('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, '')), 1, 9))::bigint as hash
   from documents
 ), own as (
   select source, sum(size)::bigint as source_size,
