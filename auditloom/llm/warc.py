@@ -8,8 +8,10 @@ Of records with equal payloads of at least 100 bytes the one with the smallest
 page id is a response, the others revisit it.
 
 Defined cases: null html is an empty payload, always a response; a null url is
-left out of the record; rows that repeat both id and payload of a response are
-responses too; rows with null id revisit a response that has an id.
+left out of the record; a payload of any length is one record, read and written
+whole; rows that repeat both id and payload of a response (a tie) are responses too;
+rows with null id revisit a response that has an id, and are responses where none
+has; an empty table gives no archive and an empty result.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ LEAST_BYTES = 100
 RECORDS_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
 #: An archive is closed once it holds so many records or bytes.
 ARCHIVE_RECORDS, ARCHIVE_BYTES = 100_000, 1 << 30
-#: Neighbouring records that one task reads.
-RUN_RECORDS = 2_000
+#: Neighbouring records that one task reads; payload bytes in one batch of them (one longer payload is a batch of its own).
+RUN_RECORDS, BATCH_BYTES = 2_000, 8 << 20
 _DATE = "1970-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -155,14 +157,19 @@ def read_index(archives: DataFrame, folder: str) -> DataFrame:
     return archives.mapInArrow(read, "archive string, run long, offset long, length long")
 
 
-def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """Range-read the records of an index: page_id, url, record_type, refers_to, payload (of responses), payload_bytes, payload_digest."""
+def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
+    """Range-read the records of an index: page_id, url, record_type, refers_to, payload (of responses; null if not asked for), payload_bytes, payload_digest."""
+    types = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string()}
+
+    def batch_of(out: dict[str, list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({k: pa.array(out[k], types[k]) for k in types})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = file_system(folder)
         name, source = None, None
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest")}
+            out: dict[str, list] = {k: [] for k in types}
+            held = 0
             for archive, offset, length in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if archive != name:
                     if source is not None:
@@ -177,11 +184,14 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                 out["url"].append(fields.get("warc-target-uri"))
                 out["record_type"].append(fields["warc-type"])
                 out["refers_to"].append(_page(fields["warc-refers-to"]) if revisit else None)
-                out["payload"].append(None if revisit else payload)
+                out["payload"].append(payload if payloads and not revisit else None)
                 out["payload_bytes"].append(int(fields["warc-payload-length"]) if revisit else len(payload))
                 out["payload_digest"].append(digest)
-            types = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string()}
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, types[k]) for k, v in out.items()})
+                held += len(payload) if payloads else 0
+                if held >= BATCH_BYTES:
+                    yield batch_of(out)
+                    out, held = {k: [] for k in types}, 0
+            yield batch_of(out)
         if source is not None:
             source.close()
 
@@ -193,19 +203,19 @@ def _page(urn: str) -> int | None:
     return int(text) if text else None
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
-    """Write every page as a record, read all archives back: one row per page, with the payload of responses."""
+def round_trip(pages: DataFrame, payloads: bool = True) -> DataFrame:
+    """Write every page as a record, read all archives back: one row per page, with the payload of responses if asked for."""
     spark = pages.sparkSession
     folder = scratch(spark, "warc")
     archives = materialize(write_archives(with_targets(pages), folder), "archives")
     index = materialize(read_index(archives.repartition(partitions_for(spark, archives.count(), 1), "archive"), folder), "index")
     runs = partitions_for(spark, index.count(), 4 * RUN_RECORDS)
-    return read_records(index.repartition(runs, "archive", "run").sortWithinPartitions("archive", "offset"), folder)
+    return read_records(index.repartition(runs, "archive", "run").sortWithinPartitions("archive", "offset"), folder, payloads)
 
 
 def warc(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of the records read back."""
-    return round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return round_trip(pages, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE_SQL = """

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from auditloom.llm import ann, exact_dedup, fuse, html_blocks, licenses, minhash, mixing, packing, quality, runtime, token_counts, tokens, warc, zipfmt
@@ -296,7 +297,7 @@ def test_labels_of_the_held_out_fold_do_not_matter(spark):
 # --- 2: near duplicates ------------------------------------------------------------------------
 
 
-def plain_components(rows):
+def plain_components(rows, percent=85):
     sets = []
     for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -311,7 +312,7 @@ def plain_components(rows):
     for a in range(len(rows)):
         for b in range(a):
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 root[find(a)] = find(b)
     least = {}
     for a, (i, _) in enumerate(rows):
@@ -386,7 +387,7 @@ def test_near_duplicate_stage_takes_eighty_percent(spark):
 
 
 def test_bands_and_size_classes_follow_the_threshold():
-    assert [minhash.bands_for(p) for p in (85, 80)] == [24, 35] and [minhash.classes_apart(p) for p in (85, 80)] == [9, 12]
+    assert [minhash.bands_for(p) for p in (85, 80)] == [25, 35] and [minhash.classes_apart(p) for p in (85, 80)] == [9, 12]
 
 
 def test_densified_sketches():
@@ -460,8 +461,115 @@ def test_neighbours_among_jittered_copies(spark):
     assert len(found) == 15 and sum(hits) / (5 * len(hits)) >= 0.99
 
 
+def test_entries_merges_and_stops_do_not_lose_neighbours(spark):
+    """Recall on clustered vectors of 64 dimensions, with a beam far below their number."""
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((60, 64))
+    x = centres[rng.integers(0, 60, 3000)] + 0.6 * rng.standard_normal((3000, 64))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.nearest_neighbours(table, beam=200).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for i in range(0, 3000, 50):
+        sims = unit @ unit[i]
+        sims[i] = -9
+        hits += len(found[i] & set(np.argsort(-sims)[:5].tolist()))
+    assert len(found) == 60 and hits / 300 >= 0.9
+
+
 def test_brute_force_fills_up(spark):
     rows = [(0, 1, [1.0, 0.0], 5), (0, 1, [1.0, 0.0], 6)]
     queries = spark.createDataFrame([(1, 0, [1.0, 0.0])], "q long, query_id long, query array<double>")
     vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, vector array<double>")
     assert rows and [(r["vec_id"], r["rank"]) for r in ann.brute_force(queries, vectors, 5).orderBy("rank").collect()] == [(1, 1), (2, 2)]
+
+
+# --- hot keys, long words, many null ids --------------------------------------------------------
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def complement(word):
+    return word.translate(str.maketrans("ab", "ba"))
+
+
+PAIRS = [(thue_morse(n), complement(thue_morse(n))) for n in (1024, 2048, 4096, 8192)]
+
+
+def test_structured_words_do_not_collide():
+    found = [w for pair in PAIRS for w in pair] + [thue_morse(512), complement(thue_morse(512)), "a" * 511, "a" * 512, "a" * 513, "a" * 8, "a" * 7, "a" * 9, "a" * 16]
+    raw, offsets = runtime.text_buffer(pa.array([" ".join(found)]))
+    w = runtime.Words(raw, offsets, runtime.NOT_SPACE)
+    assert len(set(w.hashes().tolist())) == len(set(w.hashes(1).tolist())) == len(found) and not set(w.hashes().tolist()) & set(w.hashes(1).tolist())
+
+
+def test_structured_words_in_operators(spark):
+    rows = [(2 * i + k, f"x {pair[k]} y {pair[1 - k]}") for i, pair in enumerate(PAIRS) for k in (0, 1)] + [(20 + i, f"x {w} y {w}") for i, w in enumerate(PAIRS[0])]
+    table, slow = docs(spark, rows), slow_tokenizer()
+    ids = {i: slow.encode(t, add_special_tokens=False).ids for i, t in rows}
+    assert rows_of(token_counts.token_counts(table, tokenizer=tokens.default_path()), "doc_id", "n_tokens") == sorted(((i, len(x)) for i, x in ids.items()), key=repr)
+    for r in packing.packing(table, tokenizer=tokens.default_path()).collect():
+        own = np.array([*ids[r["doc_id"]], 0], dtype="<u4")
+        assert r["doc_tokens"] == len(own) and r["ids_crc32"] == zlib.crc32(own[r["start"] : r["start"] + r["length"]].tobytes())
+    assert {r["component_id"] for r in minhash.near_duplicates(table).collect()} == set(ids)
+
+
+def test_packing_keeps_full_pieces_apart(spark):
+    found = packing.packing(docs(spark, [(1, LONG), (2, LONG), (3, "a b"), (None, words(3000, 8))]), tokenizer=tokens.default_path()).toPandas()
+    full = found[found["length"] == 1024]
+    assert len(full) > 100 and full["sequence_id"].is_unique and (full["offset"] == 0).all() and (full["sequence_id"] >= packing.FULL_FROM).all()
+    rest = found[found["length"] < 1024]
+    assert len(rest) <= 4 and (rest["sequence_id"] < packing.FULL_FROM).all()
+
+
+def test_token_files_refuse_wide_ids(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "MOST_ID", 5)
+    with pytest.raises(Exception, match="16-bit"):
+        token_counts.token_counts(docs(spark, [(1, "some words")]), tokenizer=tokens.default_path()).count()
+
+
+def test_mixing_with_many_null_and_repeated_ids(spark):
+    rows = [(None, words(20, i), "nulls") for i in range(2000)] + [(7, words(20, 5000 + i), "one id") for i in range(2000)] + [(i, words(20, 9000 + i), s) for i in range(500) for s in ("a", "b", "c")]
+    sums = {}
+    for r in mixing.source_mixing(docs(spark, rows)).collect():
+        key = (r["source_size"], r["target"])
+        sums[key] = sums.get(key, 0) + r["taken"]
+    assert all(abs(taken - target) <= 20 for (_, target), taken in sums.items() if _ == 40_000) and len(sums) >= 3
+
+
+def test_saved_snapshots_screen_a_new_batch(spark, tmp_path):
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    rows = lambda own: docs(spark, own).select("doc_id", digest.alias("digest"))
+    for name, own in (("one", [(1, "a"), (2, "b"), (3, "b")]), ("two", [(4, "c"), (5, None)]), ("none", [])):
+        exact_dedup.Snapshot.of(rows(own)).save(str(tmp_path / name))
+    new = exact_dedup.classes(rows([(10, "b"), (11, "c"), (12, "d"), (13, ""), (14, "d")]))
+    found = {}
+    for name in ("one", "two", "none"):
+        held = exact_dedup.Snapshot.load(spark, str(tmp_path / name))
+        found[name] = sorted((r["last_id"], r["n_rows"]) for r in held.known(new).collect())
+    assert found == {"one": [(3, 2)], "two": [(4, 1), (5, 1)], "none": []}
+
+
+def test_exact_dedup_of_a_hot_text(spark, monkeypatch):
+    rows = [(i, "the same text") for i in range(1500)] + [(2000 + i, f"text {i % 400}") for i in range(600)] + [(3000 + i, words(9, i)) for i in range(300)]
+    want = {}
+    for i, t in rows:
+        want.setdefault(t, []).append(i)
+    found = exact_dedup.exact_dedup(docs(spark, rows))
+    assert rows_of(found, "doc_id", "keep_id", "group_size") == sorted(((i, max(want[t]), len(want[t])) for i, t in rows), key=repr)
+    monkeypatch.setattr(exact_dedup, "MOST_FILTERED", 0)  # without filters where texts are read
+    assert rows_of(exact_dedup.exact_dedup(docs(spark, rows)), "doc_id", "keep_id", "group_size") == rows_of(found, "doc_id", "keep_id", "group_size")
+
+
+def test_near_duplicates_with_many_null_ids(spark):
+    rows = [(None, words(30, i)) for i in range(1000)] + [(None, words(30, i) + " end") for i in range(1000)] + [(5, words(30, 20_000 + i)) for i in range(300)]
+    found = minhash.near_duplicates(docs(spark, rows)).collect()
+    assert len(found) == 2300 and {r["component_id"] for r in found} == {None, 5}
+    table = docs(spark, rows)
+    sketched = minhash.sketched(table, 5).where("node is not null")
+    nodes = minhash.representatives(sketched)
+    assert minhash.full_sets(table, nodes).count() == 2300  # one text per node, not every text of an id

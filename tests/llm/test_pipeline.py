@@ -42,7 +42,7 @@ def test_pipeline(spark, tmp_path):
         elif name.startswith("exact"):
             assert sorted(new) == sorted({t: i for i, t in sorted(old.items())}.values())
         elif name.startswith("minhash"):
-            assert set(new) == {i for i, _, c in _ops.plain_components(list(old.items())) if i == c}
+            assert set(new) == {i for i, _, c in _ops.plain_components(list(old.items()), corpus_pipeline.NEAR_PERCENT) if i == c}
         else:
             taken = sum(r["taken"] for r in mixing.source_mixing(before).collect())
             assert sum(len(r["text"].split()) for r in after.collect()) == taken
