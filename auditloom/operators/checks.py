@@ -1,4 +1,4 @@
-"""The 31 checks: a registry of declarative plans, each giving ``url`` and its detail columns.
+"""The 31 checks: a registry of declarative plans, each giving ``audit_id``, ``url`` and its detail columns.
 
 A check is registered with its id, severity and description; anything that has the
 same shape can be added to a copy of the registry and run by the engine.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import Tables
@@ -18,7 +18,7 @@ from .enrich import is_loop
 
 @dataclass(frozen=True)
 class Check:
-    """A check: its plan maps tables to ``url`` and detail columns (named as in the findings' JSON)."""
+    """A check: its plan maps tables to ``audit_id``, ``url`` and detail columns (named as in the findings' JSON)."""
 
     id: str
     severity: str
@@ -47,9 +47,10 @@ def _labels(**cases: Column) -> Column:
 
 
 def _shared(rows: DataFrame, key: Column) -> DataFrame:
-    """Rows whose key is not null and occurs more than once, with ``key`` and ``duplicateCount``."""
-    keyed = rows.withColumn("key", key).where(F.col("key").isNotNull())
-    return keyed.withColumn("duplicateCount", F.count(F.lit(1)).over(Window.partitionBy("audit_id", "key"))).where("duplicateCount > 1")
+    """Rows whose key is not null and occurs more than once in the audit, with ``key`` and ``duplicateCount``: counted with partial sums, then joined back."""
+    keyed = rows.select("audit_id", "url", key.alias("key")).where(F.col("key").isNotNull())
+    counts = keyed.groupBy("audit_id", "key").agg(F.count(F.lit(1)).alias("duplicateCount")).where("duplicateCount > 1")
+    return keyed.join(counts, ["audit_id", "key"])
 
 
 # --- mirrors -----------------------------------------------------------------
@@ -60,14 +61,14 @@ def main_mirror(t: Tables) -> DataFrame:
     key = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), r"^www\.", "")
     rows = _ok(t).select("audit_id", "url", key.alias("variantKey"), F.regexp_replace("url", "(^https?://[^/]+).*", "$1").alias("origin"))
     groups = rows.groupBy("audit_id", "variantKey").agg(F.sort_array(F.collect_set("origin")).alias("variants")).where(F.size("variants") > 1)
-    return rows.join(groups, ["audit_id", "variantKey"]).select("url", "variantKey", "variants", F.size("variants").cast("long").alias("mirrorCount"))
+    return rows.join(groups, ["audit_id", "variantKey"]).select("audit_id", "url", "variantKey", "variants", F.size("variants").cast("long").alias("mirrorCount"))
 
 
 @_check("mirror.trailing-slash", "medium", "A page and its form with a trailing slash have the same content")
 def trailing_slash(t: Tables) -> DataFrame:
     bare = _ok(t).where(~F.col("url").endswith("/") & F.col("content_hash").isNotNull()).select("audit_id", "url", F.concat("url", F.lit("/")).alias("slashUrl"), F.col("content_hash").alias("contentHash"))
     slashed = _ok(t).select("audit_id", F.col("url").alias("slashUrl"), F.col("content_hash").alias("contentHash"))
-    return bare.join(slashed, ["audit_id", "slashUrl", "contentHash"]).select("url", "slashUrl", "contentHash")
+    return bare.join(slashed, ["audit_id", "slashUrl", "contentHash"]).select("audit_id", "url", "slashUrl", "contentHash")
 
 
 # --- links -------------------------------------------------------------------
@@ -75,7 +76,7 @@ def trailing_slash(t: Tables) -> DataFrame:
 
 def _link_rows(t: Tables, kind: str, flag: str) -> DataFrame:
     found = t.links.where((F.col("type") == kind) & F.col(flag))
-    return found.select("audit_id", F.col("source_url").alias("url"), "href", F.col("target_status_code").alias("targetStatusCode")).distinct().drop("audit_id")
+    return found.select("audit_id", F.col("source_url").alias("url"), "href", F.col("target_status_code").alias("targetStatusCode")).distinct()
 
 
 @_check("links.internal-redirect", "high", "Internal links that lead to a redirect")
@@ -86,7 +87,7 @@ def internal_redirect(t: Tables) -> DataFrame:
 @_check("links.redirect-chain", "high", "Pages reached through several hops, or in a loop")
 def redirect_chain(t: Tables) -> DataFrame:
     hops = F.array_size("redirect_chain")
-    return t.pages.where(hops > 1).select("url", hops.cast("long").alias("hops"), is_loop().alias("isLoop"), F.col("redirect_chain").alias("chain"))
+    return t.pages.where(hops > 1).select("audit_id", "url", hops.cast("long").alias("hops"), is_loop().alias("isLoop"), F.col("redirect_chain").alias("chain"))
 
 
 @_check("links.broken-internal", "critical", "Internal links whose target answers 4xx or 5xx")
@@ -102,7 +103,7 @@ def broken_external(t: Tables) -> DataFrame:
 @_check("links.external-flag", "low", "External links without nofollow, sponsored or ugc")
 def external_flag(t: Tables) -> DataFrame:
     flagged = F.coalesce(F.arrays_overlap("rel", F.array(*map(F.lit, ("nofollow", "sponsored", "ugc")))), F.lit(False))
-    return t.links.where((F.col("type") == "external") & ~flagged).select("audit_id", F.col("source_url").alias("url"), "href", "rel").distinct().drop("audit_id")
+    return t.links.where((F.col("type") == "external") & ~flagged).select("audit_id", F.col("source_url").alias("url"), "href", "rel").distinct()
 
 
 # --- titles, descriptions, headings ------------------------------------------
@@ -116,19 +117,19 @@ def _element_checks(name: str, column: str, key: str, severities: tuple[str, str
 
     @_check(f"meta.{name}.missing", severities[0], f"Pages without {name}")
     def missing(t: Tables) -> DataFrame:
-        return _ok(t).where(F.array_size(column) == 0).select("url")
+        return _ok(t).where(F.array_size(column) == 0).select("audit_id", "url")
 
     @_check(f"meta.{name}.duplicate", severities[1], f"Pages that share their {name}")
     def duplicate(t: Tables) -> DataFrame:
-        return _shared(_ok(t), F.when(F.array_size(column) >= 1, first())).select("url", F.col("key").alias(key), "duplicateCount")
+        return _shared(_ok(t), F.when(F.array_size(column) >= 1, first())).select("audit_id", "url", F.col("key").alias(key), "duplicateCount")
 
     @_check(f"meta.{name}.multiple", severities[2], f"Pages with more than one {name}")
     def multiple(t: Tables) -> DataFrame:
-        return _ok(t).where(F.array_size(column) > 1).select("url", F.col(column).alias(f"{key}s"), F.array_size(column).cast("long").alias("count"))
+        return _ok(t).where(F.array_size(column) > 1).select("audit_id", "url", F.col(column).alias(f"{key}s"), F.array_size(column).cast("long").alias("count"))
 
     @_check(f"meta.{name}.template", severities[3], f"Pages whose {name} is shorter than {shortest} or longer than {longest} characters")
     def template(t: Tables) -> DataFrame:
-        rows = _ok(t).select("url", first().alias(key), F.char_length(first()).cast("long").alias("length"))
+        rows = _ok(t).select("audit_id", "url", first().alias(key), F.char_length(first()).cast("long").alias("length"))
         advice = F.when(F.col("length") < shortest, "too-short").otherwise("too-long")
         return rows.where(~F.col("length").between(shortest, longest)).withColumn("recommendation", advice)
 
@@ -143,13 +144,13 @@ _element_checks("h1", "h1", "h1", ("high", "low", "medium", "info"), 20, 70)
 
 @_check("dupe.content", "high", "Pages with the same content")
 def duplicate_content(t: Tables) -> DataFrame:
-    return _shared(_ok(t), F.col("content_hash")).select("url", F.col("key").alias("contentHash"), "duplicateCount")
+    return _shared(_ok(t), F.col("content_hash")).select("audit_id", "url", F.col("key").alias("contentHash"), "duplicateCount")
 
 
 @_check("index.canonical", "high", "Pages without canonical URL, or with that of another page")
 def canonical(t: Tables) -> DataFrame:
     issue = F.when(F.col("canonical_url").isNull(), "missing").when(~F.col("is_self_canonical"), "non-self")
-    return _ok(t).select("url", issue.alias("issue"), F.col("canonical_url").alias("canonicalUrl")).where("issue is not null")
+    return _ok(t).select("audit_id", "url", issue.alias("issue"), F.col("canonical_url").alias("canonicalUrl")).where("issue is not null")
 
 
 @_check("index.robots", "high", "Live pages that are kept out of the index")
@@ -160,7 +161,7 @@ def robots(t: Tables) -> DataFrame:
         header_noindex=F.coalesce(F.col("x_robots_tag").ilike("%noindex%"), no),
         robots_txt_blocked=F.coalesce(F.col("blocked_by_robots_txt"), no),
     )
-    rows = _ok(t).select("url", reason.alias("reason"), F.col("meta_robots").alias("metaRobots"), F.col("x_robots_tag").alias("xRobotsTag"), F.col("blocked_by_robots_txt").alias("blockedByRobotsTxt"))
+    rows = _ok(t).select("audit_id", "url", reason.alias("reason"), F.col("meta_robots").alias("metaRobots"), F.col("x_robots_tag").alias("xRobotsTag"), F.col("blocked_by_robots_txt").alias("blockedByRobotsTxt"))
     return rows.where(F.size("reason") > 0)
 
 
@@ -168,7 +169,7 @@ def robots(t: Tables) -> DataFrame:
 def url_heuristics(t: Tables) -> DataFrame:
     path = F.regexp_replace("url", "^https?://[^/]+", "")
     issues = _labels(uppercase=path.rlike("[A-Z]"), underscore=F.contains(path, F.lit("_")), query_params=F.contains("url", F.lit("?")), too_long=F.char_length("url") > 115)
-    return _ok(t).select("url", issues.alias("issues")).where(F.size("issues") > 0)
+    return _ok(t).select("audit_id", "url", issues.alias("issues")).where(F.size("issues") > 0)
 
 
 @_check("pagination.rel", "medium", "rel=next targets that are missing or do not point back")
@@ -176,14 +177,14 @@ def pagination(t: Tables) -> DataFrame:
     rows = _ok(t).where(F.col("rel_next").isNotNull()).select("audit_id", "url", F.col("rel_next").alias("relNext"))
     target = _ok(t).select("audit_id", F.col("url").alias("relNext"), F.col("rel_prev").alias("back"), F.lit(True).alias("found"))
     issue = F.when(F.col("found").isNull(), "next-target-missing").when(~F.col("back").eqNullSafe(F.col("url")), "next-not-reciprocal")
-    return rows.join(target, ["audit_id", "relNext"], "left").select("url", "relNext", issue.alias("issue")).where("issue is not null")
+    return rows.join(target, ["audit_id", "relNext"], "left").select("audit_id", "url", "relNext", issue.alias("issue")).where("issue is not null")
 
 
 @_check("i18n.hreflang", "medium", "Alternates that do not point back, or with an invalid language")
 def hreflang(t: Tables) -> DataFrame:
     valid = (F.col("lang") == "x-default") | F.col("lang").rlike("(?i)^[a-z]{2,3}(-[a-z0-9]{2,8})*$")
     issues = _labels(non_reciprocal=~F.coalesce(F.col("is_reciprocal"), F.lit(False)), invalid_lang=~valid)
-    return t.hreflang.select(F.col("page_url").alias("url"), "lang", "href", F.concat_ws(",", issues).alias("issue")).where("issue <> ''")
+    return t.hreflang.select("audit_id", F.col("page_url").alias("url"), "lang", "href", F.concat_ws(",", issues).alias("issue")).where("issue <> ''")
 
 
 # --- images --------------------------------------------------------------------
@@ -192,12 +193,12 @@ def hreflang(t: Tables) -> DataFrame:
 @_check("image.alt-title", "low", "Images without alternative text")
 def alt_title(t: Tables) -> DataFrame:
     rows = t.images.where(F.col("alt").isNull() | (F.col("alt") == "")).select("audit_id", F.col("page_url").alias("url"), "src", "alt").distinct()
-    return rows.select("url", "src", "alt", F.when(F.col("alt").isNull(), "missing").otherwise("empty").alias("altState"))
+    return rows.select("audit_id", "url", "src", "alt", F.when(F.col("alt").isNull(), "missing").otherwise("empty").alias("altState"))
 
 
 @_check("image.broken", "medium", "Images that answer 4xx or 5xx")
 def image_broken(t: Tables) -> DataFrame:
-    return t.images.where("status_code >= 400").select("audit_id", F.col("page_url").alias("url"), "src", F.col("status_code").alias("statusCode")).distinct().drop("audit_id")
+    return t.images.where("status_code >= 400").select("audit_id", F.col("page_url").alias("url"), "src", F.col("status_code").alias("statusCode")).distinct()
 
 
 # --- performance -----------------------------------------------------------------
@@ -205,7 +206,7 @@ def image_broken(t: Tables) -> DataFrame:
 
 @_check("perf.lcp", "high", "Largest contentful paint above 2500 ms")
 def lcp(t: Tables) -> DataFrame:
-    return t.performance.where("lcp_ms > 2500").select(F.col("page_url").alias("url"), "strategy", F.col("lcp_ms").alias("lcpMs"))
+    return t.performance.where("lcp_ms > 2500").select("audit_id", F.col("page_url").alias("url"), "strategy", F.col("lcp_ms").alias("lcpMs"))
 
 
 @_check("perf.cls-inp", "high", "Layout shift above 0.1 or interaction delay above 200 ms")
@@ -214,11 +215,11 @@ def cls_inp(t: Tables) -> DataFrame:
     decimal = F.col("cls").cast("string").cast("double")
     issues = _labels(cls=F.coalesce(decimal > 0.1, F.lit(False)), inp=F.coalesce(F.col("inp_ms") > 200, F.lit(False)))
     found = (F.col("cls").cast("double") > 0.1) | (F.col("inp_ms") > 200)
-    return t.performance.where(found).select(F.col("page_url").alias("url"), "strategy", "cls", F.col("inp_ms").alias("inpMs"), issues.alias("issues"))
+    return t.performance.where(found).select("audit_id", F.col("page_url").alias("url"), "strategy", "cls", F.col("inp_ms").alias("inpMs"), issues.alias("issues"))
 
 
 def _flagged(t: Tables) -> DataFrame:
-    return t.performance.where(F.array_size("usability_flags") > 0).select(F.col("page_url").alias("url"), "strategy", F.col("usability_flags").alias("flags"))
+    return t.performance.where(F.array_size("usability_flags") > 0).select("audit_id", F.col("page_url").alias("url"), "strategy", F.col("usability_flags").alias("flags"))
 
 
 @_check("perf.psi-usability", "medium", "Pages with usability flags")

@@ -23,11 +23,11 @@ class Run:
 
 
 def of_check(check: Check, tables: Tables) -> DataFrame:
-    """A check's findings: rule_id, severity, url, detail (JSON that keeps nulls)."""
+    """A check's findings: audit_id, rule_id, severity, url, detail (JSON that keeps nulls)."""
     rows = check.plan(tables)
-    names = [c for c in rows.columns if c != "url"]
+    names = [c for c in rows.columns if c not in ("audit_id", "url")]
     detail = F.to_json(F.struct(*names), {"ignoreNullFields": "false"}) if names else F.lit("{}")
-    return rows.select(F.lit(check.id).alias("rule_id"), F.lit(check.severity).alias("severity"), "url", detail.alias("detail"))
+    return rows.select("audit_id", F.lit(check.id).alias("rule_id"), F.lit(check.severity).alias("severity"), "url", detail.alias("detail"))
 
 
 def run_checks(tables: Tables, registry: dict[str, Check] | None = None) -> Run:
