@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from xml.sax.saxutils import escape
 
@@ -87,6 +88,7 @@ def _element(sheet: str, name: str, key: str, header: str, advice: dict[str, str
 
 _t, _n, _j = (lambda f: lambda name: (lambda: f(name)))(text), (lambda f: lambda name: (lambda: f(name)))(number), (lambda f: lambda name: (lambda: f(name)))(joined)
 
+# Sheet names, headers and advice (fixed values of the report).
 SHEETS = (
     Sheet(
         "Redirects", ("links.internal-redirect", "links.redirect-chain"),
@@ -170,6 +172,8 @@ def summary_rows(findings: DataFrame, audit: dict, generated: dt.datetime) -> li
 
 # --- workbook ------------------------------------------------------------------
 
+#: Rows of one worksheet with its header, and characters of one cell, as the format allows them; what goes beyond the rows is in further sheets, longer text is cut.
+MOST_ROWS, MOST_CHARACTERS = 1_048_576, 32_767
 _FILLS = {"critical": "FFF4CCCC", "high": "FFFCE5CD", "medium": "FFFFF2CC", "low": "FFD9EAD3", "info": "FFCFE2F3"}
 
 
@@ -192,52 +196,69 @@ def _cell(ref: str, value, style: int) -> str:
     if isinstance(value, bool):
         return f'<c r="{ref}" s="{style}" t="b"><v>{int(value)}</v></c>'
     if isinstance(value, int | float):
-        return f'<c r="{ref}" s="{style}"><v>{value:g}</v></c>' if isinstance(value, float) else f'<c r="{ref}" s="{style}"><v>{value}</v></c>'
-    clean = "".join(c for c in str(value) if c >= " " or c in "\t\n\r")[:32767]
+        return f'<c r="{ref}" s="{style}"><v>{int(value) if value == int(value) else repr(value)}</v></c>'
+    clean = "".join(c for c in str(value) if c >= " " or c in "\t\n\r")[:MOST_CHARACTERS]
     return f'<c r="{ref}" s="{style}" t="inlineStr"><is><t xml:space="preserve">{escape(clean)}</t></is></c>'
 
 
-def _sheet_xml(headers: list[str], rows: list[tuple]) -> str:
-    last = _letters(len(headers) - 1)
-    lines = ["<row r=\"1\">" + "".join(_cell(f"{_letters(i)}1", h, 1) for i, h in enumerate(headers)) + "</row>"]
+def _write_sheet(out, headers: list[str], rows: Iterator[tuple]) -> None:
+    """One worksheet, row by row."""
+    view = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
+    out.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">{view}<sheetData><row r="1">'.encode())
+    out.write(("".join(_cell(f"{_letters(i)}1", h, 1) for i, h in enumerate(headers)) + "</row>").encode())
+    n = 1
     for n, row in enumerate(rows, start=2):
         style = 2 + SEVERITIES.index(row[0]) if headers[0] == "Severity" and row[0] in SEVERITIES else 0
-        lines.append(f'<row r="{n}">' + "".join(_cell(f"{_letters(i)}{n}", v, style if i == 0 else 0) for i, v in enumerate(row)) + "</row>")
-    view = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
-    return f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">{view}<sheetData>{"".join(lines)}</sheetData><autoFilter ref="A1:{last}{len(rows) + 1}"/></worksheet>'
-
-
-def write_workbook(path: str, sheets: list[tuple[str, list[str], list[tuple]]]) -> None:
-    """An .xlsx file of sheets (name, headers, rows): header band, frozen first row, filters, severities in colour."""
+        out.write((f'<row r="{n}">' + "".join(_cell(f"{_letters(i)}{n}", v, style if i == 0 else 0) for i, v in enumerate(row)) + "</row>").encode("utf-8", "replace"))
+    out.write(f'</sheetData><autoFilter ref="A1:{_letters(len(headers) - 1)}{n}"/></worksheet>'.encode())
+
+
+def _write_parts(z: zipfile.ZipFile, sheets: Iterable[tuple[str, list[str], Iterable[tuple]]], most: int) -> list[str]:
+    """Write all worksheets, each with ``most`` rows at most; returns their names."""
+    names: list[str] = []
+    for name, headers, rows in sheets:
+        rows, part = iter(rows), 1
+        first = list(itertools.islice(rows, 1))
+        while first or part == 1:
+            names.append(name[:31] if part == 1 else f"{name[:25]} ({part})")
+            with z.open(f"xl/worksheets/sheet{len(names)}.xml", "w", force_zip64=True) as out:
+                _write_sheet(out, headers, itertools.chain(first, itertools.islice(rows, most - 1 - len(first))))
+            first, part = list(itertools.islice(rows, 1)), part + 1
+    return names
+
+
+def write_workbook(path: str, sheets: Iterable[tuple[str, list[str], Iterable[tuple]]], most_rows: int = MOST_ROWS) -> None:
+    """An .xlsx file of sheets (name, headers, rows), written as the rows come: header band, frozen first row, filters, severities in colour."""
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     package = "http://schemas.openxmlformats.org/package/2006"
     fills = "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="{c}"/></patternFill></fill>' for c in ("FFD9D9D9", *(_FILLS[s] for s in SEVERITIES)))
     formats = "".join(f'<xf fontId="{int(i == 1)}" fillId="{i + 1 if i else 0}" borderId="0" applyFill="1" applyFont="1"/>' for i in range(7))
     styles = f'<styleSheet xmlns="{main}"><fonts count="2"><font/><font><b/></font></fonts><fills count="8"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{fills}</fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="7">{formats}</cellXfs></styleSheet>'
-    n = len(sheets)
     part = f"{package}/content-types"
     kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        names = _write_parts(z, sheets, most_rows)
+        n = len(names)
         z.writestr("[Content_Types].xml", f'<Types xmlns="{part}"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i + 1}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(n)) + "</Types>")
         z.writestr("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets>' + "".join(f'<sheet name="{escape(name[:31])}" sheetId="{i + 1}" r:id="r{i + 1}"/>' for i, (name, _, _) in enumerate(sheets)) + "</sheets></workbook>")
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets>' + "".join(f'<sheet name="{escape(name)}" sheetId="{i + 1}" r:id="r{i + 1}"/>' for i, name in enumerate(names)) + "</sheets></workbook>")
         z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="r{i + 1}" Type="{office}/worksheet" Target="worksheets/sheet{i + 1}.xml"/>' for i in range(n)) + f'<Relationship Id="r{n + 1}" Type="{office}/styles" Target="styles.xml"/></Relationships>')
         z.writestr("xl/styles.xml", styles)
-        for i, (_, headers, rows) in enumerate(sheets):
-            z.writestr(f"xl/worksheets/sheet{i + 1}.xml", _sheet_xml(headers, rows))
 
 
 def build_workbook(findings: DataFrame, audit: dict, folder: str, generated: dt.datetime) -> str:
-    """Write an audit's report; returns its path.  The sink holds one audit's findings on the driver."""
+    """Write an audit's report; returns its path.  Rows come to the driver one partition at a time and are written as they come."""
     ordered = in_order(findings)
-    sheets = [("Summary", ["Field", "Value", "Count"], summary_rows(findings, audit, generated))]
-    for sheet in SHEETS:
-        rows = sheet.rows(ordered)
-        sheets.append((sheet.name, ["Severity", "Page", *[h for h, _, _ in sheet.columns], "Details"], [tuple(r) for r in rows.collect()]))
-    rest = [tuple(r) for r in other(findings).collect()]
-    if rest:
-        sheets.append((OTHER, ["Severity", "Rule ID", "URL", "Detail"], rest))
+
+    def sheets() -> Iterator[tuple[str, list[str], Iterable[tuple]]]:
+        yield "Summary", ["Field", "Value", "Count"], summary_rows(findings, audit, generated)
+        for sheet in SHEETS:
+            yield sheet.name, ["Severity", "Page", *[h for h, _, _ in sheet.columns], "Details"], map(tuple, sheet.rows(ordered).toLocalIterator())
+        rest = other(ordered)
+        if not rest.isEmpty():
+            yield OTHER, ["Severity", "Rule ID", "URL", "Detail"], map(tuple, rest.toLocalIterator())
+
     path = f"{folder}/{file_name(audit['id'], generated)}"
-    write_workbook(path, sheets)
+    write_workbook(path, sheets())
     return path
