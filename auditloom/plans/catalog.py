@@ -16,7 +16,7 @@ from ..operators.checks import REGISTRY
 from ..ship import ship
 from ..sources import demo, html, psi
 from ..sources.tables import Tables
-from . import catalogue, engine, oracle, read_api, report
+from . import engine, literal, oracle, read_api, report, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -49,6 +49,14 @@ def _kept(what: str, spark: SparkSession, sf_dir: str, make: Callable[[], Tables
     return _KEPT[key]
 
 
+def forget() -> None:
+    """Drop all shared derived tables, so that the next query makes its own."""
+    for kept in _KEPT.values():
+        for df in [getattr(kept, n) for n in kept.__dataclass_fields__] if isinstance(kept, Tables) else [kept]:
+            df.unpersist()
+    _KEPT.clear()
+
+
 def _tables(spark: SparkSession, sf_dir: str) -> Tables:
     def make() -> Tables:
         raw = _kept("raw", spark, sf_dir, lambda: demo.demo_tables(spark, sf_dir))
@@ -78,7 +86,7 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _add_checks() -> None:
     for check in REGISTRY.values():
         name = "check_" + check.id.replace(".", "_").replace("-", "_")
-        _query(name, oracle.check_sql(check.id))(lambda s, d, c=check: flat(c.plan(_tables(s, d))))
+        _query(name, oracle.check_sql(check.id))(lambda s, d, c=check: flat(c.plan(_tables(s, d)).drop("audit_id")))
 
 
 _add_checks()
@@ -100,23 +108,23 @@ def _real(spark: SparkSession, sf_dir: str) -> Tables:
 
 @_query("real_title_duplicate", _PAGES + """select url, title, n as "duplicateCount" from (select *, count(*) over (partition by title) as n from p where title <> '') where n > 1""")
 def _(s, d):
-    return REGISTRY["meta.title.duplicate"].plan(_real(s, d))
+    return REGISTRY["meta.title.duplicate"].plan(_real(s, d)).drop("audit_id")
 
 
 @_query("real_title_template", _PAGES + "select url, title, length(title) as length, case when length(title) < 30 then 'too-short' else 'too-long' end as recommendation from p where length(title) not between 30 and 60")
 def _(s, d):
-    return REGISTRY["meta.title.template"].plan(_real(s, d))
+    return REGISTRY["meta.title.template"].plan(_real(s, d)).drop("audit_id")
 
 
 @_query("real_h1_duplicate", _PAGES + """select url, h1, n as "duplicateCount" from (select *, count(*) over (partition by h1) as n from p where h1 <> '') where n > 1""")
 def _(s, d):
-    return REGISTRY["meta.h1.duplicate"].plan(_real(s, d))
+    return REGISTRY["meta.h1.duplicate"].plan(_real(s, d)).drop("audit_id")
 
 
 @_query("real_main_mirror", _PAGES + r"""select url, k as "variantKey", array_to_string(v, '|') as variants, len(v)::bigint as "mirrorCount" from (select url, regexp_replace(regexp_replace(url, '^https?://', ''), '^www\.', '') as k from p)
   join (select regexp_replace(regexp_replace(url, '^https?://', ''), '^www\.', '') as k, list_sort(list(distinct regexp_extract(url, '^(https?://[^/]+)', 1))) as v from p group by 1 having len(v) > 1) using (k)""")
 def _(s, d):
-    return flat(REGISTRY["mirror.main-mirror"].plan(_real(s, d)))
+    return flat(REGISTRY["mirror.main-mirror"].plan(_real(s, d)).drop("audit_id"))
 
 
 # --- extraction and functions ------------------------------------------------------
@@ -134,9 +142,8 @@ def _(s, d):
     return found.select(F.col("url").alias("raw_url"), F.get("title", 0).alias("title"), F.get("h1", 0).alias("h1"))
 
 
-@_query("extract_pages_table")
-def _(s, d):
-    return html.to_pages(html.extract(_crawl(s, d))).drop("redirect_chain").transform(flat)
+for _name, (_run, _sql) in literal.QUERIES.items():
+    _query(_name, _sql)(_run)
 
 
 @_query("extract_links", r"""select regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/' as origin, count(*) as links from (select url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) from pages) group by 1""")
@@ -145,16 +152,6 @@ def _(s, d):
     return links.groupBy(F.concat(F.regexp_extract("source_url", "^(https?://[^/?#]+)", 1), F.lit("/")).alias("origin")).agg(F.count(F.lit(1)).alias("links"))
 
 
-@_query("extract_images")
-def _(s, d):
-    return html.to_images(html.extract(_crawl(s, d)))
-
-
-@_query("extract_hreflang")
-def _(s, d):
-    return html.to_hreflang(html.extract(_crawl(s, d)))
-
-
 @_query("html_title_expression", _PAGES + "select page_id, title from p")
 def _(s, d):
     pages = s.read.parquet(f"{d}/pages.parquet")
@@ -172,17 +169,17 @@ def _(s, d):
     return s.read.parquet(f"{d}/pages.parquet").select("page_id", tx.spa_shell(F.col("html")).alias("shell"))
 
 
-@_query("url_normalize", "select page_id, regexp_replace(url, '#.*$', '') as url from pages")
+@_query("url_without_fragment", "select page_id, regexp_replace(url, '#.*$', '') as url from pages")
 def _(s, d):
     return s.read.parquet(f"{d}/pages.parquet").select("page_id", urls.without_fragment(F.col("url")).alias("url"))
 
 
-@_query("url_normalize_general")
+@_query("url_normalize_real", r"""select page_id, regexp_replace(url, '#.*$', '') as url from pages""")
 def _(s, d):
     return s.read.parquet(f"{d}/pages.parquet").select("page_id", urls.normalized("url").alias("url"))
 
 
-@_query("url_resolve", """select page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/a/b' as href from pages""")
+@_query("url_resolve_root", """select page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/a/b' as href from pages""")
 def _(s, d):
     return s.read.parquet(f"{d}/pages.parquet").select("page_id", urls.resolved("url", F.lit("/a/b")).alias("href"))
 
@@ -199,7 +196,7 @@ def _(s, d):
     return s.read.parquet(f"{d}/pages.parquet").select(F.explode(urls.variants(F.col("url"))).alias("variant")).distinct()
 
 
-@_query("url_unsafe", "select page_id, length(url) > 2048 as unsafe from pages")
+@_query("url_unsafe_real", "select page_id, length(url) > 2048 as unsafe from pages")
 def _(s, d):
     return s.read.parquet(f"{d}/pages.parquet").select("page_id", urls.unsafe("url").alias("unsafe"))
 
@@ -248,9 +245,9 @@ def _(s, d):
     return enrich.summary(_tables(s, d))
 
 
-@_query("verify_candidates", oracle.VIEWS + "select href from (select distinct href from links where is_broken order by href limit 21) where regexp_matches(href, '^https?://') order by href limit 20")
+@_query("verify_candidates", oracle.VIEWS + "select href from (select distinct href from links where is_broken order by href limit 501) where regexp_matches(href, '^https?://') order by href limit 500")
 def _(s, d):
-    return enrich.verify_candidates(_tables(s, d).links, 20)
+    return enrich.verify_candidates(_tables(s, d).links)
 
 
 _VERIFIED = "select href, case length(href) % 4 when 0 then 200 when 1 then 301 when 2 then 503 end as status from (select distinct href from links where is_broken)"
@@ -431,9 +428,13 @@ def _(s, d):
     return read_api.matching(_findings(s, d), rule_id="dupe.content").agg(F.count(F.lit(1)).alias("total"))
 
 
-@_query("findings_described")
+_TEXTS = ", ".join("('{}', '{}', '{}')".format(c.id, c.id.split(".")[0], c.description.replace("'", "''")) for c in REGISTRY.values())
+
+
+@_query("findings_described", _F + f"""select rule_id, upper(left(t, 1)) || substr(t, 2) as title, family, description, count(*) as n
+  from (select *, lower(regexp_replace(replace(rule_id, '.', ' '), '[_-]+', ' ', 'g')) as t from f) join (values {_TEXTS}) x(rule_id, family, description) using (rule_id) group by all""")
 def _(s, d):
-    return catalogue.described(_findings(s, d), catalogue.english(s)).groupBy("rule_id", "title", "family", "description").agg(F.count(F.lit(1)).alias("n"))
+    return texts.described(_findings(s, d), texts.english(s)).groupBy("rule_id", "title", "family", "description").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query("findings_first_details", _F.split(", f as (")[0] + """ select url, 'Target status code: ' || coalesce(target_status_code::varchar, 'null') as line from (select distinct source_url as url, href, target_status_code from links where type = 'internal' and is_broken)""")
@@ -458,6 +459,17 @@ def _sheet(name: str) -> Query:
     return lambda s, d: sheet.rows(engine.run_checks(_tables(s, d), {r: REGISTRY[r] for r in sheet.rules}).findings)
 
 
+def _advice(words: str) -> str:
+    return "'" + '{"recommendation":"' + words + '"}' + "' as details"
+
+
+def _element_sheet(name: str, column: str, key: str, severities: tuple[str, str, str], advice: tuple[str, str, str]) -> str:
+    missing, duplicate, multiple = (oracle.CHECKS[f"meta.{name}.{k}"] for k in ("missing", "duplicate", "multiple"))
+    return oracle.VIEWS + f"""select '{severities[0]}' as severity, url, 'missing' as issue, null::varchar as {key}, null::double as count, {_advice(advice[0])} from ({missing})
+      union all select '{severities[1]}', url, 'duplicate', nullif({key}, ''), "duplicateCount"::double, {_advice(advice[1])} from ({duplicate})
+      union all select '{severities[2]}', m.url, 'multiple', array_to_string({column}, ', '), m.count::double, {_advice(advice[2])} from ({multiple}) m join ok using (url)"""
+
+
 _SHEET_SQL = {
     "Broken Links": oracle.VIEWS + """select case type when 'internal' then 'critical' else 'medium' end as severity, source_url as url, href, target_status_code::double as "targetStatusCode", type as "linkType", '{"recommendation":"Remove or fix link"}' as details
       from (select distinct source_url, href, target_status_code, type from links where is_broken)""",
@@ -467,6 +479,25 @@ _SHEET_SQL = {
     "Pagination": oracle.VIEWS + f"""select 'medium' as severity, url, "relNext", issue, '{{"recommendation":"Fix rel=next/prev reciprocity across the series"}}' as details from ({oracle.CHECKS['pagination.rel']})""",
     "URL Heuristics": oracle.VIEWS + f"""select 'low' as severity, url, replace(issues, '|', ', ') as issues, '{{"recommendation":"Use lowercase, hyphenated, short, param-free URLs"}}' as details from ({oracle.CHECKS['index.url-heuristics']})""",
 }
+_SHEET_SQL |= {
+    "Titles": _element_sheet("title", "title", "title", ("high", "medium", "medium"), ("Add a unique <title>", "Make the title unique per page", "Keep a single <title>")),
+    "Descriptions": _element_sheet("description", "meta_description", "description", ("medium", "low", "low"), ("Add a meta description", "Make the description unique per page", "Keep a single meta description")),
+    "H1": _element_sheet("h1", "h1", "h1", ("high", "low", "medium"), ("Add a single <h1>", "Make the H1 unique per page", "Keep a single <h1>")),
+    "Redirects": oracle.VIEWS + f"""select 'high' as severity, url, href, "targetStatusCode"::double as "targetStatusCode", null::double as hops, null::boolean as "isLoop", 'Point link to final URL (avoid the 3xx hop)' as recommendation, null::varchar as details from ({oracle.CHECKS['links.internal-redirect']})
+      union all select 'high', url, null, null, hops::double, "isLoop", 'Collapse the redirect chain; link directly to the final URL', null from ({oracle.CHECKS['links.redirect-chain']})""",
+    "Indexation": oracle.VIEWS + f"""select 'high' as severity, url, issue, "canonicalUrl", null::varchar as reason, {_advice("Set a self-referential canonical")} from ({oracle.CHECKS['index.canonical']})
+      union all select 'high', url, 'noindex/blocked', null, replace(reason, '|', ', '), {_advice("Remove the noindex/robots block if the page should rank")} from ({oracle.CHECKS['index.robots']})""",
+    "Images": oracle.VIEWS + f"""select 'low' as severity, url, src, "altState" as issue, null::double as "statusCode", {_advice("Add descriptive alt text")} from ({oracle.CHECKS['image.alt-title']})
+      union all select 'medium', url, src, 'broken (' || "statusCode" || ')', "statusCode"::double, {_advice("Fix or remove the broken image")} from ({oracle.CHECKS['image.broken']})""",
+    "Mirrors": oracle.VIEWS + f"""select 'high' as severity, url, 'main-mirror' as issue, replace(variants, '|', ', ') as variant, "mirrorCount"::double as "mirrorCount", {_advice("Redirect mirrors to one canonical origin")} from ({oracle.CHECKS['mirror.main-mirror']})
+      union all select 'medium', url, 'trailing-slash', "slashUrl", null, {_advice("Redirect to a single trailing-slash form")} from ({oracle.CHECKS['mirror.trailing-slash']})""",
+    "Performance": oracle.VIEWS + """, metrics as (select page_url as url, strategy, lcp_ms, cls::varchar::double as shown, cls::double as exact, inp_ms, nullif(array_to_string(flags, ', '), '') as flags from perf)
+      select 'high' as severity, url, strategy, lcp_ms::double as "lcpMs", null::double as cls, null::double as "inpMs", null::varchar as flags, '{"metric":"lcp"}' as details from metrics where lcp_ms > 2500
+      union all select 'high', url, strategy, null, shown, inp_ms::double, nullif(concat_ws(', ', case when exact > 0.1 then 'cls' end, case when inp_ms > 200 then 'inp' end), ''), '{"metric":"cls-inp"}' from metrics where exact > 0.1 or inp_ms > 200
+      union all select 'medium', url, strategy, null, null, null, flags, '{"metric":"psi-usability"}' from metrics where flags is not null
+      union all select 'high', url, strategy, null, null, null, flags, '{"metric":"mobile-indexing"}' from metrics where flags is not null and strategy = 'mobile'""",
+    "Meta Templates": oracle.VIEWS + " union all ".join(f"select 'info' as severity, url, '{n}' as element, nullif({k}, '') as value, length::double as length, recommendation, null::varchar as details from ({oracle.CHECKS[f'meta.{n}.template']})" for n, k in (("title", "title"), ("description", "description"), ("h1", "h1"))),
+}
 for _s in report.SHEETS:
     _query("report_" + _s.name.lower().replace(" ", "_"), _SHEET_SQL.get(_s.name))(_sheet(_s.name))
 
@@ -482,6 +513,35 @@ def _(s, d):
 _SQL["audits_page"] = "select o_orderkey::varchar as id, o_custkey::varchar as owner_id from orders where o_custkey = 7 order by o_orderdate desc, o_orderkey::varchar limit 5"
 
 
+@_query("findings_other_sheet", _F + "select severity, rule_id, url from f where rule_id = 'dupe.content'")
+def _(s, d):
+    """Rules without a sheet: the content check under another name."""
+    renamed = engine.of_check(REGISTRY["dupe.content"], _tables(s, d)).withColumn("rule_id", F.lit("own.content"))
+    return report.other(renamed).select("severity", F.lit("dupe.content").alias("rule_id"), "url")
+
+
+@_query("findings_by_rule_ordered", _F + "select row_number() over (order by case severity when 'critical' then 0 when 'high' then 1 when 'medium' then 2 when 'low' then 3 else 4 end, count(*) desc, rule_id)::int as place, rule_id, count(*) as findings from f group by rule_id, severity")
+def _(s, d):
+    from pyspark.sql import Window
+
+    ordered = engine.by_rule_ordered(_findings(s, d)).withColumn("at", F.monotonically_increasing_id())  # one row per rule
+    return ordered.select(F.row_number().over(Window.orderBy("at")).alias("place"), "rule_id", "findings")
+
+
+@_query("findings_in_order", _F + "select rule_id, severity, url, n::int as place from (select *, row_number() over (order by rank, rule_id, url nulls last) as n from ranked where rule_id in ('meta.title.missing', 'mirror.trailing-slash')) where n <= 60")
+def _(s, d):
+    from pyspark.sql import Window
+
+    page = read_api.in_order(_findings(s, d).where(F.col("rule_id").isin("meta.title.missing", "mirror.trailing-slash"))).limit(60).withColumn("at", F.monotonically_increasing_id())
+    return page.select("rule_id", "severity", "url", F.row_number().over(Window.orderBy("at")).alias("place"))
+
+
+@_query("audits_reports_ready", "select count(*) filter (o_orderstatus = 'F') as reports_ready from (select * from orders order by o_orderdate desc, o_orderkey::varchar limit 50)")
+def _(s, d):
+    rows = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "F", "path").alias("report_path"))
+    return read_api.reports_ready(rows)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -139,3 +139,48 @@ def test_workbook(spark, tmp_path):
         assert book.count("<sheet ") == 17 and 'name="Other"' in book
         assert "/h" in z.read("xl/worksheets/sheet3.xml").decode() and '{&quot;a' in z.read("xl/worksheets/sheet17.xml").decode() or '{"a":"z","b":1}' in z.read("xl/worksheets/sheet17.xml").decode()
     assert {r["section"]: (r["findings"], r["dominant"]) for r in report.section_summary(df).collect() if r["findings"]} == {"Broken Links": (1, "critical"), "Other": (1, "low")}
+
+
+def test_workbook_numbers_and_long_sheets(tmp_path):
+    import re
+
+    path = str(tmp_path / "w.xlsx")
+    numbers = [1234567.0, 0.12345678, 1e15 + 1, 404, True, 1e-7, -2.5]
+    report.write_workbook(path, [("Numbers", ["A", "B"], iter([(n, None) for n in numbers])), ("Empty", ["A"], iter(())), ("A name of more than thirty-one letters", ["A"], ((i,) for i in range(25)))], most_rows=11)
+    with zipfile.ZipFile(path) as z:
+        names = re.findall('<sheet name="([^"]*)"', z.read("xl/workbook.xml").decode())
+        assert names == ["Numbers", "Empty", "A name of more than thirty-one ", "A name of more than thirt (2)", "A name of more than thirt (3)"]
+        assert [float(v) for v in re.findall("<v>([^<]*)</v>", z.read("xl/worksheets/sheet1.xml").decode())] == [float(n) for n in numbers]
+        counts = [z.read(f"xl/worksheets/sheet{i}.xml").decode().count("<row ") for i in range(1, 6)]
+        assert counts == [8, 1, 11, 11, 6] and z.testzip() is None
+
+
+SITE = """<html><head><title>{0}</title></head><body><h1>{0}</h1><a href="/gone">x</a><img src="/i.png">{0}</body></html>"""
+
+
+def crawled(spark, words):
+    rows = [("https://a.example/", SITE.format(words), 200, {"content-type": ["text/html"]}), ("https://a.example/gone", "", 404, None)]
+    return spark.createDataFrame(rows, "url string, html string, status_code int, headers map<string,array<string>>")
+
+
+def test_stage_runner(spark, tmp_path):
+    from auditloom.plans import runner
+
+    folder, when = str(tmp_path / "audits"), dt.datetime(2024, 5, 6)
+    slow = json.dumps({"loadingExperience": {"metrics": {"LARGEST_CONTENTFUL_PAINT_MS": {"percentile": 4000}}}})
+    results = spark.createDataFrame([("https://a.example/", "mobile", slow), ("https://a.example/gone", "mobile", slow)], "page_url string, strategy string, psi_raw string")
+    one, two = runner.Audit(spark, folder, "one", "https://a.example/"), runner.Audit(spark, folder, "two")
+    path = one.run(crawled(spark, "A shop"), results, str(tmp_path), when)
+    assert zipfile.is_zipfile(path)
+    first = sorted(map(tuple, one.findings().collect()), key=repr)
+    rules = {r[1] for r in first}
+    assert {"links.broken-internal", "meta.description.missing", "image.alt-title", "perf.lcp", "index.canonical"} <= rules and {r[0] for r in first} == {"one"}
+    assert [json.loads(r[4])["lcpMs"] for r in first if r[1] == "perf.lcp"] == [4000]
+    two.run(crawled(spark, "Another shop with a title of a good length"), results.limit(0), str(tmp_path), when)
+    assert {r["rule_id"] for r in two.findings().collect()} & {"perf.lcp", "meta.title.template"} == set()
+    one.run(crawled(spark, "A shop"), results, str(tmp_path), when)  # again: replaced, not added
+    assert sorted(map(tuple, one.findings().collect()), key=repr) == first
+    three = runner.Audit(spark, folder, "three")
+    with pytest.raises(ValueError, match="crawl stage"):
+        three.run(crawled(spark, "x").limit(0), results, str(tmp_path), when)
+    assert {r["audit_id"]: (r["status"], r["stage"]) for r in runner.statuses(spark, folder).collect()} == {"one": ("done", "report"), "two": ("done", "report"), "three": ("failed", "enrich")}
