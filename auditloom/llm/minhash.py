@@ -13,13 +13,20 @@ and what they meet is confirmed as well.  No link between members of a bucket is
 lost, and no group is compared pair by pair.
 
 Texts with the same set are one node.  The threshold is a parameter; the number of
-bands of 5 rows follows from it (24 at 85 percent, 35 at 80), so that two texts just
-at the threshold share no bucket with a probability of about 1e-6.
+bands of 4 rows follows from it (25 at 85 percent, 35 at 80), so that two texts just
+at the threshold share no bucket with a probability of about 1e-8; such a pair, if
+nothing else links its texts, is the only link that can be lost.
+
+Hot keys (a bucket, centre, component or shingle with a large share of all rows) are
+cut into parts or met by a broadcast of at most ``runtime.HOT`` rows.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with
-nothing; with fewer than five words the whole sequence is the one shingle; rows
-that repeat an id stand in one component if their sets are linked, and share that
-id; rows with null id follow their component's smallest id (null if it has none).
+nothing; with fewer than five words the whole sequence is the one shingle; texts of
+any length are read whole, one at a time; rows that repeat an id stand in one
+component if their sets are linked, and share that id; rows with null id follow their
+component's smallest id (null if it has none); of two members that share equally many
+buckets the one with the larger node name is the centre; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -33,14 +40,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import LOWER, NOT_SPACE, Stored, Words, list_column, materialize, mix, slices, text_buffer
+from .runtime import LOWER, NOT_SPACE, Stored, Words, hot_join, hot_keys, list_column, materialize, mix, salted_join, slices, text_buffer
 
 SHINGLE_WORDS = 5
 #: Linked if 100 * intersection >= percent * union; this is op2's percent.
 PERCENT = 85
-ROWS = 5
+ROWS = 4
 #: Probability that two texts just at the threshold share no bucket, at most.
-MISS = 1e-6
+MISS = 1e-8
 _MANY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -140,11 +147,19 @@ def sketched(docs: DataFrame, bands: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, node binary, keys array<long>")
 
 
+def representatives(rows: DataFrame) -> DataFrame:
+    """node, rep, rep_key (the row with the smallest id, null only if all are, that stands for it), n (size of its set), keys, n_rows."""
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    found = rows.groupBy("node").agg(F.min(order).alias("r"), F.first("n_shingles").cast("int").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n_rows"))
+    return found.select("node", F.col("r.doc_id").alias("rep"), F.col("r.text_key").alias("rep_key"), "n", "keys", "n_rows")
+
+
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, shingles of the nodes given (columns node, rep), from the texts of their representatives."""
-    wanted = nodes.select(F.col("rep"), F.col("node").alias("wanted")).hint("merge")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("wanted", "text")
+    """node, shingles of the nodes given (columns node, rep, rep_key), from the texts of their representatives."""
+    wanted = nodes.select("rep", "rep_key", F.col("node").alias("wanted")).hint("merge")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    rows = rows.join(wanted, (F.col("text_key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("wanted", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -157,31 +172,42 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "node binary, shingles array<long>").dropDuplicates(["node"])
 
 
+def _counted(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The edges (a, b) whose full sets are similar enough."""
+    edges = materialize(edges.select("a", "b"), "edges")
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - both
-    return edges.join(left, "a").join(right, "b").where(both * 100 >= union * percent).select("a", "b")
+    found = salted_join(edges, left, "a", hot_keys(_counted(edges, "a"), "a", "n_rows"), "b")
+    found = salted_join(found, right, "b", hot_keys(_counted(edges, "b"), "b", "n_rows"), "a")
+    return found.where(both * 100 >= union * percent).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: connected components by alternating large and small stars; root is the least node of each."""
     star = Stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
-    last = None
-    while True:
+    while not _are_stars(star.df):
         both = star.df.unionByName(star.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        new = Stored(small, "stars")
-        star.drop()
+        least = Stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        large = hot_join(both, least.df.drop("n"), "u", hot_keys(least.df, "u", "n")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = Stored(large, "large")
+        low = Stored(large.df.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "low")
+        small = hot_join(large.df, low.df.drop("n"), "u", hot_keys(low.df, "u", "n")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = Stored(small.unionByName(low.df.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        for old in (star, least, large, low):
+            old.drop()
         star = new
-        state = star.df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(state) == last:
-            return star.df.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        last = tuple(state)
+    return star.df.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every u has one v only and no v is a u, so that each component is one star."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")).select("e.*")
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -192,48 +218,56 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def grouped(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, text_key, n_shingles, root (null without shingles), component_id - one row per input row."""
     rows = materialize(sketched(docs, bands_for(percent)), "sketches")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").cast("int").alias("n"), F.first("keys").alias("keys"))
-    nodes = materialize(nodes, "nodes")
+    nodes = materialize(representatives(rows.where("node is not null")), "nodes")
     members = materialize(bucket_members(nodes), "members")
-    sets = materialize(full_sets(docs, nodes.select("node", "rep").join(members.select("node").distinct(), "node", "left_semi")), "sets")
+    sets = materialize(full_sets(docs, nodes.select("node", "rep", "rep_key").join(members.select("node").distinct(), "node", "left_semi")), "sets")
     star = members.where("node <> centre").select("centre", "node", "n", "centre_n").distinct().where(_near_in_size("n", "centre_n", percent))
     links = materialize(confirm(star.select(F.col("centre").alias("a"), F.col("node").alias("b")), sets, percent), "links")
     labels = components(links)
-    rest = materialize(confirm(rare_pairs(members, labels, sets, percent), sets, percent), "links")
-    if not rest.isEmpty():
-        labels = components(links.unionByName(rest))
-    found = nodes.select("node", "rep").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = found.groupBy("root").agg(F.min("rep").alias("component"))
-    of_node = found.join(least, "root").select(F.col("node").alias("of"), "root", "component")
-    out = rows.join(of_node, F.col("node") == F.col("of"), "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "text_key", "n_shingles", "root", component.alias("component_id"))
+    rest = rare_pairs(members, labels, sets, percent)
+    if rest is not None:
+        rest = materialize(confirm(rest, sets, percent), "links")
+        if not rest.isEmpty():
+            labels = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
+    found = materialize(nodes.select("node", "rep").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), "found")
+    least = materialize(found.groupBy("root").agg(F.min("rep").alias("component"), F.count(F.lit(1)).alias("n")), "roots")
+    of_node = hot_join(found, least.drop("n"), "root", hot_keys(least, "root", "n")).select("node", "root", "component")
+    hot = hot_keys(nodes, "node", "n_rows")
+    out = hot_join(rows.where("node is not null").drop("keys"), materialize(of_node, "of_node"), "node", hot)
+    blank = rows.where("node is null").withColumns({"root": F.lit(None).cast("binary"), "component": F.col("doc_id")})
+    columns = ["doc_id", "text_key", "n_shingles", "root", F.col("component").alias("component_id")]
+    return out.select(*columns).unionByName(blank.select(*columns))
 
 
 def bucket_members(nodes: DataFrame) -> DataFrame:
     """key, node, n, centre, centre_n of the buckets with several members."""
     keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    several = materialize(keyed.join(sizes.hint("merge"), "key"), "buckets")
+    sizes = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
+    hot = hot_keys(sizes, "key", "m")
+    several = materialize(hot_join(keyed, sizes, "key", hot), "buckets")
     shared = several.groupBy("node").agg(F.sum("m").alias("shared"))
     centres = several.join(shared, "node").groupBy("key").agg(F.max(F.struct("shared", "node", "n")).alias("c"))
-    centres = centres.select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"))
-    return several.drop("m").join(centres, "key")
+    centres = materialize(centres.select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n")), "centres")
+    return hot_join(several.drop("m"), centres, "key", hot)
 
 
-def rare_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: every pair that may be linked of a member outside its bucket's main component and a member of such a bucket, in different components."""
+def rare_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """a, b: every pair that may be linked of a member outside its bucket's main component and a member of such a bucket, in different components (None if no member is outside)."""
     of_centre = labels.select(F.col("node").alias("centre"), F.col("root").alias("centre_root"))
-    rooted = members.join(labels, "node", "left").join(of_centre, "centre", "left")
+    rooted = hot_join(members.join(labels, "node", "left"), of_centre, "centre", hot_keys(_counted(members, "centre"), "centre", "n_rows"), "left")
     rooted = rooted.select("key", "node", F.coalesce("root", "node").alias("root"), F.coalesce("centre_root", "centre").alias("centre_root"))
-    apart = materialize(rooted.where("root <> centre_root and node is not null").select("key", "node", "root").distinct(), "apart")
+    rooted = materialize(rooted, "rooted")
+    apart = rooted.where("root <> centre_root").select("key", "node")
+    if apart.isEmpty():
+        return None
     probes = apart.select("node").distinct().withColumn("probe", F.lit(True))
-    near = rooted.join(apart.select("key").distinct(), "key", "left_semi").select("node", "root").distinct()
+    keys = materialize(apart.select("key").distinct(), "apart")
+    near = hot_join(rooted, keys, "key", hot_keys(_counted(rooted, "key"), "key", "n_rows"), "left_semi").select("node", "root").distinct()
     near = near.join(probes, "node", "left")
     entries = materialize(rare_entries(near.join(sets, "node"), percent), "rare")
-    left = entries.where("probe").select("w", F.col("own").alias("c"), F.col("other").alias("d"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
+    probe = entries.where("probe").select("w", F.col("own").alias("c"), F.col("other").alias("d"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
     right = entries.select("w", F.col("other").alias("c"), F.col("own").alias("d"), "node", "root", "n")
-    pairs = left.join(right, ["w", "c", "d"]).where((F.col("root") != F.col("ra")) & _near_in_size("n", "na", percent))
+    pairs = probe.join(right, ["w", "c", "d"]).where((F.col("root") != F.col("ra")) & _near_in_size("n", "na", percent))
     return pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
@@ -253,10 +287,10 @@ def rare_entries(rows: DataFrame, percent: int) -> DataFrame:
     shingles, so the first one they share, in order of rarity, is early in both.
     """
     apart = classes_apart(percent)
-    sized = rows.withColumn("n", F.size("shingles"))
+    sized = materialize(rows.withColumn("n", F.size("shingles")), "sized")
     each = sized.select("node", F.explode("shingles").alias("w"))
-    often = each.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    listed = each.join(often.hint("merge"), "w").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("shared"))
+    often = materialize(each.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "often")
+    listed = hot_join(each, often, "w", hot_keys(often, "w", "df")).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("shared"))
     own = F.floor(F.log(F.col("n")) / F.log(F.lit(_CLASS_STEP))).cast("int")
     ranked = sized.drop("shingles").join(listed, "node").withColumn("own", own)
     ranked = ranked.withColumn("other", F.explode(F.sequence(F.col("own") - apart, F.col("own") + apart)))
@@ -277,8 +311,11 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each group: that with the smallest id, of rows that repeat this id the one with the least text key.  Rows without shingles all stay."""
     found = materialize(grouped(docs, percent).where("root is not null").select("root", F.col("doc_id").alias("__i"), F.col("text_key").alias("__k")), "groups")
     order = F.struct(F.col("__i").isNull().alias("last"), "__i", "__k")
-    stays = found.groupBy("root").agg(F.min(order).alias("s"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.col("s.__i").alias("si"), F.col("s.__k").alias("sk"))
-    several = materialize(found.join(stays, "root").withColumn("stays", F.col("__i").eqNullSafe(F.col("si")) & (F.col("__k") == F.col("sk"))).select("__i", "__k", "stays"), "several")
+    stays = found.groupBy("root").agg(F.min(order).alias("s"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.col("s.__i").alias("si"), F.col("s.__k").alias("sk"), "n")
+    stays = materialize(stays, "stays")
+    stay = F.col("__i").eqNullSafe(F.col("si")) & (F.col("__k") == F.col("sk"))
+    several = hot_join(found, stays.drop("n"), "root", hot_keys(stays, "root", "n")).withColumn("stays", stay).select("__i", "__k", "stays")
+    several = materialize(several, "several")
     marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": F.xxhash64(F.coalesce("text", F.lit("")))})
     same = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__key") == F.col("__k"))
     left = marked.join(several.where("not stays").select("__i", "__k").distinct(), same, "left_anti")

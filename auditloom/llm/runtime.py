@@ -104,12 +104,12 @@ def hot_join(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, how: s
     return rows.join(keys, key, "left_semi").join(few, key, how).unionByName(rows.join(keys, key, "left_anti").join(table.hint("merge"), key, how))
 
 
-def salted_join(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, by: str, also: tuple[str, ...] = ()) -> DataFrame:
-    """``rows`` joined to ``table`` (rows of any width) by key and the columns ``also``: the rows of a hot key are cut into parts by the hash of ``by``, each with copies of the table's rows."""
+def salted_join(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, by: str) -> DataFrame:
+    """``rows`` joined to ``table`` (at most one row per key, of any width): the rows of a hot key are cut into parts by the hash of ``by``, each with a copy of the table's row."""
     copies = F.broadcast(hot.select(F.col(key).alias("__hot"), "copies"))  # at most HOT rows
     left = rows.join(copies, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.pmod(F.xxhash64(by), F.coalesce("copies", F.lit(1)).cast("long")).cast("int")).drop("__hot", "copies")
     right = table.join(copies, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("__hot", "copies")
-    return left.join(right.hint("merge"), [key, *also, "__salt"]).drop("__salt")
+    return left.join(right.hint("merge"), [key, "__salt"]).drop("__salt")
 
 
 # ---------------------------------------------------------------------------
