@@ -3,10 +3,13 @@
 Vectors that are equal are one node.  The graph starts from blocks of nodes next to
 each other in orders of random hyperplane signs; each round then joins every node's
 neighbours and reverse neighbours with each other (neighbours of neighbours) and
-keeps the nearest.  A query walks the graph from its own node (if it is indexed) and
-from a fixed number of pivots, always expanding the nearest nodes of a beam that are
-not expanded yet; the best of the beam, and all that tie with the k-th within the
-codes' error, are ranked again by the exact cosine.
+keeps the nearest, until a round changes next to nothing.  All queries walk the graph
+together: each starts from its own node (if it is indexed), from a fixed number of
+pivots and what these are linked to, and always expands the nearest nodes of its beam
+that are not expanded yet.  A step deals the nodes to expand out to the buckets of
+the links, so its work is that of queries times FAN, and no step reads the links more
+than once.  The best of the beam, and all that tie with the k-th within the codes'
+error, are ranked again by the exact cosine.
 
 Distances within the walk are of single-precision unit vectors; results never are.
 Where their error leaves open whether a node that is not ranked, or not in a full
@@ -22,21 +25,27 @@ answered by comparing them, in blocks, with all rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import Stored, list_column, materialize
+from .runtime import Stored, list_column, materialize, partitions_for, scratch
 
-#: Neighbours and reverse neighbours of a node; rounds of descent; partners that one join proposes to a node.
-NEIGHBOURS, REVERSE, DESCENTS, PROPOSALS = 20, 14, 6, 6
+#: Neighbours and reverse neighbours of a node; partners that one join proposes to a node.
+NEIGHBOURS, REVERSE, PROPOSALS = 20, 14, 6
+#: The descent ends when a round changes less than this share of all neighbours, or after so many rounds.
+LEAST_CHANGE, MOST_DESCENTS = 0.05, 12
 #: Orders of the start and nodes compared in a block of one.
 ORDERS, BLOCK, SIGN_BITS = 3, 128, 20
-#: Nodes in a beam, nodes expanded at once, pivots, queries walked together, beam nodes ranked again at least.
-BEAM, FAN, PIVOTS, QUERY_BLOCK, RERANK = 800, 64, 32, 2048, 64
+#: Nodes in a beam, nodes expanded at once, pivots, nodes kept of what these are linked to, beam nodes ranked again at least.
+BEAM, FAN, PIVOTS, ENTRIES, RERANK = 800, 64, 32, 128, 64
+#: Nodes in one bucket of the links; queries compared with all rows together.
+BUCKET_NODES, QUERY_BLOCK = 10_000, 512
 
 
 def _matrix(column: pa.Array, kind=np.float64) -> np.ndarray:
@@ -135,9 +144,16 @@ def _merged_lists(rows: np.ndarray, ids: np.ndarray, sims: np.ndarray, old: np.n
     return ids[keep], sims[keep], old[keep], np.bincount(rows[keep], minlength=n_rows)
 
 
+def _cut(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows, as each row may hold hundreds of nodes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _flat(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Row number of each element of a list column (null lists as empty), and the elements."""
-    counts = np.array([0 if c is None else c for c in pa.compute.list_value_length(column).to_pylist()], dtype=np.int64)
+    counts = np.array([0 if c is None else c for c in pc.list_value_length(column).to_pylist()], dtype=np.int64)
     return np.repeat(np.arange(len(column)), counts), column.flatten()
 
 
@@ -184,7 +200,7 @@ def _descend(graph: DataFrame, seed: int) -> DataFrame:
 
     def local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = pa.compute.list_value_length(batch.column(1)).to_numpy(False)
+            counts = pc.list_value_length(batch.column(1)).to_numpy(False)
             ends = np.cumsum(counts)
             ids, old = batch.column(1).flatten().to_numpy(False), batch.column(2).flatten().to_numpy(False)
             least, x = batch.column(3).flatten().to_numpy(False), _codes(batch.column(4).flatten())
@@ -215,11 +231,14 @@ def build_graph(nodes: DataFrame) -> DataFrame:
     """Neighbour graph (node, code, ids, sims, old, least) by NN-descent from block starts."""
     bare = nodes.withColumns({"ids": F.array().cast("array<long>"), "sims": F.array().cast("array<float>")})
     graph = Stored(_graph_step(bare, start_pairs(nodes)), "graph")
-    for i in range(DESCENTS):
+    for i in range(MOST_DESCENTS):
         new = Stored(_graph_step(graph.df, _descend(graph.df, i)), "graph")
         graph.drop()
         graph = new
         _release(nodes)
+        changed, total = graph.df.agg(F.sum(F.size(F.filter("old", lambda x: ~x))), F.sum(F.size("old"))).first()
+        if not total or changed < LEAST_CHANGE * total:
+            break
     return graph.df
 
 
@@ -231,10 +250,25 @@ def _release(df: DataFrame) -> None:
     df.sparkSession._jvm.System.gc()
 
 
-def adjacency(graph: DataFrame) -> DataFrame:
-    """node, ids, codes: what a walk sees from a node - neighbours and reverse neighbours with their codes."""
-    edges = _around(graph, DESCENTS).select("at", "node").distinct().join(graph.select("node", "code"), "node")
-    return edges.groupBy("at").agg(F.collect_list("node").alias("ids"), F.collect_list("code").alias("codes")).withColumnRenamed("at", "node")
+def adjacency(graph: DataFrame, buckets: int) -> DataFrame:
+    """node, ids, codes: what a walk sees from a node - neighbours and reverse neighbours with their codes; dealt to ``buckets`` partitions by node."""
+    edges = _around(graph, MOST_DESCENTS).select("at", "node").distinct().join(graph.select("node", "code"), "node")
+    dealt = edges.select(F.col("at").alias("node"), F.col("node").alias("other"), "code").repartition(buckets, "node")
+    return dealt.groupBy("node").agg(F.collect_list("other").alias("ids"), F.collect_list("code").alias("codes"))
+
+
+class Links:
+    """The adjacency as a table bucketed by node in the shared folder: joins by node do not move it."""
+
+    def __init__(self, graph: DataFrame, n_nodes: int):
+        self.spark = graph.sparkSession
+        self.name = f"auditloom_links_{uuid.uuid4().hex}"
+        buckets = partitions_for(self.spark, n_nodes, BUCKET_NODES)
+        adjacency(graph, buckets).write.format("parquet").bucketBy(buckets, "node").option("path", scratch(self.spark, "links")).saveAsTable(self.name)
+        self.df = self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"drop table if exists {self.name}")
 
 
 # ---------------------------------------------------------------------------
@@ -243,12 +277,17 @@ def adjacency(graph: DataFrame) -> DataFrame:
 _STATE = "q long, code binary, ids array<long>, sims array<float>, done array<boolean>, front array<long>, least float"
 
 
-def _advance(state: DataFrame, offers: DataFrame, beam: int) -> DataFrame:
+def _advance(state: DataFrame, offers: DataFrame | None, beam: int) -> DataFrame:
     """Take offers (q, other, sim) into the beams and choose what to expand next."""
-    offered = offers.groupBy("q").agg(F.collect_list("other").alias("new_ids"), F.collect_list("sim").alias("new_sims"))
+    columns = ["q", "code", "ids", "sims", "done"]
+    if offers is None:
+        joined = state.select(*columns, F.array().cast("array<long>").alias("new_ids"), F.array().cast("array<float>").alias("new_sims"))
+    else:
+        offered = offers.groupBy("q").agg(F.collect_list("other").alias("new_ids"), F.collect_list("sim").alias("new_sims"))
+        joined = state.select(*columns).join(offered, "q", "left")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _cut(batches, 100):
             n = batch.num_rows
             parts = [_flat(batch.column(c)) for c in range(2, 7)]
             rows = np.concatenate([parts[0][0], parts[3][0]])
@@ -266,20 +305,20 @@ def _advance(state: DataFrame, offers: DataFrame, beam: int) -> DataFrame:
             full = counts == beam
             least[full] = sims[offsets[1:][full] - 1]
             lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x)) for x in (ids, sims, done)]
-            columns = [batch.column(0), batch.column(1), *lists, list_column(ids[front], np.bincount(row[front], minlength=n)), pa.array(least)]
-            yield pa.RecordBatch.from_arrays(columns, ["q", "code", "ids", "sims", "done", "front", "least"])
+            out = [batch.column(0), batch.column(1), *lists, list_column(ids[front], np.bincount(row[front], minlength=n)), pa.array(least)]
+            yield pa.RecordBatch.from_arrays(out, ["q", "code", "ids", "sims", "done", "front", "least"])
 
-    return state.select("q", "code", "ids", "sims", "done").join(offered, "q", "left").mapInArrow(merge, _STATE)
+    return joined.mapInArrow(merge, _STATE)
 
 
 def _expand(state: DataFrame, links: DataFrame) -> DataFrame:
     """q, other, sim: what the beams' front nodes see, as far as it can enter the beam."""
-    # broadcast: at most QUERY_BLOCK * FAN rows of an id, a code and a bound
     front = state.select("q", F.col("code").alias("query"), "least", F.explode("front").alias("node"))
-    seen = links.join(F.broadcast(front), "node").select("q", "query", "least", "ids", "codes")
+    # the front goes to the links' buckets and is the side that is held; the links stay where they are
+    seen = links.join(front.hint("shuffle_hash"), "node").select("q", "query", "least", "ids", "codes")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _cut(batches, 200):
             row, ids = _flat(batch.column(3))
             sims = np.einsum("ij,ij->i", _codes(batch.column(4).flatten()), _codes(batch.column(1))[row]) if len(row) else np.empty(0)
             good = sims > batch.column(2).to_numpy()[row] if len(row) else np.empty(0, bool)
@@ -289,28 +328,45 @@ def _expand(state: DataFrame, links: DataFrame) -> DataFrame:
     return seen.mapInArrow(score, "q long, other long, sim float")
 
 
-def _walk(block: DataFrame, nodes: DataFrame, links: DataFrame, beam: int, k: int, error: float) -> DataFrame:
-    """q, bound, node: the beam nodes to rank of each query (columns q, node, code) of one block; no other node seen is nearer than ``bound`` by its code."""
-    pivots = nodes.orderBy(F.xxhash64("node", F.lit(77)), "node").limit(PIVOTS).select(F.col("node").alias("other"), F.col("code").alias("theirs")).collect()
-    ids = np.array([p["other"] for p in pivots], dtype=np.int64)
-    codes = np.stack([np.frombuffer(p["theirs"], "<f4") for p in pivots])
+def _entered(queries: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """q, code, ids, sims, done: where each query starts - its own node, the pivots (already expanded), and the nearest of what these see."""
+    pivots = nodes.orderBy(F.xxhash64("node", F.lit(77)), "node").limit(PIVOTS)
+    found = pivots.collect()  # PIVOTS rows
+    seen = links.join(F.broadcast(pivots.select("node")), "node").collect()  # PIVOTS rows of at most NEIGHBOURS + REVERSE nodes
+    own = np.array([p["node"] for p in found], dtype=np.int64)
+    other = {i: c for r in seen for i, c in zip(r["ids"], r["codes"], strict=True)}
+    for i in own.tolist():
+        other.pop(i, None)
+    ids = np.concatenate([own, np.array(list(other), dtype=np.int64)])
+    codes = np.stack([np.frombuffer(c, "<f4") for c in [*[p["code"] for p in found], *other.values()]])
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sims = _codes(batch.column(2)) @ codes.T
-            n = len(sims)
-            other = np.column_stack([batch.column(1).to_numpy(False), np.broadcast_to(ids, sims.shape)])
-            sims = np.column_stack([np.ones(n, np.float32), sims])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), other.shape[1])), pa.array(other.ravel()), pa.array(sims.ravel().astype(np.float32))], ["q", "other", "sim"])
-
-    bare = block.select("q", "code").withColumns({"ids": F.array().cast("array<long>"), "sims": F.array().cast("array<float>"), "done": F.array().cast("array<boolean>")})
-    offers = block.select("q", "node", "code").mapInArrow(enter, "q long, other long, sim float")
-    state = Stored(_advance(bare, offers, beam), "walk")
+        for batch in _cut(batches, 200):
+            n = batch.num_rows
+            sims = (_codes(batch.column(2)) @ codes.T).astype(np.float32)
+            k = min(ENTRIES, len(ids) - len(own))
+            near = np.argpartition(-sims[:, len(own) :], k - 1, axis=1)[:, :k] + len(own) if k else np.empty((n, 0), dtype=np.int64)
+            place = np.column_stack([np.broadcast_to(np.arange(len(own)), (n, len(own))), near])
+            all_ids = np.column_stack([batch.column(1).to_numpy(False), ids[place]])
+            all_sims = np.column_stack([np.ones(n, np.float32), np.take_along_axis(sims, place, 1)])
+            done = np.zeros(all_ids.shape, dtype=bool)
+            done[:, 1 : len(own) + 1] = True
+            rows = np.repeat(np.arange(n), all_ids.shape[1])
+            i, s, d, counts = _merged_lists(rows, all_ids.ravel(), all_sims.ravel(), done.ravel(), n, all_ids.shape[1])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (i, s, d)]], ["q", "code", "ids", "sims", "done"])
+
+    return queries.select("q", "node", "code").mapInArrow(enter, "q long, code binary, ids array<long>, sims array<float>, done array<boolean>")
+
+
+def _walk(queries: DataFrame, nodes: DataFrame, links: DataFrame, beam: int, k: int, error: float) -> DataFrame:
+    """q, bound, node: the beam nodes to rank of each query (columns q, node, code); no other node seen is nearer than ``bound`` by its code."""
+    state = Stored(_advance(_entered(queries, links, nodes), None, beam), "walk")
     while not state.df.where(F.size("front") > 0).isEmpty():
         new = Stored(_advance(state.df, _expand(state.df, links), beam), "walk")
         state.drop()
         state = new
-    _release(block)
+    _release(queries)
     at = lambda i: F.coalesce(F.get("sims", F.lit(i)).cast("double"), F.lit(-9.0))
     cut = state.df.withColumn("cut", F.least(at(RERANK - 1), at(k) - 2 * error))
     left = F.array_max(F.filter("sims", lambda x: x < F.col("cut")))
@@ -340,8 +396,8 @@ def brute_force(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """q, query_id, rank, vec_id, score against all rows; queries (q, query_id, query) are taken in blocks."""
     spark, out = queries.sparkSession, None
     listed = queries.select("q").orderBy("q")
-    for block in _blocks(listed, QUERY_BLOCK // 4):
-        own = queries.join(block, "q").collect()  # at most QUERY_BLOCK / 4 queries
+    for block in _blocks(listed, QUERY_BLOCK):
+        own = queries.join(block, "q").collect()  # about QUERY_BLOCK queries
         keys, ids = np.array([r["q"] for r in own]), [r["query_id"] for r in own]
         wanted = np.array([r["query"] for r in own])
 
@@ -390,11 +446,9 @@ def nearest_neighbours(table: DataFrame, *, every: int = 50, k: int = 5, beam: i
     # a bound on the error of a sum of so many products in single precision
     error = (queries.select(F.size("query")).first()[0] + 4) * 2.0**-24
     graph = build_graph(nodes)
-    links = materialize(adjacency(graph), "links")
-    found = None
-    for block in _blocks(queries, QUERY_BLOCK):
-        part = materialize(_walk(block, nodes, links, beam, k, error), "found")
-        found = part if found is None else found.unionByName(part)
+    links = Links(graph, nodes.count())
+    found = materialize(_walk(queries, nodes, links.df, beam, k, error), "found")
+    links.drop()
     pairs = found.drop("bound").join(queries.drop("node", "code"), "q").join(members, "node").where(~F.col("query_id").eqNullSafe(F.col("vec_id")))
     ranked = materialize(_ranked(pairs, k), "ranked")
     total = vectors.select("vec_id").distinct().count() - 1
