@@ -12,7 +12,8 @@ diagonal; whole license notices vote with five words and count from half on.
 
 Defined cases: null and empty texts have no words and no labels; repeated rows are
 scanned each by itself; overlapping places are all counted; texts of any length are
-scanned whole.
+scanned whole; of labels and places that tie all are kept (labels sorted); an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

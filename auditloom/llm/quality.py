@@ -6,7 +6,8 @@ whole batches at once.
 
 Defined cases: null text is empty text and is scored like any other; labels with
 null id or quality are left out; a document with several labels takes their mean;
-repeated rows are scored each by itself; without labels of both kinds every score
+repeated rows are scored each by itself; texts of any length are scored whole; rows
+of equal features tie in their score; an empty table gives an empty result; without labels of both kinds every score
 is the labels' mean (1 without any label).
 """
 
