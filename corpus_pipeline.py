@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's ``docs``; all but the last return the
 columns of ``documents``.
+
+Defined cases, in every stage: null text counts as empty text, and texts of any
+length are taken whole; rows without shingles (empty or blank texts) have no near
+duplicates; a null id stays only where its group has no other, a null source is a
+source of its own; of rows that tie on id and text one stays in the duplicate stages;
+an empty table gives an empty result; further columns are kept.
 """
 
 from __future__ import annotations
