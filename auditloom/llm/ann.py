@@ -43,7 +43,7 @@ LEAST_CHANGE, MOST_DESCENTS = 0.05, 12
 #: Orders of the start and nodes compared in a block of one.
 ORDERS, BLOCK, SIGN_BITS = 3, 128, 20
 #: Nodes in a beam, nodes expanded at once, pivots, nodes kept of what these are linked to, beam nodes ranked again at least.
-BEAM, FAN, PIVOTS, ENTRIES, RERANK = 800, 64, 32, 128, 64
+BEAM, FAN, PIVOTS, ENTRIES, RERANK = 800, 128, 32, 128, 64
 #: Nodes in one bucket of the links; queries compared with all rows together.
 BUCKET_NODES, QUERY_BLOCK = 10_000, 512
 
