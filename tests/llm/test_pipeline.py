@@ -50,3 +50,39 @@ def test_pipeline(spark, tmp_path):
     packed = corpus_pipeline.STAGES[4][1](spark, before, str(tmp_path))
     assert packed.where("start = 0").count() == before.count()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == packed.count()
+
+
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    """Null ids, texts and sources, repeated ids, blank and long texts, and columns named like the operators' own."""
+    clean = [(100 + i, _ops.words(60 + i, 500 + i)) for i in range(30)]
+    junk = [(400 + i, "WIN NOW!! " * (20 + i)) for i in range(30)]
+    odd = [(None, _ops.words(70, 900)), (None, _ops.words(70, 901)), (None, None), (600, None), (601, ""), (602, " \t "), (603, "x" * 50_000), (604, _ops.words(20_000, 902))]
+    repeated = [(100, _ops.words(80, 903)), (100, clean[0][1])]
+    rows = [(i, t, "en", None if n % 3 == 0 else f"s{n % 3}", len(t or ""), n, "k", "r", n) for n, (i, t) in enumerate([*clean, *junk, *odd, *repeated])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node long, key string, root string, size int"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, 0) for i, _ in junk] + [(i, 1) for i, _ in clean] + [(None, 1), (601, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    before = docs
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        stage(spark, before, str(tmp_path)).write.parquet(str(tmp_path / name.replace(" ", "_")))
+        after = spark.read.parquet(str(tmp_path / name.replace(" ", "_")))
+        assert after.columns == docs.columns, name
+        old, new = [r["text"] or "" for r in before.collect()], [r["text"] or "" for r in after.collect()]
+        if name.startswith("mixing"):
+            assert sum(len(t.split()) for t in new) == sum(r["taken"] for r in mixing.source_mixing(before).collect())
+        else:
+            assert {t for _, t in clean} <= set(new) <= set(old) and not {t for _, t in junk} & set(new), name
+        if name.startswith("exact"):
+            assert sorted(new) == sorted(set(old))
+        if name.startswith("minhash"):
+            assert sorted(new) == sorted(old)  # no near copies among these
+        before = after
+    assert corpus_pipeline.STAGES[4][1](spark, before, str(tmp_path)).where("start = 0").count() == before.count()
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
