@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..ship import ship
-from . import ann, exact_dedup, fill_middle, html_blocks, licenses, minhash, mixing, packing, quality, token_counts, tokens, warc
+from . import ann, exact_dedup, fill_middle, html_blocks, licenses, minhash, mixing, packing, prefix_trie, quality, token_counts, tokens, warc
 from .runtime import table
 
 #: Rows of one Arrow batch; texts may be long, so fewer than Spark's own 10,000.
@@ -46,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_source_mixing": _over("documents", mixing.source_mixing),
         "op10_nearest_neighbours": _over("embeddings", ann.nearest_neighbours),
         "op11_fill_in_middle": _over("documents", fill_middle.fill_in_middle),
+        "op12_prefix_trie": _over("conversations", prefix_trie.prefix_trie),
     }
 
 
@@ -55,4 +56,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_exact_dedup": exact_dedup.ORACLE_SQL,
         "op9_source_mixing": mixing.ORACLE_SQL,
         "op11_fill_in_middle": fill_middle.ORACLE_SQL,
+        "op12_prefix_trie": prefix_trie.ORACLE_SQL,
     }
