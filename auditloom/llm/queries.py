@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..ship import ship
-from . import ann, exact_dedup, fill_middle, html_blocks, licenses, minhash, mixing, packing, prefix_trie, quality, token_counts, tokens, warc
+from . import ann, exact_dedup, fill_middle, html_blocks, licenses, minhash, mixing, packing, prefix_trie, quality, token_counts, tokens, toxicity, warc
 from .runtime import table
 
 #: Rows of one Arrow batch; texts may be long, so fewer than Spark's own 10,000.
@@ -33,6 +33,11 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": _over("documents", licenses.license_scan),
@@ -47,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_nearest_neighbours": _over("embeddings", ann.nearest_neighbours),
         "op11_fill_in_middle": _over("documents", fill_middle.fill_in_middle),
         "op12_prefix_trie": _over("conversations", prefix_trie.prefix_trie),
+        "op13_toxicity": toxic,
     }
 
 
