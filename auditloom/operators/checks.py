@@ -1,7 +1,9 @@
 """The 31 checks: a registry of declarative plans, each giving ``audit_id``, ``url`` and its detail columns.
 
 A check is registered with its id, severity and description; anything that has the
-same shape can be added to a copy of the registry and run by the engine.
+same shape can be added to a copy of the registry and run by the engine.  Checks that
+look at one row, or at how often a key occurs, also say so (``local``, ``counted``):
+the engine runs all of these that read one table in one pass over it.
 """
 
 from __future__ import annotations
@@ -16,6 +18,24 @@ from ..sources.tables import Tables
 from .enrich import is_loop
 
 
+@dataclass(frozen=True)
+class Local:
+    """What a check looks for in single rows of one table: ``form`` gives the condition and the detail columns; ``distinct`` findings are reported once."""
+
+    table: str
+    form: Callable[[], tuple[Column, dict[str, Column]]]
+    url: str = "url"
+    distinct: bool = False
+
+
+@dataclass(frozen=True)
+class Counted:
+    """A check for pages that share a key (null: none): ``name`` is the key's column in the details."""
+
+    key: Callable[[], Column]
+    name: str
+
+
 @dataclass(frozen=True)
 class Check:
     """A check: its plan maps tables to ``audit_id``, ``url`` and detail columns (named as in the findings' JSON)."""
@@ -24,6 +44,8 @@ class Check:
     severity: str
     description: str
     plan: Callable[[Tables], DataFrame]
+    local: Local | None = None
+    counted: Counted | None = None
 
 
 REGISTRY: dict[str, Check] = {}
@@ -37,8 +59,40 @@ def _check(check_id: str, severity: str, description: str):
     return add
 
 
+def _row(check_id: str, severity: str, description: str, table: str, url: str = "url", distinct: bool = False):
+    """Register a check of single rows: its function gives the condition and the detail columns."""
+
+    def add(form: Callable[[], tuple[Column, dict[str, Column]]]):
+        def plan(t: Tables) -> DataFrame:
+            found, detail = form()
+            rows = getattr(t, table).where(found).select("audit_id", F.col(url).alias("url"), *[c.alias(n) for n, c in detail.items()])
+            return rows.distinct() if distinct else rows
+
+        REGISTRY[check_id] = Check(check_id, severity, description, plan, local=Local(table, form, url, distinct))
+        return form
+
+    return add
+
+
+def _same(check_id: str, severity: str, description: str, name: str):
+    """Register a check for live pages that share a key."""
+
+    def add(key: Callable[[], Column]):
+        def plan(t: Tables) -> DataFrame:
+            return _shared(_ok(t), key()).select("audit_id", "url", F.col("key").alias(name), "duplicateCount")
+
+        REGISTRY[check_id] = Check(check_id, severity, description, plan, counted=Counted(key, name))
+        return key
+
+    return add
+
+
+def _live() -> Column:
+    return F.col("status_class") == "2xx"
+
+
 def _ok(t: Tables) -> DataFrame:
-    return t.pages.where(F.col("status_class") == "2xx")
+    return t.pages.where(_live())
 
 
 def _labels(**cases: Column) -> Column:
@@ -74,36 +128,35 @@ def trailing_slash(t: Tables) -> DataFrame:
 # --- links -------------------------------------------------------------------
 
 
-def _link_rows(t: Tables, kind: str, flag: str) -> DataFrame:
-    found = t.links.where((F.col("type") == kind) & F.col(flag))
-    return found.select("audit_id", F.col("source_url").alias("url"), "href", F.col("target_status_code").alias("targetStatusCode")).distinct()
+def _link(kind: str, flag: str) -> tuple[Column, dict[str, Column]]:
+    return (F.col("type") == kind) & F.col(flag), {"href": F.col("href"), "targetStatusCode": F.col("target_status_code")}
 
 
-@_check("links.internal-redirect", "high", "Internal links that lead to a redirect")
-def internal_redirect(t: Tables) -> DataFrame:
-    return _link_rows(t, "internal", "is_redirect")
+@_row("links.internal-redirect", "high", "Internal links that lead to a redirect", "links", "source_url", distinct=True)
+def internal_redirect():
+    return _link("internal", "is_redirect")
 
 
-@_check("links.redirect-chain", "high", "Pages reached through several hops, or in a loop")
-def redirect_chain(t: Tables) -> DataFrame:
+@_row("links.redirect-chain", "high", "Pages reached through several hops, or in a loop", "pages")
+def redirect_chain():
     hops = F.array_size("redirect_chain")
-    return t.pages.where(hops > 1).select("audit_id", "url", hops.cast("long").alias("hops"), is_loop().alias("isLoop"), F.col("redirect_chain").alias("chain"))
+    return hops > 1, {"hops": hops.cast("long"), "isLoop": is_loop(), "chain": F.col("redirect_chain")}
 
 
-@_check("links.broken-internal", "critical", "Internal links whose target answers 4xx or 5xx")
-def broken_internal(t: Tables) -> DataFrame:
-    return _link_rows(t, "internal", "is_broken")
+@_row("links.broken-internal", "critical", "Internal links whose target answers 4xx or 5xx", "links", "source_url", distinct=True)
+def broken_internal():
+    return _link("internal", "is_broken")
 
 
-@_check("links.broken-external", "medium", "External links whose crawled target answers 4xx or 5xx")
-def broken_external(t: Tables) -> DataFrame:
-    return _link_rows(t, "external", "is_broken")
+@_row("links.broken-external", "medium", "External links whose crawled target answers 4xx or 5xx", "links", "source_url", distinct=True)
+def broken_external():
+    return _link("external", "is_broken")
 
 
-@_check("links.external-flag", "low", "External links without nofollow, sponsored or ugc")
-def external_flag(t: Tables) -> DataFrame:
+@_row("links.external-flag", "low", "External links without nofollow, sponsored or ugc", "links", "source_url", distinct=True)
+def external_flag():
     flagged = F.coalesce(F.arrays_overlap("rel", F.array(*map(F.lit, ("nofollow", "sponsored", "ugc")))), F.lit(False))
-    return t.links.where((F.col("type") == "external") & ~flagged).select("audit_id", F.col("source_url").alias("url"), "href", "rel").distinct()
+    return (F.col("type") == "external") & ~flagged, {"href": F.col("href"), "rel": F.col("rel")}
 
 
 # --- titles, descriptions, headings ------------------------------------------
@@ -115,23 +168,22 @@ def _element_checks(name: str, column: str, key: str, severities: tuple[str, str
     def first() -> Column:
         return F.get(column, 0)
 
-    @_check(f"meta.{name}.missing", severities[0], f"Pages without {name}")
-    def missing(t: Tables) -> DataFrame:
-        return _ok(t).where(F.array_size(column) == 0).select("audit_id", "url")
+    @_row(f"meta.{name}.missing", severities[0], f"Pages without {name}", "pages")
+    def missing():
+        return _live() & (F.array_size(column) == 0), {}
 
-    @_check(f"meta.{name}.duplicate", severities[1], f"Pages that share their {name}")
-    def duplicate(t: Tables) -> DataFrame:
-        return _shared(_ok(t), F.when(F.array_size(column) >= 1, first())).select("audit_id", "url", F.col("key").alias(key), "duplicateCount")
+    @_same(f"meta.{name}.duplicate", severities[1], f"Pages that share their {name}", key)
+    def duplicate():
+        return F.when(F.array_size(column) >= 1, first())
 
-    @_check(f"meta.{name}.multiple", severities[2], f"Pages with more than one {name}")
-    def multiple(t: Tables) -> DataFrame:
-        return _ok(t).where(F.array_size(column) > 1).select("audit_id", "url", F.col(column).alias(f"{key}s"), F.array_size(column).cast("long").alias("count"))
+    @_row(f"meta.{name}.multiple", severities[2], f"Pages with more than one {name}", "pages")
+    def multiple():
+        return _live() & (F.array_size(column) > 1), {f"{key}s": F.col(column), "count": F.array_size(column).cast("long")}
 
-    @_check(f"meta.{name}.template", severities[3], f"Pages whose {name} is shorter than {shortest} or longer than {longest} characters")
-    def template(t: Tables) -> DataFrame:
-        rows = _ok(t).select("audit_id", "url", first().alias(key), F.char_length(first()).cast("long").alias("length"))
-        advice = F.when(F.col("length") < shortest, "too-short").otherwise("too-long")
-        return rows.where(~F.col("length").between(shortest, longest)).withColumn("recommendation", advice)
+    @_row(f"meta.{name}.template", severities[3], f"Pages whose {name} is shorter than {shortest} or longer than {longest} characters", "pages")
+    def template():
+        length = F.char_length(first()).cast("long")
+        return _live() & ~length.between(shortest, longest), {key: first(), "length": length, "recommendation": F.when(length < shortest, "too-short").otherwise("too-long")}
 
 
 _element_checks("title", "title", "title", ("high", "medium", "medium", "info"), 30, 60)
@@ -142,34 +194,33 @@ _element_checks("h1", "h1", "h1", ("high", "low", "medium", "info"), 20, 70)
 # --- duplicates and indexing ---------------------------------------------------
 
 
-@_check("dupe.content", "high", "Pages with the same content")
-def duplicate_content(t: Tables) -> DataFrame:
-    return _shared(_ok(t), F.col("content_hash")).select("audit_id", "url", F.col("key").alias("contentHash"), "duplicateCount")
+@_same("dupe.content", "high", "Pages with the same content", "contentHash")
+def duplicate_content():
+    return F.col("content_hash")
 
 
-@_check("index.canonical", "high", "Pages without canonical URL, or with that of another page")
-def canonical(t: Tables) -> DataFrame:
+@_row("index.canonical", "high", "Pages without canonical URL, or with that of another page", "pages")
+def canonical():
     issue = F.when(F.col("canonical_url").isNull(), "missing").when(~F.col("is_self_canonical"), "non-self")
-    return _ok(t).select("audit_id", "url", issue.alias("issue"), F.col("canonical_url").alias("canonicalUrl")).where("issue is not null")
+    return _live() & issue.isNotNull(), {"issue": issue, "canonicalUrl": F.col("canonical_url")}
 
 
-@_check("index.robots", "high", "Live pages that are kept out of the index")
-def robots(t: Tables) -> DataFrame:
+@_row("index.robots", "high", "Live pages that are kept out of the index", "pages")
+def robots():
     no = F.lit(False)
     reason = _labels(
         meta_noindex=F.coalesce(F.col("meta_robots").ilike("%noindex%"), no),
         header_noindex=F.coalesce(F.col("x_robots_tag").ilike("%noindex%"), no),
         robots_txt_blocked=F.coalesce(F.col("blocked_by_robots_txt"), no),
     )
-    rows = _ok(t).select("audit_id", "url", reason.alias("reason"), F.col("meta_robots").alias("metaRobots"), F.col("x_robots_tag").alias("xRobotsTag"), F.col("blocked_by_robots_txt").alias("blockedByRobotsTxt"))
-    return rows.where(F.size("reason") > 0)
+    return _live() & (F.size(reason) > 0), {"reason": reason, "metaRobots": F.col("meta_robots"), "xRobotsTag": F.col("x_robots_tag"), "blockedByRobotsTxt": F.col("blocked_by_robots_txt")}
 
 
-@_check("index.url-heuristics", "low", "URLs with capitals, underscores, parameters, or of great length")
-def url_heuristics(t: Tables) -> DataFrame:
+@_row("index.url-heuristics", "low", "URLs with capitals, underscores, parameters, or of great length", "pages")
+def url_heuristics():
     path = F.regexp_replace("url", "^https?://[^/]+", "")
     issues = _labels(uppercase=path.rlike("[A-Z]"), underscore=F.contains(path, F.lit("_")), query_params=F.contains("url", F.lit("?")), too_long=F.char_length("url") > 115)
-    return _ok(t).select("audit_id", "url", issues.alias("issues")).where(F.size("issues") > 0)
+    return _live() & (F.size(issues) > 0), {"issues": issues}
 
 
 @_check("pagination.rel", "medium", "rel=next targets that are missing or do not point back")
@@ -180,53 +231,54 @@ def pagination(t: Tables) -> DataFrame:
     return rows.join(target, ["audit_id", "relNext"], "left").select("audit_id", "url", "relNext", issue.alias("issue")).where("issue is not null")
 
 
-@_check("i18n.hreflang", "medium", "Alternates that do not point back, or with an invalid language")
-def hreflang(t: Tables) -> DataFrame:
+@_row("i18n.hreflang", "medium", "Alternates that do not point back, or with an invalid language", "hreflang", "page_url")
+def hreflang():
     valid = (F.col("lang") == "x-default") | F.col("lang").rlike("(?i)^[a-z]{2,3}(-[a-z0-9]{2,8})*$")
-    issues = _labels(non_reciprocal=~F.coalesce(F.col("is_reciprocal"), F.lit(False)), invalid_lang=~valid)
-    return t.hreflang.select("audit_id", F.col("page_url").alias("url"), "lang", "href", F.concat_ws(",", issues).alias("issue")).where("issue <> ''")
+    issue = F.concat_ws(",", _labels(non_reciprocal=~F.coalesce(F.col("is_reciprocal"), F.lit(False)), invalid_lang=~valid))
+    return issue != "", {"lang": F.col("lang"), "href": F.col("href"), "issue": issue}
 
 
 # --- images --------------------------------------------------------------------
 
 
-@_check("image.alt-title", "low", "Images without alternative text")
-def alt_title(t: Tables) -> DataFrame:
-    rows = t.images.where(F.col("alt").isNull() | (F.col("alt") == "")).select("audit_id", F.col("page_url").alias("url"), "src", "alt").distinct()
-    return rows.select("audit_id", "url", "src", "alt", F.when(F.col("alt").isNull(), "missing").otherwise("empty").alias("altState"))
+@_row("image.alt-title", "low", "Images without alternative text", "images", "page_url", distinct=True)
+def alt_title():
+    alt = F.col("alt")
+    return alt.isNull() | (alt == ""), {"src": F.col("src"), "alt": alt, "altState": F.when(alt.isNull(), "missing").otherwise("empty")}
 
 
-@_check("image.broken", "medium", "Images that answer 4xx or 5xx")
-def image_broken(t: Tables) -> DataFrame:
-    return t.images.where("status_code >= 400").select("audit_id", F.col("page_url").alias("url"), "src", F.col("status_code").alias("statusCode")).distinct()
+@_row("image.broken", "medium", "Images that answer 4xx or 5xx", "images", "page_url", distinct=True)
+def image_broken():
+    return F.col("status_code") >= 400, {"src": F.col("src"), "statusCode": F.col("status_code")}
 
 
 # --- performance -----------------------------------------------------------------
 
 
-@_check("perf.lcp", "high", "Largest contentful paint above 2500 ms")
-def lcp(t: Tables) -> DataFrame:
-    return t.performance.where("lcp_ms > 2500").select("audit_id", F.col("page_url").alias("url"), "strategy", F.col("lcp_ms").alias("lcpMs"))
+@_row("perf.lcp", "high", "Largest contentful paint above 2500 ms", "performance", "page_url")
+def lcp():
+    return F.col("lcp_ms") > 2500, {"strategy": F.col("strategy"), "lcpMs": F.col("lcp_ms")}
 
 
-@_check("perf.cls-inp", "high", "Layout shift above 0.1 or interaction delay above 200 ms")
-def cls_inp(t: Tables) -> DataFrame:
+@_row("perf.cls-inp", "high", "Layout shift above 0.1 or interaction delay above 200 ms", "performance", "page_url")
+def cls_inp():
     # the label looks at the decimal value: a shift of exactly 0.1 is a finding without a label
     decimal = F.col("cls").cast("string").cast("double")
     issues = _labels(cls=F.coalesce(decimal > 0.1, F.lit(False)), inp=F.coalesce(F.col("inp_ms") > 200, F.lit(False)))
     found = (F.col("cls").cast("double") > 0.1) | (F.col("inp_ms") > 200)
-    return t.performance.where(found).select("audit_id", F.col("page_url").alias("url"), "strategy", "cls", F.col("inp_ms").alias("inpMs"), issues.alias("issues"))
+    return found, {"strategy": F.col("strategy"), "cls": F.col("cls"), "inpMs": F.col("inp_ms"), "issues": issues}
 
 
-def _flagged(t: Tables) -> DataFrame:
-    return t.performance.where(F.array_size("usability_flags") > 0).select("audit_id", F.col("page_url").alias("url"), "strategy", F.col("usability_flags").alias("flags"))
+def _flagged() -> tuple[Column, dict[str, Column]]:
+    return F.array_size("usability_flags") > 0, {"strategy": F.col("strategy"), "flags": F.col("usability_flags")}
 
 
-@_check("perf.psi-usability", "medium", "Pages with usability flags")
-def psi_usability(t: Tables) -> DataFrame:
-    return _flagged(t)
+@_row("perf.psi-usability", "medium", "Pages with usability flags", "performance", "page_url")
+def psi_usability():
+    return _flagged()
 
 
-@_check("perf.mobile-indexing", "high", "Pages with usability flags on mobile")
-def mobile_indexing(t: Tables) -> DataFrame:
-    return _flagged(t).where("strategy = 'mobile'")
+@_row("perf.mobile-indexing", "high", "Pages with usability flags on mobile", "performance", "page_url")
+def mobile_indexing():
+    found, detail = _flagged()
+    return found & (F.col("strategy") == "mobile"), detail

@@ -39,7 +39,7 @@ def enrich(tables: Tables) -> Tables:
     """All four updates; raises MissingStage without pages."""
     require_pages(tables.pages)
     links = resolve_links(tables.links, tables.pages)
-    return tables.with_(links=links, pages=count_inlinks(tables.pages, links), hreflang=reciprocity(tables.hreflang), images=image_status(tables.images, tables.pages))
+    return tables.with_(links=links, pages=count_inlinks(tables.pages, tables.links), hreflang=reciprocity(tables.hreflang), images=image_status(tables.images, tables.pages))
 
 
 def is_loop(chain="redirect_chain"):

@@ -143,3 +143,43 @@ def test_a_check_that_cannot_be_planned_is_reported(spark):
     broken = Check("own.broken", "low", "reads a column that is not there", lambda t: t.pages.select("nothing"))
     ran = engine.run_checks(tables, {"own.broken": broken, "meta.title.missing": REGISTRY["meta.title.missing"]})
     assert ran.failed == ("own.broken",) and ran.findings.count() == 1
+
+
+def _every_fault(spark):
+    pages = [
+        page("/1", title=[], meta_description=["d"], h1=["h", "h"], content_hash="c", meta_robots="noindex", redirect_chain=[("/1", 301), ("/x", 301), ("/1", 200)]),
+        page("/2", title=["t"], meta_description=["d"], h1=["h"], content_hash="c", canonical_url="/1", is_self_canonical=False, rel_next="/1"),
+        page("/2_?q", "4xx", title=["t"], content_hash="c"),
+        page("/3", title=["t"], meta_description=["x", "y"], h1=["h"], content_hash=None, blocked_by_robots_txt=True),
+    ]
+    links = [{"source_url": "/1", "href": f"/{h}", "type": k, "rel": r, "target_status_code": 404, "is_broken": b, "is_redirect": not b} for h, k, r, b in [("a", "internal", [], True), ("a", "internal", [], True), ("b", "external", ["ugc"], True), ("c", "external", None, False), ("d", "internal", [], False)]]
+    images = [{"page_url": "/1", "src": s, "alt": a, "status_code": c} for s, a, c in [("1", None, 404), ("1", None, 404), ("2", "", None)]]
+    hreflang = [{"page_url": "/1", "lang": "EN_us", "href": "/q", "is_reciprocal": None}]
+    perf = [{"page_url": "/1", "strategy": "mobile", "cls": 0.3, "inp_ms": 300, "lcp_ms": 3000, "usability_flags": ["a"]}]
+    return seed(spark, pages=pages, links=links, images=images, hreflang=hreflang, performance=perf)
+
+
+def test_one_pass_findings_equal_those_of_each_check_alone(spark):
+    tables = _every_fault(spark)
+    alone = [r for c in REGISTRY.values() for r in map(tuple, engine.of_check(c, tables).collect())]
+    together = list(map(tuple, engine.run_checks(tables).findings.collect()))
+    assert sorted(together, key=repr) == sorted(alone, key=repr) and len({r[1] for r in alone}) >= 24
+
+
+def test_row_checks_of_a_table_share_one_scan(spark):
+    tables = _every_fault(spark)
+    local = {k: c for k, c in REGISTRY.items() if c.local}
+    plan = engine.run_checks(tables, local).findings._jdf.queryExecution().optimizedPlan().toString()
+    assert len(local) == 24 and plan.count("LogicalRDD") + plan.count("LocalRelation") == 5  # pages, links, images, hreflang, performance
+
+
+def test_a_row_check_that_cannot_be_planned_leaves_the_others_of_its_table(spark):
+    from pyspark.sql import functions as F
+
+    from auditloom.operators.checks import Check, Local
+
+    tables = _every_fault(spark)
+    bad = Check("own.bad", "low", "", lambda t: t.pages.select("nothing"), local=Local("pages", lambda: (F.col("nothing") > 1, {})))
+    ran = engine.run_checks(tables, {"own.bad": bad, "meta.title.missing": REGISTRY["meta.title.missing"], "meta.h1.multiple": REGISTRY["meta.h1.multiple"]})
+    assert ran.failed == ("own.bad",) and sorted(r["rule_id"] for r in ran.findings.collect()) == ["meta.h1.multiple", "meta.title.missing"]
+    assert engine.run_checks(tables, {"own.bad": bad}).findings.collect() == []
