@@ -31,6 +31,7 @@ HREFLANG = _table(audit_id=_S, page_url=_S, lang=_S, href=_S, is_reciprocal=_B)
 PERFORMANCE = _table(
     audit_id=_S, page_url=_S, strategy=_S, lcp_ms=_I, cls=_F, inp_ms=_I, performance_score=_F, fcp_ms=_I, tbt_ms=_I, speed_index_ms=_I, usability_flags=_STRINGS, psi_raw=_S
 )
+REJECTED = _table(audit_id=_S, page_url=_S, strategy=_S, psi_raw=_S, cause=_S)
 FINDINGS = _table(audit_id=_S, rule_id=_S, severity=_S, url=_S, detail=_S)
 AUDITS = _table(id=_S, start_url=_S, status=_S, owner_id=_S, report_path=_S, created_at=T.TimestampNTZType())
 ATTEMPTS = _table(email=_S, success=_B, created_at=T.TimestampNTZType())

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from .versions import Files
 
 
 @dataclass(frozen=True)
@@ -36,9 +38,15 @@ def read(spark: SparkSession, folder: str, audit_id: str) -> Tables:
     return Tables(**{n: spark.read.schema(s).parquet(f"{folder}/{n}").where(F.col("audit_id") == audit_id) for n, s in _NAMES.items()})
 
 
-def write(df: DataFrame, path: str) -> None:
-    """Replace the rows of the audits in ``df``, and leave other audits alone."""
+def write(df: DataFrame, path: str, *audits: str) -> None:
+    """Replace the rows of the audits in ``df`` and of those named (to none, if ``df`` has none of theirs); other audits stay.  ``versions`` does the same for several tables at once."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("audit_id").parquet(path)
+    there = {unquote(n.partition("=")[2]): n for n in Files(df.sparkSession, path).names(path) if n.startswith("audit_id=")}
+    named = [a for a in audits if a in there]
+    if named:
+        kept = {r["audit_id"] for r in df.where(F.col("audit_id").isin(*named)).select("audit_id").distinct().collect()}  # of the audits named
+        for audit in set(named) - kept:
+            Files(df.sparkSession, path).remove(f"{path}/{there[audit]}")
 
 
 def require_pages(pages: DataFrame, stage: str = "crawl") -> None:
