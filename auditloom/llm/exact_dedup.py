@@ -3,10 +3,12 @@
 A snapshot's digests are dealt to buckets; each bucket has a static binary fuse
 filter, built once and never changed.  Digests of an incoming batch are grouped
 within the batch, screened by the filters of every earlier snapshot, and only those
-that pass join the exact buckets.  The digests that turn out to repeat get filters
-of their own; probed where a text is read, they keep texts that occur once out of
-the shuffle.  Members of every class of more than one row are then compared byte for
-byte with the row that stays.
+that pass join the exact buckets.  Each task of the second reading then takes the
+list of repeated digests among its own rows (``parts.PartLists``), so texts that occur
+once never enter a shuffle, at any size.  Members of every class of more than one row
+are compared byte for byte with the row that stays.
+
+The table has to deal its rows to the same tasks whenever it is read, as files do.
 
 Defined cases: null text is empty text; empty texts are equal to each other; texts of
 any length are digested and compared whole; a null id never stays unless all ids of
@@ -17,20 +19,23 @@ and are all marked kept (a tie); an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fuse
+from .parts import PartLists
 from .runtime import Stored, hot_join, hot_keys, materialize, partitions_for, salted_join
 
 #: Digests in one bucket, so in one filter and one task's group.
 BUCKET_ROWS = 200_000
-#: Filters of at most so many digests (about 1.2 bytes each) are held by every worker.
-MOST_FILTERED = 50_000_000
 
 
 def _bucket(n: int):
@@ -101,42 +106,17 @@ class Snapshot:
         return self.classes.join(self.screen(incoming), "digest", "left_semi")
 
 
-_loaded: dict[str, tuple[int, dict[int, bytes]]] = {}
-
-
-def _filters_at(path: str) -> dict[int, bytes]:
-    """Filters written to the shared folder, read once by each worker."""
-    if path not in _loaded:
-        from pyarrow import parquet
-
-        from .warc import file_system
-
-        store, base = file_system(path)
-        _loaded.clear()  # one set at a time
-        found = parquet.read_table(base, filesystem=store)
-        _loaded[path] = dict(zip(found.column("bucket").to_pylist(), found.column("filter").to_pylist(), strict=True))
-    return _loaded[path]
-
-
-def may_repeat(rows: DataFrame, several: DataFrame) -> DataFrame:
-    """The rows (column digest) whose digest may be among ``several``, found where they are read; all rows where the filters would be too large for every worker to hold."""
-    n = several.count()
-    if n > MOST_FILTERED:
-        return rows
-    buckets = max(1, -(-n // BUCKET_ROWS))
-    stored = Stored(filters_of(several, buckets), "filters")
-    path = stored.path
+def listed(rows: DataFrame, lists: PartLists) -> DataFrame:
+    """The rows (column digest) whose digest is in the list of the task that reads them."""
 
-    @F.pandas_udf("boolean")
-    def passes(bucket: pd.Series, digest: pd.Series) -> pd.Series:
-        out = np.zeros(len(digest), dtype=bool)
-        for b, own in _filters_at(path).items():
-            at = np.flatnonzero(bucket.to_numpy() == b)
-            if len(at):
-                out[at] = fuse.contains(own, _key64(digest.iloc[at]))
-        return pd.Series(out)
+    def among(digests: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = lists.of(TaskContext.get().partitionId()).column("digest").unique()
+        for batch in digests:
+            yield pd.Series(pc.is_in(pa.array(batch, pa.binary()), value_set=own).to_numpy(zero_copy_only=False))
 
-    return rows.where(passes(_bucket(buckets), F.col("digest")))
+    # else the optimiser would also apply it to what the rows are joined with, in other tasks
+    own_list = F.pandas_udf(among, "boolean").asNondeterministic()
+    return rows.where(own_list("digest"))
 
 
 def repeated(digests: DataFrame, snapshots: int) -> DataFrame:
@@ -158,55 +138,81 @@ def repeated(digests: DataFrame, snapshots: int) -> DataFrame:
     return across.unionByName(within.join(common, "digest", "left_anti"))
 
 
-def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", snapshots: int = 2) -> DataFrame:
-    """Keep the largest id of each set of equal texts.
-
-    The table comes in as ``snapshots`` immutable batches: each is grouped by itself
-    and screened against the filters of those before it.
-    Returns doc_id, keep_id, group_size, kept, text_sha256 - one row per input row.
-    """
+def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, digest, part (the task that reads the row)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.spark_partition_id().alias("part"))
+    return rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, snapshots: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, part, digest, keep_id, group_size of the rows whose text repeats; doc_id, part, digest of the others."""
+    read = _read(docs, id_col, text_col)
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(snapshots)).cast("int")
-    digests = materialize(read.select("doc_id", "digest", batch.alias("batch")), "digests")
+    digests = materialize(read.select("doc_id", "digest", "part", batch.alias("batch")), "digests")
     several = materialize(repeated(digests, snapshots), "several")
-
     hot = hot_keys(several, "digest", "n_rows")
-    several = several.drop("n_rows")
+    own = hot_join(digests.select("digest", "part"), several.select("digest"), "digest", hot, "left_semi")
+    lists = PartLists(own.distinct(), "repeated")
 
-    # one plan at every size: what may repeat is dealt out by digest
-    members = Stored(salted_join(may_repeat(read, several), several, "digest", hot, "doc_id").select("doc_id", "digest", "last_id", "text"), "members")
+    kept = several.select("digest", "last_id")
+    members = Stored(salted_join(listed(read, lists), kept, "digest", hot, "doc_id").select("doc_id", "part", "digest", "last_id", "text"), "members")
+    if members.df.count() != (several.agg(F.sum("n_rows")).first()[0] or 0):
+        raise RuntimeError("the documents were dealt to other partitions when they were read again")
     stays = members.df.where(F.col("doc_id").eqNullSafe(F.col("last_id"))).groupBy("digest").agg(F.min("text").alias("stay_text"))
     stays = Stored(stays, "stays")
     same = F.col("text") == F.col("stay_text")
-    checked = salted_join(members.df, stays.df, "digest", hot, "doc_id").select("doc_id", "digest", F.when(~same, F.col("text")).alias("variant"))
+    checked = salted_join(members.df, stays.df, "digest", hot, "doc_id").select("doc_id", "part", "digest", F.when(~same, F.col("text")).alias("variant"))
     checked = materialize(checked, "checked")
     members.drop()
     stays.drop()
     counted = [F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
-    equal = checked.where("variant is null").select("doc_id", "digest")
+    equal = checked.where("variant is null").select("doc_id", "part", "digest")
     equal = hot_join(equal, materialize(equal.groupBy("digest").agg(*counted), "groups"), "digest", hot)
     other = checked.where("variant is not null")  # texts of one digest that differ
     other = other.join(other.groupBy("digest", "variant").agg(*counted), ["digest", "variant"])
-    grouped = equal.unionByName(other.drop("variant")).select("doc_id", "keep_id", "group_size", "digest")
-    single = digests.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(several, "digest", "left_anti")
-    single = single.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
-    return grouped.unionByName(single).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that exact_dedup drops; of rows that tie on id and text one stays."""
-    found = materialize(exact_dedup(docs), "dedup")
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__digest": digest})
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone_id"), F.col("text_sha256").alias("__gone_digest")).distinct()
-    left = marked.join(gone, F.col("__id").eqNullSafe(F.col("__gone_id")) & (F.col("__digest") == F.col("__gone_digest")), "left_anti")
-    tied = found.where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if not tied.isEmpty():
-        tied = tied.select(F.col("doc_id").alias("__tied_id"), F.col("text_sha256").alias("__tied_digest"))
-        on = F.col("__id").eqNullSafe(F.col("__tied_id")) & (F.col("__digest") == F.col("__tied_digest"))
-        left = left.join(tied, on, "left_anti").unionByName(left.join(tied, on, "left_semi").dropDuplicates(["__id", "__digest"]))
-    return left.drop("__id", "__digest")
+    found = equal.unionByName(other.drop("variant")).select("doc_id", "part", "digest", "keep_id", "group_size")
+    single = digests.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(kept, "digest", "left_anti")
+    return found, single.select("doc_id", "part", "digest")
+
+
+def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", snapshots: int = 2) -> DataFrame:
+    """Keep the largest id of each set of equal texts.
+
+    The table comes in as ``snapshots`` immutable batches: each is grouped by itself
+    and screened against the filters of those before it.
+    Returns doc_id, keep_id, group_size, kept, text_sha256 - one row per input row.
+    """
+    found, single = grouped(docs, id_col, text_col, snapshots)
+    single = single.withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long")})
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
+    return found.unionByName(single).select("doc_id", "keep_id", "group_size", kept, F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def keep_one(docs: DataFrame, *, snapshots: int = 2) -> DataFrame:
+    """``docs`` without the rows that exact_dedup drops; of rows that tie on id and text one stays.  Texts stay where they are read: each task takes the list of its rows of repeated texts, and of each how many to keep."""
+    found, _ = grouped(docs, "doc_id", "text", snapshots)
+    by_row = found.groupBy("part", "doc_id", "digest").agg(F.max(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("stays"))
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("doc_id", "digest").agg(F.min("part").alias("first"))
+    first = first.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "first")
+    marked = by_row.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left")
+    lists = PartLists(marked.select("part", "doc_id", "digest", F.coalesce((F.col("stays") & (F.col("part") == F.col("first"))).cast("int"), F.lit(0)).alias("keep")), "keep")
+
+    def stays(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        own = lists.of(TaskContext.get().partitionId())
+        left = {(None if i is None else i, d): k for i, d, k in zip(own.column("doc_id").to_pylist(), own.column("digest").to_pylist(), own.column("keep").to_pylist(), strict=True)}
+        for ids, known, digests in batches:
+            out = np.ones(len(ids), dtype=bool)
+            for n, (i, there, d) in enumerate(zip(ids.tolist(), known.tolist(), digests, strict=True)):
+                key = (int(i) if there else None, bytes(d))
+                if key in left:
+                    out[n] = left[key] > 0
+                    left[key] -= 1
+            yield pd.Series(out)
+
+    wanted = F.pandas_udf(stays, "boolean").asNondeterministic()
+    doc_id = F.col("doc_id").cast("long")
+    return docs.where(wanted(F.coalesce(doc_id, F.lit(0)), doc_id.isNotNull(), F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))))
 
 
 ORACLE_SQL = """

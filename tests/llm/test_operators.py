@@ -554,15 +554,13 @@ def test_saved_snapshots_screen_a_new_batch(spark, tmp_path):
     assert found == {"one": [(3, 2)], "two": [(4, 1), (5, 1)], "none": []}
 
 
-def test_exact_dedup_of_a_hot_text(spark, monkeypatch):
+def test_exact_dedup_of_a_hot_text(spark):
     rows = [(i, "the same text") for i in range(1500)] + [(2000 + i, f"text {i % 400}") for i in range(600)] + [(3000 + i, words(9, i)) for i in range(300)]
     want = {}
     for i, t in rows:
         want.setdefault(t, []).append(i)
     found = exact_dedup.exact_dedup(docs(spark, rows))
     assert rows_of(found, "doc_id", "keep_id", "group_size") == sorted(((i, max(want[t]), len(want[t])) for i, t in rows), key=repr)
-    monkeypatch.setattr(exact_dedup, "MOST_FILTERED", 0)  # without filters where texts are read
-    assert rows_of(exact_dedup.exact_dedup(docs(spark, rows)), "doc_id", "keep_id", "group_size") == rows_of(found, "doc_id", "keep_id", "group_size")
 
 
 def test_near_duplicates_with_many_null_ids(spark):
@@ -573,3 +571,20 @@ def test_near_duplicates_with_many_null_ids(spark):
     sketched = minhash.sketched(table, 5).where("node is not null")
     nodes = minhash.representatives(sketched)
     assert minhash.full_sets(table, nodes).count() == 2300  # one text per node, not every text of an id
+
+
+def test_exact_dedup_keeps_one_of_rows_that_tie_across_tasks(spark):
+    rows = [(1, "a"), (2, "b"), (None, "c"), (1, "a"), (None, "c"), (3, "a"), (2, "b"), (4, None), (3, "a"), (5, ""), (5, ""), (6, "once")] * 3
+    spread = docs(spark, rows).repartition(7)
+    left = exact_dedup.keep_one(runtime.materialize(spread, "spread")).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in left), key=repr) == sorted([(3, "a"), (2, "b"), (None, "c"), (5, ""), (6, "once")], key=repr)
+
+
+def test_exact_dedup_lists_are_those_of_each_task(spark):
+    table = runtime.materialize(docs(spark, [(i, f"text {i % 5}" if i % 2 else f"own {i}") for i in range(200)]).repartition(6), "docs")
+    read = exact_dedup._read(table, "doc_id", "text")
+    pairs = read.where("text like 'text%'").select("digest", "part").distinct()
+    kept = exact_dedup.listed(read, exact_dedup.PartLists(pairs, "lists"))
+    assert {r["doc_id"] for r in kept.collect()} == {i for i in range(200) if i % 2}
+    plan = kept.join(read.select("digest").distinct(), "digest")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("among") == 1  # not applied to what the rows are joined with

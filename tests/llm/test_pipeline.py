@@ -16,7 +16,7 @@ _spec.loader.exec_module(_ops)
 
 def test_names():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries())
-    assert numbers == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
+    assert numbers == list(range(1, 14)) and set(oracle_sql()) <= set(queries())
     assert len(corpus_pipeline.STAGES) == 5
 
 
