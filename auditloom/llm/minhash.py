@@ -12,7 +12,8 @@ both sizes), so these members meet all members of their buckets by rare shingles
 and what they meet is confirmed as well.  No link between members of a bucket is
 lost, and no group is compared pair by pair.
 
-Texts with the same set are one node.  The threshold is a parameter; the number of
+Shingles are compared by 64-bit hashes under a key that is drawn for each run, so no
+text can be made to collide.  Texts with the same set are one node.  The threshold is a parameter; the number of
 bands of 4 rows follows from it (25 at 85 percent, 35 at 80), so that two texts just
 at the threshold share no bucket with a probability of about 1e-8; such a pair, if
 nothing else links its texts, is the only link that can be lost.
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import LOWER, NOT_SPACE, Stored, Words, hot_join, hot_keys, list_column, materialize, mix, salted_join, slices, text_buffer
+from .runtime import LOWER, NOT_SPACE, Stored, Words, hot_join, hot_keys, list_column, materialize, mix, new_key, salted_join, slices, text_buffer
 
 SHINGLE_WORDS = 5
 #: Linked if 100 * intersection >= percent * union; this is op2's percent.
@@ -62,12 +63,12 @@ def _order(bins: int) -> np.ndarray:
     return np.random.default_rng(20240229).permuted(np.tile(np.arange(bins), (bins, 1)), axis=1)
 
 
-def shingle_sets(column: pa.Array, k: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct shingles of each text, ascending within a text, and their number."""
+def shingle_sets(column: pa.Array, k: int = SHINGLE_WORDS, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (by a key) of the distinct shingles of each text, ascending within a text, and their number."""
     raw, offsets = text_buffer(column)
     words = Words(LOWER[raw], offsets, NOT_SPACE)
     n = len(words.counts)
-    hashed = words.hashes()
+    hashed = words.hashes(key=key)
     grams, counts = words.grams(hashed, k)
     doc = np.repeat(np.arange(n), counts)
     short = np.flatnonzero((words.counts > 0) & (words.counts < k))
@@ -129,13 +130,13 @@ def set_names(sets: np.ndarray, counts: np.ndarray) -> list[bytes | None]:
     return [row.tobytes() if n else None for row, n in zip(packed, counts, strict=True)]
 
 
-def sketched(docs: DataFrame, bands: int) -> DataFrame:
+def sketched(docs: DataFrame, bands: int, key: int = 0) -> DataFrame:
     """doc_id, text_key (tells rows of one id apart), n_shingles, node (name of the set), keys (bucket keys; empty without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole, "text"):
-                sets, counts = shingle_sets(part.column(2))
+                sets, counts = shingle_sets(part.column(2), key=key)
                 keys = band_keys(sketches(sets, counts, bands))
                 per_text = np.where(counts > 0, bands, 0)
                 keys = list_column(np.ascontiguousarray(keys[counts > 0]).ravel(), per_text)
@@ -154,7 +155,7 @@ def representatives(rows: DataFrame) -> DataFrame:
     return found.select("node", F.col("r.doc_id").alias("rep"), F.col("r.text_key").alias("rep_key"), "n", "keys", "n_rows")
 
 
-def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, nodes: DataFrame, key: int = 0) -> DataFrame:
     """node, shingles of the nodes given (columns node, rep, rep_key), from the texts of their representatives."""
     wanted = nodes.select("rep", "rep_key", F.col("node").alias("wanted")).hint("merge")
     text = F.coalesce("text", F.lit(""))
@@ -164,7 +165,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole, "text"):
-                sets, counts = shingle_sets(part.column(1))
+                sets, counts = shingle_sets(part.column(1), key=key)
                 right = np.array([a == b for a, b in zip(part.column(0).to_pylist(), set_names(sets, counts), strict=True)], dtype=bool)
                 kept = sets[np.repeat(right, counts)]
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(right)), list_column(kept, counts[right])], ["node", "shingles"])
@@ -217,10 +218,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def grouped(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, text_key, n_shingles, root (null without shingles), component_id - one row per input row."""
-    rows = materialize(sketched(docs, bands_for(percent)), "sketches")
+    key = new_key()  # shingles are told apart by a hash that no text can be made for
+    rows = materialize(sketched(docs, bands_for(percent), key), "sketches")
     nodes = materialize(representatives(rows.where("node is not null")), "nodes")
     members = materialize(bucket_members(nodes), "members")
-    sets = materialize(full_sets(docs, nodes.select("node", "rep", "rep_key").join(members.select("node").distinct(), "node", "left_semi")), "sets")
+    sets = materialize(full_sets(docs, nodes.select("node", "rep", "rep_key").join(members.select("node").distinct(), "node", "left_semi"), key), "sets")
     star = members.where("node <> centre").select("centre", "node", "n", "centre_n").distinct().where(_near_in_size("n", "centre_n", percent))
     links = materialize(confirm(star.select(F.col("centre").alias("a"), F.col("node").alias("b")), sets, percent), "links")
     labels = components(links)

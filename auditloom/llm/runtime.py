@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import hashlib
 import re
+import secrets
 import tempfile
 import uuid
 
@@ -137,6 +138,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def new_key() -> int:
+    """A random key of 64 bits, not 0."""
+    return secrets.randbits(64) or 1
+
+
 class Words:
     """Words of a batch of texts: ``doc[i]:doc[i+1]`` are the words of text i; ``starts``/``ends`` are byte positions in ``buf``."""
 
@@ -157,10 +163,15 @@ class Words:
         self.doc = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.doc)
 
-    def hashes(self, which: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word, eight bytes at a time through a mixing step; ``which`` picks one of two independent families."""
+    def hashes(self, which: int = 0, key: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word, eight bytes at a time through a mixing step; ``which`` picks one of two independent families.
+
+        Words that collide can be made for a key that is known, so what must not be
+        mistaken takes a key drawn at random (``new_key``), by one worker or for one job.
+        """
         length = self.ends - self.starts
-        out = length.astype(np.uint64) * np.uint64(_STEP[which]) ^ np.uint64(_SEEDS[which])
+        seed = mix(np.array([_SEEDS[which] ^ key], dtype=np.uint64)) if key else np.array([_SEEDS[which]], dtype=np.uint64)
+        out = length.astype(np.uint64) * np.uint64(_STEP[which]) ^ seed
         padded = np.concatenate([self.buf, np.zeros(8, dtype=np.uint8)])
         eight = np.ndarray((len(self.buf) + 1,), dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from every place on
         at = np.flatnonzero(length <= _LONG_WORD)
@@ -173,7 +184,7 @@ class Words:
             done += 8
             at = at[left > 8]
         for i in np.flatnonzero(length > _LONG_WORD):
-            own = hashlib.blake2b(self.buf[self.starts[i] : self.ends[i]].tobytes(), digest_size=8, salt=str(which).encode())
+            own = hashlib.blake2b(self.buf[self.starts[i] : self.ends[i]].tobytes(), digest_size=8, salt=str(which).encode(), key=key.to_bytes(8, "little") if key else b"")
             out[i] = np.frombuffer(own.digest(), dtype="<u8")[0]
         return out
 

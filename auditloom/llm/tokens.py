@@ -15,7 +15,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from .runtime import Words, text_buffer
+from .runtime import Words, new_key, text_buffer
 
 #: Pattern of the byte-level pre-tokenizer (fixed value of the public vocabulary).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -49,6 +49,7 @@ class Encoder:
             spec = json.load(f)
         self.special = [] if special_as_text else [t["content"] for t in spec.get("added_tokens", [])]
         self.fast = self._ranks(spec)
+        self.key = new_key()  # units are told apart by a hash that no text can be made for
         self._clear()
 
     def _ranks(self, spec: dict):
@@ -89,7 +90,7 @@ class Encoder:
         buf, offsets = text_buffer(column)
         words = Words(buf, offsets, _NO_SPACE20)
         odd = self._odd(buf, offsets, words)
-        keys = words.hashes()
+        keys = words.hashes(key=self.key)
         firsts = words.doc[:-1][words.counts > 0]
         keys[firsts] ^= _FIRST
         own = np.repeat(~odd, words.counts)

@@ -588,3 +588,20 @@ def test_exact_dedup_lists_are_those_of_each_task(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i in range(200) if i % 2}
     plan = kept.join(read.select("digest").distinct(), "digest")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("among") == 1  # not applied to what the rows are joined with
+
+
+#: Two words that collide under the hash without a key.
+TWINS = ("!+?6*9(j!@!\"-@!!", "<2}'-dng'c)#@`m2")
+
+
+def test_words_that_collide_without_a_key_are_told_apart(spark):
+    raw, offsets = runtime.text_buffer(pa.array(list(TWINS)))
+    plain, keyed = (runtime.Words(raw, offsets, runtime.NOT_SPACE).hashes(key=k) for k in (0, runtime.new_key()))
+    assert plain[0] == plain[1] and keyed[0] != keyed[1]
+    texts = [f"one two {a} three {b} four" for a in TWINS for b in TWINS] + [" ".join(TWINS), "x" * 600 + " " + "y" * 600]
+    encode, plain_ids = tokens.Encoder(tokens.default_path()), tokens.Encoder(tokens.default_path()).slow
+    ids, counts = encode.batch(pa.array(texts))
+    assert np.split(ids, np.cumsum(counts)[:-1]) and ids.tolist() == [i for t in texts for i in plain_ids.encode(t, add_special_tokens=False).ids]
+    rows = [(i, f"{words(8, i)} {w} {words(8, 50 + i)}") for i in range(3) for w in TWINS]  # a third of the shingles differ
+    found = minhash.near_duplicates(docs(spark, [(2 * i + TWINS.index(t.split()[8]), t) for i, t in rows])).collect()
+    assert all(r["kept"] for r in found) and len(found) == 6
