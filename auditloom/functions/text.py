@@ -33,7 +33,8 @@ def content_length(declared: Column, html: Column) -> Column:
 
 
 def redirect_chain(requested: Column, final: Column, status: Column) -> Column:
-    """No hops, or the request with 301 and the final URL with its status."""
+    """No hops, or the request with 301 and the final URL (unless it is blank) with its status."""
+    final = F.nullif(F.trim(final), F.lit(""))
     hop = lambda url, code: F.struct(url.alias("url"), code.cast("int").alias("statusCode"))
     none = F.array().cast("array<struct<url:string,statusCode:int>>")
     return F.when(final.isNotNull() & (final != requested), F.array(hop(requested, F.lit(301)), hop(final, status))).otherwise(none)

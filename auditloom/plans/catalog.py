@@ -16,7 +16,7 @@ from ..operators.checks import REGISTRY
 from ..ship import ship
 from ..sources import demo, html, psi
 from ..sources.tables import Tables
-from . import engine, literal, oracle, read_api, report, texts
+from . import derived, engine, oracle, read_api, report, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -142,7 +142,7 @@ def _(s, d):
     return found.select(F.col("url").alias("raw_url"), F.get("title", 0).alias("title"), F.get("h1", 0).alias("h1"))
 
 
-for _name, (_run, _sql) in literal.QUERIES.items():
+for _name, (_run, _sql) in derived.QUERIES.items():
     _query(_name, _sql)(_run)
 
 

@@ -29,6 +29,22 @@ def total_pages(total: int, size: int) -> int:
     return max(1, -(-total // size))
 
 
+def bounded(limit: Column, offset: Column) -> tuple[Column, Column]:
+    """``bounds`` of many requests at once: columns lim and off of limits and offsets given as text."""
+
+    def number(x: Column, default: int) -> Column:
+        value = x.try_cast("double")
+        return F.when(F.isnan(value) | (F.abs(value) == float("inf")), default).otherwise(F.coalesce(value.cast("long"), F.lit(default)))
+
+    lim = F.least(F.lit(MOST_LIMIT), F.greatest(F.lit(1), number(limit, DEFAULT_LIMIT)))
+    return lim.cast("int").alias("lim"), F.greatest(F.lit(0), number(offset, 0)).cast("int").alias("off")
+
+
+def pages_in(total: Column, size: Column) -> Column:
+    """``total_pages`` of many totals at once."""
+    return F.greatest(F.lit(1), F.ceil(total / size)).cast("long")
+
+
 def owned(user_id: str | None, admin: bool = False, owner: str = "owner_id") -> Column:
     """Rows a user may see; rows without owner are for admins."""
     return F.lit(True) if admin else F.coalesce(F.col(owner) == user_id, F.lit(False))
