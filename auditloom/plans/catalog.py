@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from .. import schemas
 from ..functions import text as tx
 from ..functions import urls
-from ..operators import attempts, enrich, perf
+from ..operators import attempts, enrich, frontier, perf
 from ..operators.checks import REGISTRY
 from ..ship import ship
 from ..sources import demo, html, psi
@@ -306,6 +306,32 @@ def _(s, d):
     return _crawled(s, d).select("page_id", tx.base_url(F.col("url"), final).alias("base"))
 
 
+_VISITS = oracle.VIEWS + """, e as (
+  select source_url, href, min(k) as at from (select u as source_url, (select s.u from src s where s.i = (7 * src.i + 3 * k) % n) as href, k from src, cnt, (select unnest(range(5)) as k) where i % 4 <> 0) group by all
+), seeds as (
+  select u as url, min(i) as rank from src where i = 1 group by u
+), levels as (
+  with recursive walk(url, depth, path) as (
+    select url, 0, [rank] from seeds
+    union
+    select e.href, w.depth + 1, null from (select distinct url, depth from walk) w join e on e.source_url = w.url where w.depth < 60
+  ) select url, min(depth) as depth from walk group by url
+)
+"""
+
+
+@_query("crawl_depths", _VISITS + "select url, depth::int as depth from levels")
+def _(s, d):
+    """How deep a crawl from the second page (the first one has no internal links) meets each page of the derived link graph, without a budget."""
+    return frontier.visits(*_site(s, d), most=1 << 62).select("url", "depth")
+
+
+def _site(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    pages = demo.raw(s, d)
+    links = _tables(s, d).links.where("href not like '%uncrawled%'").withColumn("at", F.lit(0))
+    return frontier.site_links(links), pages.where("i = 1").select(F.col("u").alias("url"), F.col("i").alias("rank"), F.lit("link").alias("crawl_source"))
+
+
 # --- sampling and performance ------------------------------------------------------------
 
 
