@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,9 @@ from ..functions import urls
 from ..operators import attempts, enrich, frontier, perf
 from ..operators.checks import REGISTRY
 from ..ship import ship
-from ..sources import demo, html, psi
+from ..sources import demo, html, psi, shared
 from ..sources.tables import Tables
-from . import derived, engine, oracle, read_api, report, texts
+from . import derived, engine, oracle, paged, read_api, report, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -449,6 +450,18 @@ def _(s, d):
     return page.select("rule_id", "severity", "url")
 
 
+@_query("findings_deep_page", _F + "select rule_id, severity, url from ranked where severity = 'medium' order by rank, rule_id, url nulls last limit 100 offset (select count(*) // 2 from ranked where severity = 'medium')")
+def _(s, d):
+    """A page from the middle of all medium findings, read from the files that hold it."""
+    found = _findings(s, d)
+    folder = f"{shared.folder(s)}/auditloom-paged-{uuid.uuid4().hex}"
+    paged.store(found, folder, file_rows=1000)
+    pages = paged.Pages(s, folder)
+    _first, total = pages.page(severity="medium")
+    page, _total = pages.page(severity="medium", limit=100, offset=total // 2)
+    return page.select("rule_id", "severity", "url")
+
+
 @_query("findings_of_rule_total", _F + "select count(*) as total from f where rule_id = 'dupe.content'")
 def _(s, d):
     return read_api.matching(_findings(s, d), rule_id="dupe.content").agg(F.count(F.lit(1)).alias("total"))
