@@ -15,8 +15,8 @@ from ..functions import urls
 from ..operators import attempts, enrich, frontier, perf
 from ..operators.checks import REGISTRY
 from ..ship import ship
-from ..sources import demo, html, psi, shared
-from ..sources.tables import Tables
+from ..sources import demo, html, psi, shared, versions
+from ..sources.tables import Tables, exists
 from . import derived, engine, oracle, paged, read_api, report, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -382,6 +382,47 @@ select event_id, null::int as lcp_ms, null::double as cls, v::int as inp_ms, (v
   case when v % 10 < 9 then 'speed-index' else '' end as usability_flags from v"""
 
 
+def _bodies(s: SparkSession, d: str) -> DataFrame:
+    """PageSpeed replies made from events: field data for even ids, lab data for all, some cut short, some errors, some empty."""
+    i, v = F.col("event_id"), F.floor("value").cast("long")
+    number = lambda x: F.struct(x.cast("double").alias("numericValue"), F.lit(1.0).alias("score"))
+    field = F.create_map(F.lit("LARGEST_CONTENTFUL_PAINT_MS"), F.struct((v * 10).alias("percentile")), F.lit("CUMULATIVE_LAYOUT_SHIFT_SCORE"), F.struct((v % 50).alias("percentile")), F.lit("INTERACTION_TO_NEXT_PAINT"), F.struct((v + 1).alias("percentile")))
+    audits = F.create_map(*[x for name, metric in (
+        ("largest-contentful-paint", number(v * 7 + 0.4)), ("cumulative-layout-shift", number(v % 8 / 16)), ("first-contentful-paint", number(v * 3 + 0.6)), ("total-blocking-time", number(v * 2)), ("speed-index", number(v * 5 + 0.25)),
+        ("tap-targets", F.struct(F.lit(None).cast("double").alias("numericValue"), (v % 3 / 2).alias("score"))), ("font-size", F.struct(F.lit(None).cast("double").alias("numericValue"), (v % 2).cast("double").alias("score"))),
+    ) for x in (F.lit(name), metric)])
+    refs = lambda *names: F.array(*[F.struct(F.lit(n).alias("id")) for n in names])
+    categories = F.create_map(F.lit("performance"), F.struct((v % 100 / 100).alias("score"), refs("tap-targets", "speed-index").alias("auditRefs")), F.lit("seo"), F.struct(F.lit(1.0).alias("score"), refs("font-size", "absent").alias("auditRefs")))
+    lab = F.struct(categories.alias("categories"), audits.alias("audits")).alias("lighthouseResult")
+    whole = F.when(i % 2 == 0, F.to_json(F.struct(F.struct(field.alias("metrics")).alias("loadingExperience"), lab))).otherwise(F.to_json(F.struct(lab)))
+    cut = F.substring(whole, 1, 40)
+    body = F.when(i % 11 == 1, cut).when(i % 11 == 2, F.lit('{"error":{"code":429,"message":"quota"}}')).when(i % 11 == 3, " ").when(i % 11 == 4, "{}").otherwise(whole)
+    return s.read.parquet(f"{d}/events.parquet").select("event_id", body.alias("psi_raw"))
+
+
+@_query("perf_psi_metrics", """with v as (select event_id as i, floor(value)::bigint as v from events where event_id % 11 not in (1, 2, 3, 4))
+select i as event_id, (case when i % 2 = 0 then v * 10 else v * 7 end)::int as lcp_ms, (case when i % 2 = 0 then round((v % 50) / 100, 3) else round((v % 8) / 16 + 1e-9, 3) end)::float::double as cls, (case when i % 2 = 0 then v + 1 end)::int as inp_ms, (v % 100)::double as performance_score,
+  (v * 3 + 1)::int as fcp_ms, (v * 2)::int as tbt_ms, (v * 5)::int as speed_index_ms, array_to_string(list_filter([case when v % 2 = 0 then 'font-size' end, case when (v % 3) < 2 then 'tap-targets' end], lambda x: x is not null), '|') as usability_flags from v""")
+def _(s, d):
+    """All eight metrics and the flags, from field data where there is some and lab data elsewhere."""
+    kept, _rejected = psi.read(_bodies(s, d))
+    return flat(kept.drop("psi_raw"))
+
+
+@_query("perf_psi_rejected", """select c as cause, count(event_id) as n from (select unnest(['no body', 'malformed', 'error reply', 'no results']) as c, unnest([3, 1, 2, 4]) as k) left join events on event_id % 11 = k group by c""")
+def _(s, d):
+    return psi.rejected_by_cause(psi.read(_bodies(s, d))[1])
+
+
+@_query("perf_psi_outcome", "select count(*) as requested, count(*) filter (event_id % 2 = 0) as cached, count(*) filter (event_id % 11 not in (1, 2, 3, 4)) as ok, count(*) filter (event_id % 11 in (1, 2, 3, 4)) as failed from events")
+def _(s, d):
+    """A run in which replies that are no results count as failed."""
+    kept, rejected = psi.read(_bodies(s, d).select(F.col("event_id").cast("string").alias("url"), F.lit("mobile").alias("strategy"), "psi_raw"))
+    runs = kept.select("url", "strategy", F.lit(None).cast("string").alias("error")).unionByName(rejected.select("url", "strategy", F.col("cause").alias("error")))
+    wanted = s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").cast("string").alias("url"), F.lit("mobile").alias("strategy"))
+    return perf.outcome(runs, wanted, wanted.where("cast(url as long) % 2 = 0").select(F.col("url").alias("page_url"), "strategy"))
+
+
 @_query("perf_upsert", oracle.VIEWS + "select page_url, strategy, case when strategy = 'mobile' then -1 else lcp_ms end as lcp_ms from perf")
 def _(s, d):
     old = _tables(s, d).performance.select("audit_id", "page_url", "strategy", "lcp_ms")
@@ -476,6 +517,16 @@ def _(s, d):
     return texts.described(_findings(s, d), texts.english(s)).groupBy("rule_id", "title", "family", "description").agg(F.count(F.lit(1)).alias("n"))
 
 
+@_query("findings_translated", _F + f"""select rule_id, case rule_id when 'dupe.content' then 'Doppelter Inhalt' else upper(left(t, 1)) || substr(t, 2) end as title, case rule_id when 'perf.lcp' then 'Tempo' else family end as family,
+  case rule_id when 'dupe.content' then 'Seiten mit gleichem Inhalt' else description end as description, count(*) as n
+  from (select *, lower(regexp_replace(replace(rule_id, '.', ' '), '[_-]+', ' ', 'g')) as t from f) join (values {_TEXTS}) x(rule_id, family, description) using (rule_id) group by all""")
+def _(s, d):
+    """Texts of another language over the registry's own, wherever it has them."""
+    overlay = s.createDataFrame([("dupe.content", "Doppelter Inhalt", None, "Seiten mit gleichem Inhalt"), ("perf.lcp", None, "Tempo", None), ("own.unknown", "x", "y", "z")], texts.TEXTS)
+    found = texts.described(_findings(s, d), texts.translated(texts.english(s), overlay))
+    return found.groupBy("rule_id", "title", "family", "description").agg(F.count(F.lit(1)).alias("n"))
+
+
 @_query("findings_first_details", _F.split(", f as (")[0] + """ select url, 'Target status code: ' || coalesce(target_status_code::varchar, 'null') as line from (select distinct source_url as url, href, target_status_code from links where type = 'internal' and is_broken)""")
 def _(s, d):
     found = engine.of_check(REGISTRY["links.broken-internal"], _tables(s, d))
@@ -541,6 +592,21 @@ for _s in report.SHEETS:
     _query("report_" + _s.name.lower().replace(" ", "_"), _SHEET_SQL.get(_s.name))(_sheet(_s.name))
 
 
+@_query("audits_side_by_side", """with l as (select page_id, len(regexp_extract_all(html, '<a href="[^"]*">')) as n, regexp_replace(url, '#.*$', '') as u from pages)
+select * from (values ('one', (select count(distinct u) from l), (select sum(n + 1)::bigint from l), true), ('two', (select count(distinct u) from l), 0, false)) v(audit_id, pages, links, has_links) order by 1""")
+def _(s, d):
+    """Two audits of all pages in one store; the second is crawled again and has lost all its links."""
+    store = versions.Versions(s, f"{shared.folder(s)}/auditloom-versions-{uuid.uuid4().hex}")
+    for audit in ("one", "two"):
+        found = html.extract(derived.dressed(s, d).withColumn("audit_id", F.lit(audit)))
+        store.write(audit, {"pages": html.to_pages(found), "links": html.to_links(found)})
+    store.write("two", {"links": store.read("links", schemas.LINKS, "two").where("false")})
+    count = lambda name, schema: store.read(name, schema).groupBy("audit_id").agg(F.count(F.lit(1)).alias(name))
+    both = count("pages", schemas.PAGES).join(count("links", schemas.LINKS), "audit_id", "left")
+    there = {a: exists(store.read("links", schemas.LINKS, a)) for a in store.audits()}
+    return both.select("audit_id", "pages", F.coalesce("links", F.lit(0)).alias("links"), (F.col("audit_id").isin(*[a for a, x in there.items() if x])).alias("has_links"))
+
+
 @_query("audits_page")
 def _(s, d):
     """The newest orders as a stand-in for the run registry: an owner's rows, one page."""
