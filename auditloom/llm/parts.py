@@ -27,7 +27,7 @@ class PartLists:
         self.path = scratch(rows.sparkSession, label)
         dealt = rows.withColumn("splits", F.floor(F.col("part") / SPLITS).cast("int"))
         dealt.repartition("part").sortWithinPartitions("part").write.partitionBy("splits").parquet(self.path)
-        self.schema = pa.schema([(c, {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[t]) for c, t in rows.dtypes])
+        self.schema = pa.schema([(c, {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}[t]) for c, t in rows.dtypes])
 
     def of(self, part: int) -> pa.Table:
         """The list of one task, in a worker."""

@@ -605,3 +605,23 @@ def test_words_that_collide_without_a_key_are_told_apart(spark):
     rows = [(i, f"{words(8, i)} {w} {words(8, 50 + i)}") for i in range(3) for w in TWINS]  # a third of the shingles differ
     found = minhash.near_duplicates(docs(spark, [(2 * i + TWINS.index(t.split()[8]), t) for i, t in rows])).collect()
     assert all(r["kept"] for r in found) and len(found) == 6
+
+
+def test_mixing_cuts_within_equal_rows(spark):
+    text = words(7, 1)
+    rows = [(None, text, "copies") for _ in range(900)] + [(i, words(1 + i % 30, i), "other") for i in range(800)] + [(i, words(3, i), None) for i in range(40)]
+    table = runtime.materialize(docs(spark, rows).repartition(5), "docs")
+    found = mixing.source_mixing(table).collect()
+    by = {}
+    for r in found:
+        by.setdefault((r["source_size"], r["target"]), []).append(r["taken"])
+    for (_, target), taken in by.items():
+        assert abs(sum(taken) - target) <= 30  # half of the longest text and what the last hash holds
+    copies = [r["taken"] for r in found if r["doc_id"] is None and r["size"] == 7]
+    assert abs(sum(copies) - next(r["target"] for r in found if r["size"] == 7 and r["doc_id"] is None)) <= 3.5 and len(set(copies)) == 2
+    again = sorted((r["doc_id"], r["size"], r["taken"]) for r in mixing.source_mixing(table).collect() if r["doc_id"] is not None)
+    assert again == sorted((r["doc_id"], r["size"], r["taken"]) for r in found if r["doc_id"] is not None)
+    copied = mixing.mixed(table)
+    assert copied.columns == table.columns
+    words_of = copied.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD))).alias("n")).collect()
+    assert sorted(r["n"] for r in words_of) == sorted(sum(t) for t in by.values())
