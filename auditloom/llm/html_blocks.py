@@ -22,8 +22,8 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -194,6 +194,8 @@ _WEAK_WORDS = frozenset(
 )
 _HEADER_WORDS = frozenset(("header", "head"))
 _ARTICLE_WORDS = frozenset("article articlebody post entry story content maincontent main".split())
+#: Words that name a part of something (fixed values): beside a word of the first kind they leave its meaning as it is.
+_PART_WORDS = frozenset("area aside bar block body box button card container content count data footer form group head header heading i icon inner input item items label link links list main meta module nav num outer panel part pane post posts row section small text thread title top wrap wrapper".split())
 _STATE_WORDS = frozenset("has have with no without not is are open opened closed enabled disabled allow allows layout wrapper wrap container".split())
 
 
@@ -220,7 +222,9 @@ def _marks(tag: str, attrs: str, in_article: bool) -> tuple[int, int, bool]:
                     words = {w.lower() for w in _PART.findall(token)}
                     if words & _STATE_WORDS:
                         words -= _STRONG_WORDS | _WEAK_WORDS | _HEADER_WORDS
-                    if words & _STRONG_WORDS:
+                    # an article, or a part of one, may be about comments or promotion: there a name has to speak of nothing else
+                    whole = tag == "article" or (tag == "section" and in_article)
+                    if words & _STRONG_WORDS and not (whole and words - _STRONG_WORDS - (_PART_WORDS - {"post"} if tag == "article" else _PART_WORDS)):
                         beside = 2
                     elif words & _WEAK_WORDS or (words & _HEADER_WORDS and not in_article and tag not in _HEADINGS and not words & _ARTICLE_WORDS):
                         beside = max(beside, 1)
@@ -254,7 +258,7 @@ def blocks(page: str) -> tuple[list[Block], bool]:
     found: list[Block] = []
     current = Block()
     stack: list[tuple[str, tuple[int, int]]] = []  # open elements, and (article, beside) inside each
-    n_open: Counter = Counter()
+    places: dict[str, list[int]] = defaultdict(list)  # where the open elements of a name stand in the stack
     around, silent, has_article = (0, 0), 0, False
 
     def flush() -> None:
@@ -269,21 +273,22 @@ def blocks(page: str) -> tuple[list[Block], bool]:
     def text(raw: str) -> None:
         if raw and not silent:
             if not current.text:
-                (current.article, current.beside), current.heading = around, any(n_open[h] for h in _HEADINGS)
+                (current.article, current.beside), current.heading = around, any(places[h] for h in _HEADINGS)
             current.text.append(raw)
-            if n_open["a"]:
+            if places["a"]:
                 current.link_words += len(raw.split())
 
     def close(upto: int) -> None:
         nonlocal around, silent
         while len(stack) > upto:
             tag, _ = stack.pop()
-            n_open[tag] -= 1
+            places[tag].pop()
             silent -= tag in _SILENT
         around = stack[-1][1] if stack else (0, 0)
 
-    def last(names: tuple[str, ...]) -> int:
-        return next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in names)
+    def last(names: Iterable[str]) -> int:
+        """Where the innermost open element of these names stands; -1 if none is open."""
+        return max((places[n][-1] for n in names if places[n]), default=-1)
 
     at = 0
     while (m := _TOKEN.search(page, at)) is not None:
@@ -295,8 +300,8 @@ def blocks(page: str) -> tuple[list[Block], bool]:
         if tag in _BLOCK:
             flush()
         if m[1]:
-            if n_open[tag] > 0:
-                close(last((tag,)))
+            if places[tag]:
+                close(places[tag][-1])
             continue
         if tag in _RAW:
             end = _END_OF[tag].search(page, at)
@@ -304,31 +309,26 @@ def blocks(page: str) -> tuple[list[Block], bool]:
             text(" ")
             continue
         if tag in _BLOCK and silent and tag not in ("option", "optgroup"):
-            while any(n_open[t] > 0 for t in _FRAGILE):
-                close(last(tuple(_FRAGILE)))
+            while (place := last(_FRAGILE)) >= 0:
+                close(place)
         if tag in _VOID:
             continue
         if tag in _BLOCK:
             ends = _CLOSED_BY.get(tag, ())
-            p = "p" if not silent else ""  # a hidden part does not end the paragraph it stands in
-            if n_open["p"] > 0 or any(n_open[t] > 0 for t in ends) or tag in _HEADINGS:
-                for i in range(len(stack) - 1, -1, -1):
-                    name = stack[i][0]
-                    if name == p or name in ends or (name in _HEADINGS and tag in _HEADINGS):
-                        close(i)
-                        break
-                    if name in _LIMITS:
-                        break
-        elif tag == "a" and n_open["a"] > 0:
-            close(last(("a",)))
+            # a hidden part does not end the paragraph it stands in
+            place = max(last(ends), -1 if silent else last(("p",)), last(_HEADINGS) if tag in _HEADINGS else -1)
+            if place >= 0 and place >= last(_LIMITS):
+                close(place)
+        elif tag == "a" and places["a"]:
+            close(places["a"][-1])
         elif tag not in _SILENT and tag != "a" and not m[3]:
             continue  # plain inline elements say nothing
         if m[3].endswith("/") and tag not in _BLOCK:
             continue
         around = _inside(around, tag, m[3])
         has_article |= around[0] > 0 and around[1] == 0
+        places[tag].append(len(stack))
         stack.append((tag, around))
-        n_open[tag] += 1
         silent += tag in _SILENT
     text(page[at:])
     flush()

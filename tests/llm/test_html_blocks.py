@@ -86,3 +86,27 @@ def test_densities_decide_first():
     spread = rows.copy()
     spread[:, : len(html_blocks.DENSITIES)] = 0
     assert (tree.predict(spread) != tree.predict(rows)).any()
+
+
+LEAD = "<p>" + "The committee published its findings after two years of careful work on the subject. " * 4 + "</p>"
+
+
+@pytest.mark.parametrize("opening", ['<article class="related-post">', '<article id="promotion-guide">', '<article class="comment-policy">', '<article class="post"><section id="navigation-history">', '<article><section class="story-comments-analysis">'])
+def test_articles_named_after_what_others_put_beside_them(opening):
+    page = f"<html><body><nav><a href='/'>Home</a></nav>{opening}<h1>A title of some length</h1>{LEAD}</section></article><footer>legal words</footer></body></html>"
+    got = html_blocks.main_text(page, html_blocks.trained())
+    assert "The committee published" in got and "Home" not in got and "legal" not in got
+
+
+@pytest.mark.parametrize("name", ["comment", "comment-body", "comments", "comment-item reply", "related-item", "promo card"])
+def test_articles_that_are_comments_or_teasers_stay_out(name):
+    page = f"<html><body><article><h1>A title of some length</h1>{LEAD}</article><article class='{name}'><p>First! This is a remark of a reader about it.</p></article></body></html>"
+    got = html_blocks.main_text(page, html_blocks.trained())
+    assert "The committee published" in got and "remark" not in got
+
+
+@pytest.mark.parametrize("page", ["<b x>" * 40_000 + "<h1></h1>" * 40_000, "<p><table><td>" + "<b x>" * 40_000 + "<h1></h1>" * 40_000, "<li>" + "<div>" + "<b x>" * 40_000 + "<li></li>" * 40_000, "<a>" * 40_000 + "</a>" * 40_000])
+def test_hostile_nesting_takes_linear_time(page):
+    began = time.time()
+    html_blocks.blocks(page)
+    assert time.time() - began < 6
