@@ -13,26 +13,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import Step
+from ..sources.shared import Step, numbered
 
 MOST_PAGES = 500
 
 
-def numbered(rows: DataFrame, *order: str, start: int = 0) -> tuple[Step, int]:
-    """Rows with ``place``, counted from ``start`` in the order of columns that tell all rows apart; and how many there are."""
-    part, local = F.spark_partition_id(), F.monotonically_increasing_id()
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": part, "__local": local.bitwiseAND((1 << 33) - 1)})
-    step = Step(dealt, "numbered")
-    before, total = {}, start
-    for row in step.df.groupBy("__part").count().orderBy("__part").collect():  # one row for each range partition
-        before[row["__part"]], total = total, total + row["count"]
-    shift = rows.sparkSession.createDataFrame(list(before.items()), "__part int, __before long")
-    placed = step.df.join(F.broadcast(shift), "__part").withColumn("place", F.col("__before") + F.col("__local")).drop("__part", "__local", "__before")
-    done = Step(placed, "placed")
-    step.drop()
-    return done, total - start
-
-
 def visits(links: DataFrame, seeds: DataFrame, most: int = MOST_PAGES, deepest: int | None = None) -> DataFrame:
     """url, depth, place, found_on, crawl_source of the pages visited: ``seeds`` (url, rank, crawl_source) at depth 0, then level by level along ``links`` (source_url, href, at: the place of a link in its page), at most ``most`` pages and ``deepest`` levels."""
     first = seeds.groupBy("url").agg(F.min(F.struct("rank", "crawl_source")).alias("s")).select("url", F.lit(None).cast("string").alias("found_on"), F.col("s.crawl_source").alias("crawl_source"), F.col("s.rank").alias("rank"))

@@ -544,6 +544,18 @@ _SQL["report_section_summary"] = (
 )
 
 
+_SQL["report_sheet_rows"] = (
+    _F + ", sec(place, rule_id) as (values " + ", ".join(f"({i}, '{r}')" for i, x in enumerate(report.SHEETS) for r in x.rules) + ") select place::int as section, count(*)::bigint as rows from sec join f using (rule_id) group by 1"
+)
+
+
+@_query("report_sheet_rows")
+def _(s, d):
+    """Rows of each sheet of the workbook, as counted in the parts that tasks write."""
+    parts = report.sheet_parts(_findings(s, d))
+    return parts.groupBy("section").agg((F.max("last") - 1).alias("rows"))
+
+
 def _sheet(name: str) -> Query:
     sheet = next(x for x in report.SHEETS if x.name == name)
     return lambda s, d: sheet.rows(engine.run_checks(_tables(s, d), {r: REGISTRY[r] for r in sheet.rules}).findings)

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import datetime as dt
 import itertools
-import zipfile
-from collections.abc import Callable, Iterable, Iterator
+import json
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import SEVERITIES, severity_rank
+from ..ship import ship
+from ..sources.shared import Step, numbered
+from ..sources.zipparts import Archive, Part, deflated
 from . import engine
-from .read_api import in_order
 
 SITE_WIDE = "(site-wide)"
 OTHER = "Other"
@@ -54,14 +57,20 @@ class Sheet:
     columns: tuple[tuple[str, str, Callable[[], Column]], ...]
     advice: Callable[[], Column] | None = None
 
-    def rows(self, findings: DataFrame) -> DataFrame:
-        """The sheet's rows; what has no column of its own is in ``details`` (JSON)."""
+    def cells(self) -> list[Column]:
+        """The sheet's columns; what has none of its own is in ``details`` (JSON)."""
         extra = {"recommendation": self.advice()} if self.advice and all(k != "recommendation" for _, k, _ in self.columns) else {}
         if self.name == "Performance":
             extra = {"metric": _tail()}
         details = F.to_json(F.struct(*[v.alias(k) for k, v in sorted(extra.items())])) if extra else F.lit(None).cast("string")
-        mine = findings.where(F.col("rule_id").isin(*self.rules))
-        return mine.select("severity", F.coalesce("url", F.lit(SITE_WIDE)).alias("url"), *[make().alias(k) for _, k, make in self.columns], details.alias("details"))
+        return [F.col("severity"), F.coalesce("url", F.lit(SITE_WIDE)).alias("url"), *[make().alias(k) for _, k, make in self.columns], details.alias("details")]
+
+    def rows(self, findings: DataFrame) -> DataFrame:
+        """The sheet's rows."""
+        return findings.where(F.col("rule_id").isin(*self.rules)).select(*self.cells())
+
+    def headers(self) -> list[str]:
+        return ["Severity", "Page", *[h for h, _, _ in self.columns], "Details"]
 
 
 def _const(words: str) -> Callable[[], Column]:
@@ -201,35 +210,129 @@ def _cell(ref: str, value, style: int) -> str:
     return f'<c r="{ref}" s="{style}" t="inlineStr"><is><t xml:space="preserve">{escape(clean)}</t></is></c>'
 
 
-def _write_sheet(out, headers: list[str], rows: Iterator[tuple]) -> None:
-    """One worksheet, row by row."""
-    view = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
-    out.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">{view}<sheetData><row r="1">'.encode())
-    out.write(("".join(_cell(f"{_letters(i)}1", h, 1) for i, h in enumerate(headers)) + "</row>").encode())
-    n = 1
-    for n, row in enumerate(rows, start=2):
-        style = 2 + SEVERITIES.index(row[0]) if headers[0] == "Severity" and row[0] in SEVERITIES else 0
-        out.write((f'<row r="{n}">' + "".join(_cell(f"{_letters(i)}{n}", v, style if i == 0 else 0) for i, v in enumerate(row)) + "</row>").encode("utf-8", "replace"))
-    out.write(f'</sheetData><autoFilter ref="A1:{_letters(len(headers) - 1)}{n}"/></worksheet>'.encode())
+_NAMESPACE = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_VIEW = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
+
+
+def _head(headers: list[str]) -> bytes:
+    cells = "".join(_cell(f"{_letters(i)}1", h, 1) for i, h in enumerate(headers))
+    return f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_NAMESPACE}">{_VIEW}<sheetData><row r="1">{cells}</row>'.encode()
+
+
+def _line(n: int, row: Sequence, coloured: bool) -> bytes:
+    style = 2 + SEVERITIES.index(row[0]) if coloured and row[0] in SEVERITIES else 0
+    return (f'<row r="{n}">' + "".join(_cell(f"{_letters(i)}{n}", v, style if i == 0 else 0) for i, v in enumerate(row)) + "</row>").encode("utf-8", "replace")
+
+
+def _foot(columns: int, last: int) -> bytes:
+    return f'</sheetData><autoFilter ref="A1:{_letters(columns - 1)}{last}"/></worksheet>'.encode()
 
 
-def _write_parts(z: zipfile.ZipFile, sheets: Iterable[tuple[str, list[str], Iterable[tuple]]], most: int) -> list[str]:
-    """Write all worksheets, each with ``most`` rows at most; returns their names."""
-    names: list[str] = []
+def _part_name(name: str, part: int) -> str:
+    return name[:31] if part == 1 else f"{name[:25]} ({part})"
+
+
+def _from_rows(sheets: Iterable[tuple[str, list[str], Iterable[tuple]]], most: int) -> Iterator[tuple[str, Iterator[Part]]]:
+    """Names and parts of worksheets made of rows as they come, each with ``most`` rows at most."""
     for name, headers, rows in sheets:
         rows, part = iter(rows), 1
         first = list(itertools.islice(rows, 1))
         while first or part == 1:
-            names.append(name[:31] if part == 1 else f"{name[:25]} ({part})")
-            with z.open(f"xl/worksheets/sheet{len(names)}.xml", "w", force_zip64=True) as out:
-                _write_sheet(out, headers, itertools.chain(first, itertools.islice(rows, most - 1 - len(first))))
+            yield _part_name(name, part), _lines(headers, itertools.chain(first, itertools.islice(rows, most - 1 - len(first))))
             first, part = list(itertools.islice(rows, 1)), part + 1
-    return names
+
+
+def _lines(headers: list[str], rows: Iterator[tuple]) -> Iterator[Part]:
+    yield deflated(_head(headers))
+    last = 1
+    while some := list(itertools.islice(rows, PART_ROWS)):
+        yield deflated(b"".join(_line(last + n, row, headers[0] == "Severity") for n, row in enumerate(some, start=1)))
+        last += len(some)
+    yield deflated(_foot(len(headers), last), last=True)
+
+
+#: Rows that one task turns into one part of a worksheet.
+PART_ROWS = 10_000
+_OTHER_HEADERS = ["Severity", "Rule ID", "URL", "Detail"]
+
+
+def sheet_parts(findings: DataFrame, most_rows: int = MOST_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
+    """section, sheet, chunk, last (row), crc, size, data: worksheets of all findings in parts, numbered, written as XML and deflated by tasks."""
+    sections = [(s.rules, F.to_json(F.array(*[_as_json(c) for c in s.cells()]))) for s in SHEETS]
+    section, cells = F.lit(len(SHEETS)), F.to_json(F.array(*map(_as_json, (F.col("severity"), F.col("rule_id"), F.col("url"), sorted_json(F.col("detail"))))))
+    for i, (rules, own) in enumerate(sections):
+        mine = F.col("rule_id").isin(*rules)
+        section, cells = F.when(mine, i).otherwise(section), F.when(mine, own).otherwise(cells)
+    rows = findings.select(section.alias("section"), severity_rank(F.col("severity")).alias("rank"), "rule_id", F.col("url").isNull().alias("last_ones"), "url", "detail", cells.alias("cells"))
+    placed, _ = numbered(rows, "section", "rank", "rule_id", "last_ones", "url", "detail")
+    counts = {r["section"]: r["count"] for r in placed.df.groupBy("section").count().collect()}  # one row for each sheet
+    start, before = F.lit(0), 0
+    for i in sorted(counts):
+        start, before = F.when(F.col("section") == i, before).otherwise(start), before + counts[i]
+    n = F.col("place") - start
+    rows = placed.df.select("section", F.floor(n / (most_rows - 1)).alias("sheet"), (n % (most_rows - 1) + 2).alias("row"), "cells")
+    rows = rows.withColumn("chunk", F.floor(F.col("row") / part_rows))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, lines, last = None, [], 0
+        for batch in batches:
+            for *own, row, cells in zip(*(batch.column(c).to_pylist() for c in ("section", "sheet", "chunk", "row", "cells")), strict=True):
+                if own != key and lines:
+                    yield _made(key, last, lines)
+                    lines = []
+                key, last = own, row
+                lines.append(_line(row, [json.loads(c) for c in json.loads(cells)], True))
+        if lines:
+            yield _made(key, last, lines)
+
+    keys = ["section", "sheet", "chunk"]
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "row")  # at most part_rows rows for each key
+    return Step(dealt.mapInArrow(write, "section int, sheet long, chunk long, last long, crc long, size long, data binary"), "sheets").df
+
+
+def _as_json(cell: Column) -> Column:
+    """A cell as JSON of its own, so that cells of several types stand in one array."""
+    whole = F.to_json(F.struct(cell.alias("c")), {"ignoreNullFields": "false"})  # {"c":...}
+    return F.substr(whole, F.lit(6), F.char_length(whole) - 6)
+
+
+def _made(key: list, last: int, lines: list[bytes]) -> pa.RecordBatch:
+    part = deflated(b"".join(lines))
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((*key, last, part.crc, part.size, part.data), kinds, strict=True)], ["section", "sheet", "chunk", "last", "crc", "size", "data"])
+
+
+def _from_parts(parts: DataFrame) -> Iterator[tuple[str, Iterator[Part]]]:
+    """Names and parts of worksheets that tasks have made; a sheet without rows has its header only."""
+    rows = itertools.groupby(parts.orderBy("section", "sheet", "chunk").toLocalIterator(), key=lambda r: (r["section"], r["sheet"]))
+    found = next(rows, None)
+    for i in range(len(SHEETS) + 1):
+        name, headers = (SHEETS[i].name, SHEETS[i].headers()) if i < len(SHEETS) else (OTHER, _OTHER_HEADERS)
+        part = 1
+        while (found and found[0][0] == i) or (part == 1 and i < len(SHEETS)):
+            mine = found[1] if found and found[0][0] == i else ()
+            yield _part_name(name, part), _whole(headers, mine)
+            if found and found[0][0] == i:
+                found = next(rows, None)
+            part += 1
+
+
+def _whole(headers: list[str], rows: Iterable) -> Iterator[Part]:
+    last = 1
+    yield deflated(_head(headers))
+    for r in rows:
+        last = r["last"]
+        yield Part(bytes(r["data"]), r["crc"], r["size"])
+    yield deflated(_foot(len(headers), last), last=True)
 
 
 def write_workbook(path: str, sheets: Iterable[tuple[str, list[str], Iterable[tuple]]], most_rows: int = MOST_ROWS) -> None:
-    """An .xlsx file of sheets (name, headers, rows), written as the rows come: header band, frozen first row, filters, severities in colour."""
-    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    """An .xlsx file of sheets (name, headers, rows): header band, frozen first row, filters, severities in colour."""
+    _write(path, _from_rows(sheets, most_rows))
+
+
+def _write(path: str, sheets: Iterable[tuple[str, Iterator[Part]]]) -> None:
+    main = _NAMESPACE
     office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     package = "http://schemas.openxmlformats.org/package/2006"
     fills = "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="{c}"/></patternFill></fill>' for c in ("FFD9D9D9", *(_FILLS[s] for s in SEVERITIES)))
@@ -237,28 +340,28 @@ def write_workbook(path: str, sheets: Iterable[tuple[str, list[str], Iterable[tu
     styles = f'<styleSheet xmlns="{main}"><fonts count="2"><font/><font><b/></font></fonts><fills count="8"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{fills}</fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="7">{formats}</cellXfs></styleSheet>'
     part = f"{package}/content-types"
     kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        names = _write_parts(z, sheets, most_rows)
+    with open(path, "wb") as out:
+        z, names = Archive(out), []
+        for name, parts in sheets:
+            names.append(name)
+            z.member(f"xl/worksheets/sheet{len(names)}.xml", parts)
         n = len(names)
-        z.writestr("[Content_Types].xml", f'<Types xmlns="{part}"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i + 1}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(n)) + "</Types>")
-        z.writestr("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets>' + "".join(f'<sheet name="{escape(name)}" sheetId="{i + 1}" r:id="r{i + 1}"/>' for i, name in enumerate(names)) + "</sheets></workbook>")
-        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="r{i + 1}" Type="{office}/worksheet" Target="worksheets/sheet{i + 1}.xml"/>' for i in range(n)) + f'<Relationship Id="r{n + 1}" Type="{office}/styles" Target="styles.xml"/></Relationships>')
-        z.writestr("xl/styles.xml", styles)
-
-
-def build_workbook(findings: DataFrame, audit: dict, folder: str, generated: dt.datetime) -> str:
-    """Write an audit's report; returns its path.  Rows come to the driver one partition at a time and are written as they come."""
-    ordered = in_order(findings)
-
-    def sheets() -> Iterator[tuple[str, list[str], Iterable[tuple]]]:
-        yield "Summary", ["Field", "Value", "Count"], summary_rows(findings, audit, generated)
-        for sheet in SHEETS:
-            yield sheet.name, ["Severity", "Page", *[h for h, _, _ in sheet.columns], "Details"], map(tuple, sheet.rows(ordered).toLocalIterator())
-        rest = other(ordered)
-        if not rest.isEmpty():
-            yield OTHER, ["Severity", "Rule ID", "URL", "Detail"], map(tuple, rest.toLocalIterator())
-
+        for name, content in (
+            ("[Content_Types].xml", f'<Types xmlns="{part}"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i + 1}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(n)) + "</Types>"),
+            ("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>'),
+            ("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets>' + "".join(f'<sheet name="{escape(name)}" sheetId="{i + 1}" r:id="r{i + 1}"/>' for i, name in enumerate(names)) + "</sheets></workbook>"),
+            ("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="r{i + 1}" Type="{office}/worksheet" Target="worksheets/sheet{i + 1}.xml"/>' for i in range(n)) + f'<Relationship Id="r{n + 1}" Type="{office}/styles" Target="styles.xml"/></Relationships>'),
+            ("xl/styles.xml", styles),
+        ):
+            z.member(name, [deflated(content.encode(), last=True)])
+        z.close()
+
+
+def build_workbook(findings: DataFrame, audit: dict, folder: str, generated: dt.datetime, most_rows: int = MOST_ROWS) -> str:
+    """Write an audit's report; returns its path.  Tasks write and deflate the rows; the driver puts their parts together as they come, and holds one partition of parts."""
+    ship(findings.sparkSession)
+    parts = sheet_parts(findings, most_rows)
     path = f"{folder}/{file_name(audit['id'], generated)}"
-    write_workbook(path, sheets())
+    summary = _from_rows([("Summary", ["Field", "Value", "Count"], summary_rows(findings, audit, generated))], most_rows)
+    _write(path, itertools.chain(summary, _from_parts(parts)))
     return path
