@@ -83,7 +83,8 @@ class Audit:
         errors = rejected.select("page_url", "strategy", F.col("cause").alias("error"))
         runs = fresh.select("page_url", "strategy", F.lit(None).cast("string").alias("error")).unionByName(errors)
         counts = perf.outcome(runs, wanted, old).first()
-        self._put(performance=perf.upsert(old, fresh.select(*schemas.PERFORMANCE.fieldNames())), rejected=rejected.select(*schemas.REJECTED.fieldNames()))
+        fresh, rejected = fresh.select(*schemas.PERFORMANCE.fieldNames()), rejected.select(*schemas.REJECTED.fieldNames())
+        self.versions.upsert(self.id, "performance", fresh, ["audit_id", "page_url", "strategy"], perf.upsert, schemas.PERFORMANCE, {"rejected": rejected})
         of_perf = engine.run_checks(self._tables("enriched"), PERF_CHECKS).findings
         self._put(findings=perf.refresh(self.findings(), of_perf))
         return counts.asDict()

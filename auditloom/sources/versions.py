@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from urllib.parse import quote, unquote
 
 from py4j.protocol import Py4JJavaError
@@ -20,6 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Buckets of a table that is merged into rather than replaced.
+BUCKETS = 64
+
+
 class Conflict(RuntimeError):
     """Another writer has taken the log's next number."""
 
@@ -94,6 +99,11 @@ class Log:
         return after + 1
 
 
+def _of_table(entry: dict, name: str) -> dict[str, str]:
+    """A table's folders by bucket (named "" where it has none)."""
+    return {k.partition("#")[2]: v for k, v in entry.items() if k.partition("#")[0] == name}
+
+
 class Versions:
     """Versioned tables of many audits in one folder; tables carry ``audit_id``."""
 
@@ -121,16 +131,35 @@ class Versions:
 
     def read(self, name: str, schema: T.StructType, *audit_ids: str) -> DataFrame:
         """A table's rows of the audits given (all audits without any); only their folders are read."""
-        found = [self._log(a).last()[1].get(name) for a in audit_ids or self.audits()]
-        paths = [f"{self.folder}/{v}" for v in found if v]
+        found = [_of_table(self._log(a).last()[1], name) for a in audit_ids or self.audits()]
+        paths = [f"{self.folder}/{v}" for own in found for v in own.values()]
         if not paths:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
+    def upsert(self, audit_id: str, name: str, fresh: DataFrame, keys: list[str], merge: Callable[[DataFrame, DataFrame], DataFrame], schema: T.StructType, others: dict[str, DataFrame] | None = None, buckets: int = BUCKETS) -> int:
+        """Merge rows into a table that is dealt to buckets by its keys: only buckets that fresh rows fall into are read and written, all others keep their files.  ``merge`` gets old and fresh rows of these buckets; ``others`` are replaced in the same switch."""
+        log = self._log(audit_id)
+        before, held = log.last()
+        old = _of_table(held, name)
+        if any(int(k.partition("/")[2]) != buckets for k in old):
+            raise ValueError(f"{name} of {audit_id} is dealt to another number of buckets")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        fresh = fresh.where(F.col("audit_id") == audit_id)
+        touched = sorted(r["b"] for r in fresh.select(bucket.alias("b")).distinct().collect())  # at most ``buckets`` rows
+        paths = [f"{self.folder}/{old[k]}" for b in touched if (k := f"{b}/{buckets}") in old]
+        base = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        version = f"{name}/{quote(audit_id, safe='')}/{uuid.uuid4().hex}"
+        if touched:
+            merge(base, fresh).withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{version}")
+        made = {f"{name}#{b}/{buckets}": f"{version}/bucket={b}" for b in touched}
+        made |= {n: self.stage(audit_id, n, df) for n, df in (others or {}).items()}
+        return log.append(held | made, before)
+
     def clean(self, audit_id: str, keep: int = 1) -> int:
         """Delete versions that none of the last ``keep`` log entries names; returns how many.  Writers of this audit must be at rest."""
         log = self._log(audit_id)
-        held = {v for n in log.numbers()[-keep:] for v in log.entry(n).values()}
+        held = {"/".join(v.split("/")[:3]) for n in log.numbers()[-keep:] for v in log.entry(n).values()}
         gone = 0
         for name in self._files.names(self.folder):
             base = f"{name}/{quote(audit_id, safe='')}"

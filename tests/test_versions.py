@@ -147,3 +147,34 @@ def test_failed_measurements_and_failed_checks_are_logged(spark, tmp_path, monke
     assert notes[:2] == ["rules_failed=1: own.bad", "requested=2 cached=0 ok=1 failed=1"]
     assert [(r["strategy"], r["cause"]) for r in audit.rejected().collect()] == [("mobile", "malformed")]
     assert audit.findings().where("rule_id = 'perf.lcp'").count() == 1
+
+
+def test_upsert_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    from auditloom.operators import perf
+
+    v, P = Versions(spark, f"file://{tmp_path}"), schemas.PERFORMANCE
+
+    def rows(audit, *given):
+        return spark.createDataFrame([tuple({"audit_id": audit, "page_url": u, "strategy": s, "lcp_ms": n}.get(c) for c in P.fieldNames()) for u, s, n in given], P)
+
+    def put(audit, *given, **more):
+        return v.upsert(audit, "performance", rows(audit, *given), ["audit_id", "page_url", "strategy"], perf.upsert, P, buckets=8, **more)
+
+    def held(audit):
+        return {(r["page_url"], r["strategy"]): r["lcp_ms"] for r in v.read("performance", P, audit).collect()}
+
+    first = [(f"/{i}", s, i) for i in range(60) for s in perf.STRATEGIES]
+    put("a", *first)
+    put("b", ("/1", "mobile", 5))
+    files = set(v.read("performance", P, "a").inputFiles())
+    assert held("a") == {(u, s): n for u, s, n in first}
+    put("a", ("/7", "mobile", 700), others={"rejected": found(spark, "a", "/x")})
+    kept = set(v.read("performance", P, "a").inputFiles())
+    assert held("a") == {(u, s): n for u, s, n in first} | {("/7", "mobile"): 700} and held("b") == {("/1", "mobile"): 5}
+    assert len(files & kept) == len(files) - len(files - kept) >= 7 and len(files - kept) == 1 == len(kept - files)
+    put("a", ("/new", "mobile", 1), ("/7", "desktop", 9))
+    assert len(held("a")) == 121 and held("a")["/7", "desktop"] == 9
+    assert v.clean("a") == 0 and v.clean("b") == 0  # buckets of every version are still read
+    assert put("a") == 4 and urls(v.read("rejected", T, "a")) == [("a", "/x")]
+    with pytest.raises(ValueError, match="buckets"):
+        v.upsert("a", "performance", rows("a"), ["page_url"], perf.upsert, P, buckets=4)
