@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import Tables, require_pages
+from .skew import left_join
 
 
 def resolve_links(links: DataFrame, pages: DataFrame) -> DataFrame:
     """Target status and the redirect and broken flags; null where the target was not crawled."""
     target = pages.select("audit_id", F.col("url").alias("href"), F.col("status_code").alias("target_status_code"), "status_class")
-    bare = links.drop("target_status_code", "is_redirect", "is_broken").join(target, ["audit_id", "href"], "left")
+    bare = left_join(links.drop("target_status_code", "is_redirect", "is_broken"), target, ["audit_id", "href"])
     kind = F.col("status_class")
     flags = {"is_redirect": kind == "3xx", "is_broken": kind.isin("4xx", "5xx")}
     return bare.withColumns(flags).drop("status_class").select("audit_id", "source_url", "href", "anchor_text", "type", "rel", "target_status_code", "is_redirect", "is_broken")
@@ -32,7 +33,7 @@ def reciprocity(hreflang: DataFrame) -> DataFrame:
 def image_status(images: DataFrame, pages: DataFrame) -> DataFrame:
     """The status of images that were crawled."""
     target = pages.select("audit_id", F.col("url").alias("src"), F.col("status_code").alias("__code"))
-    return images.join(target, ["audit_id", "src"], "left").withColumn("status_code", F.col("__code")).select(*images.columns)
+    return left_join(images, target, ["audit_id", "src"]).withColumn("status_code", F.col("__code")).select(*images.columns)
 
 
 def enrich(tables: Tables) -> Tables:
@@ -71,7 +72,7 @@ def verify_outcome(status):
 def merge_verified(links: DataFrame, results: DataFrame) -> DataFrame:
     """Links after a live check (href, status): healthy ones lose the broken flag, broken ones take the fresh code, others stay as they are."""
     checked = results.select("href", F.col("status").alias("__status"), verify_outcome(F.col("status")).alias("__outcome"))
-    joined = links.join(checked, "href", "left")
+    joined = left_join(links, checked, ["href"])
     outcome, status = F.col("__outcome"), F.col("__status").cast("int")
     return joined.withColumns({
         "target_status_code": F.when(outcome.isin("healthy", "broken"), status).otherwise(F.col("target_status_code")),
