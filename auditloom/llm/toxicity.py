@@ -217,15 +217,18 @@ class Ratios:
     def table(self) -> np.ndarray:
         """The ratios, read once by each worker."""
         if self.path not in _tables:
-            from pyarrow import parquet
+            from pyarrow import fs, parquet
 
             _tables.clear()
             store, base = file_system(self.path)
-            rows = parquet.read_table(base, filesystem=store)
             low = SYMBOLS ** (ORDER - 1)
             whole = np.zeros(SYMBOLS**ORDER, dtype=np.float16)
-            for s, ratio in zip(rows.column("slice").to_pylist(), rows.column("ratio"), strict=True):
-                whole[s * low : (s + 1) * low] = np.frombuffer(ratio.as_buffer(), dtype="<f2")
+            for name in (f.path for f in store.get_file_info(fs.FileSelector(base)) if f.path.endswith(".parquet")):
+                with store.open_input_file(name) as source:
+                    for batch in parquet.ParquetFile(source).iter_batches(batch_size=1, use_threads=False):  # one slice in memory besides
+                        for s, ratio in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                            whole[s * low : (s + 1) * low] = np.frombuffer(ratio.as_buffer(), dtype="<f2")
+            pa.default_memory_pool().release_unused()
             _tables[self.path] = whole
         return _tables[self.path]
 
