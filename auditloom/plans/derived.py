@@ -144,18 +144,42 @@ def _(s, d):
     return each.select("page_id", "form", urls.resolved("url", F.col("href")).alias("href"))
 
 
-_OCTETS = "(array[10, 127, 172, 192, 169, 100, 0, 8])[event_id % 8 + 1] as a, (array[16, 31, 32, 63, 64, 127, 128, 168, 254, 255])[user_id % 10 + 1] as b"
-
-
-@_derived("url_unsafe", f"""select event_id, a in (0, 10, 127) or (a = 100 and b between 64 and 127) or (a = 169 and b = 254) or (a = 172 and b between 16 and 31) or (a = 192 and b = 168) as unsafe from (select event_id, {_OCTETS} from events)""")
+#: First octets of the addresses made from events, by event_id, and second ones, by user_id.
+_FIRST_OCTETS, _SECOND_OCTETS = (10, 127, 172, 192, 169, 100, 0, 8), (16, 31, 32, 63, 64, 127, 128, 168, 254, 255)
+#: What comes before a page's path, and whether such a URL is unsafe whatever its path.
+_GUARDED = (
+    ("https://example.org", False), ("HTTP://Local.Example.ORG:8080", False), ("http://notlocalhost", False), ("http://127.0.0.1@example.org", False), ("http://[2001:db8::1]", False), ("http://[fec0::1]", False), ("http://[::ffff:8.8.8.8]", False), ("http://198.51.100.1", False), ("http://240.0.0.1", False),
+    ("http://localhost", True), ("https://LocalHost.:8080", True), ("http://app.localhost", True), ("http://printer.local", True), ("http://a@localhost", True), ("http://example.org@127.0.0.1", True),
+    ("http://[::1]", True), ("http://[::]", True), ("http://[fc00::1]", True), ("http://[fd00::1]", True), ("http://[fe80::1]", True), ("http://[febf::1]", True), ("http://1.2.3.256", True), ("http://256.1", True), ("http://a b", True), ("http://?", True),
+    ("ftp://example.org", True), ("file://example.org", True), ("mailto:me@example.org", True), ("example.org", True), ("//example.org", True), ("", True),
+)
+_PATH_OF = r"^(https?)://([^/?#]+)(.*)$"
+
+
+@_derived("url_unsafe", f"""with y as (select page_id, url, regexp_extract(url, '{_PATH_OF}', 3, 's') as path from pages), guarded(form, before, refused) as (values {', '.join(f"({n}, '{before}', {refused})" for n, (before, refused) in enumerate(_GUARDED, 3))}),
+e as (select *, {list(_FIRST_OCTETS)}[(event_id % 8 + 8) % 8 + 1] as a, {list(_SECOND_OCTETS)}[(user_id % 10 + 10) % 10 + 1] as b from events)
+select page_id, null::bigint as event_id, form::int as form, url is null or case form when 0 then length(url) > 2048 when 1 then false else true end as unsafe from y, (select unnest(range(3)) as form)
+  union all select page_id, null, form, url is null or refused or length(before || path) > 2048 from y, guarded
+  union all select null, event_id, form, event_id is null or user_id is null or a in (0, 10, 127) or (a = 100 and b between 64 and 127) or (a = 169 and b = 254) or (a = 172 and b between 16 and 31) or (a = 192 and b = 168) from e, (select unnest(range(10)) as form)""")
 def _(s, d):
-    """Addresses made from events, dotted, as one number, in hexadecimal, and mapped into IPv6."""
+    """URLs of pages, given, of the greatest length and beyond it, and with each beginning of _GUARDED; an address from each event in each spelling: dotted, with a dot at its end, as one number, in hexadecimal, in octal, short, escaped, with user and port, and mapped into IPv6 in two ways."""
+    pages = _table(s, d, "pages").withColumn("path", F.regexp_extract("url", "(?s)" + _PATH_OF, 3))
+    sized = [F.rpad(F.concat(F.lit("https://example.org"), "path"), n, "a") for n in (urls.MOST_URL_LENGTH, urls.MOST_URL_LENGTH + 1)]
+    forms = F.array("url", *sized, *[F.concat(F.lit(before), "path") for before, _ in _GUARDED])
+    of_pages = pages.select("page_id", F.lit(None).cast("long").alias("event_id"), F.posexplode(forms).alias("form", "url"))
+
     i, user = F.col("event_id"), F.col("user_id")
-    a, b, c, e = _pick(i, 10, 127, 172, 192, 169, 100, 0, 8).cast("long"), _pick(user, 16, 31, 32, 63, 64, 127, 128, 168, 254, 255).cast("long"), user % 256, i % 256
-    number, dotted = ((a * 256 + b) * 256 + c) * 256 + e, F.concat_ws(".", *[x.cast("string") for x in (a, b, c, e)])
-    host = F.when(i % 4 == 1, number.cast("string")).when(i % 4 == 2, F.concat(F.lit("0x"), F.hex(number))).when(i % 4 == 3, F.concat(F.lit("[::ffff:"), dotted, F.lit("]"))).otherwise(dotted)
-    rows = _table(s, d, "events").select("event_id", F.concat(F.lit("http://"), host, F.lit("/")).alias("url"))
-    return rows.select("event_id", urls.unsafe("url").alias("unsafe"))
+    pick = lambda key, values: _pick(F.pmod(key, F.lit(len(values))), *values).cast("long")
+    a, b, c, e = pick(i, _FIRST_OCTETS), pick(user, _SECOND_OCTETS), F.pmod(user, F.lit(256)), F.pmod(i, F.lit(256))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    rest = text(".", b, ".", c, ".", e)
+    number = ((a * 256 + b) * 256 + c) * 256 + e
+    octal, escaped = F.conv(a.cast("string"), 10, 8), F.regexp_replace(a.cast("string"), r"(\d)", "%3$1")
+    hosts = (text(a, rest), text(a, rest, "."), text(number), text("0x", F.hex(number)), text("0", octal, rest), text(a, ".", (b * 256 + c) * 256 + e), text(escaped, rest), text("me@", a, rest, ":8080"), text("[::ffff:", a, rest, "]"), text("[::FFFF:", F.hex(a * 256 + b), ":", F.hex(c * 256 + e), "]"))
+    spelled = F.array(*[text("http://", host, "/") for host in hosts])
+    events = _table(s, d, "events").select("event_id", "user_id").repartition(s.sparkContext.defaultParallelism, "event_id")  # narrow rows, each of which becomes many
+    of_events = events.select(F.lit(None).cast("long").alias("page_id"), "event_id", F.posexplode(spelled).alias("form", "url"))
+    return of_pages.unionByName(of_events).select("page_id", "event_id", "form", urls.unsafe("url").alias("unsafe"))
 
 
 @_derived("url_start", "select page_id, case when page_id % 3 = 0 then url end as url from pages")
