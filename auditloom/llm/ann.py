@@ -27,11 +27,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .runtime import Stored, list_column, materialize, partitions_for, scratch
@@ -46,6 +47,21 @@ ORDERS, BLOCK, SIGN_BITS = 3, 128, 20
 BEAM, FAN, PIVOTS, ENTRIES, RERANK = 800, 128, 32, 128, 64
 #: Nodes in one bucket of the links; queries compared with all rows together.
 BUCKET_NODES, QUERY_BLOCK = 10_000, 512
+#: Rows with up to hundreds of nodes (some 10 to 60 KB each) that a scan or a Python worker takes at once; pairs that it gathers before it sends them on; bytes of a row group of the links.
+WIDE_ROWS, PAIRS_AT_ONCE, ROW_GROUP = 256, 1 << 19, 4 << 20
+
+
+@contextmanager
+def wide_rows(spark: SparkSession):
+    """Within it scans and Python workers take at most WIDE_ROWS rows at once; by Spark's limits (4,096 and 10,000) that would be up to 100 MB of links a task."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")}
+    for key, rows in before.items():
+        spark.conf.set(key, min(WIDE_ROWS, int(rows)) if int(rows) > 0 else WIDE_ROWS)
+    try:
+        yield
+    finally:
+        for key, rows in before.items():
+            spark.conf.set(key, rows)
 
 
 def _matrix(column: pa.Array, kind=np.float64) -> np.ndarray:
@@ -55,9 +71,12 @@ def _matrix(column: pa.Array, kind=np.float64) -> np.ndarray:
 
 
 def _codes(column: pa.Array) -> np.ndarray:
-    """Unit vectors from their single-precision bytes."""
-    rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), dtype="<f4").reshape(len(rows), -1) if rows else np.zeros((0, 0), np.float32)
+    """Unit vectors from their single-precision bytes, read where they lie (all have one length, none is null)."""
+    if not len(column):
+        return np.zeros((0, 0), np.float32)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]].view("<f4").reshape(len(column), -1)
 
 
 def valid_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -153,7 +172,7 @@ def _cut(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatc
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Row number of each element of a list column (null lists as empty), and the elements."""
-    counts = np.array([0 if c is None else c for c in pc.list_value_length(column).to_pylist()], dtype=np.int64)
+    counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(False).astype(np.int64)
     return np.repeat(np.arange(len(column)), counts), column.flatten()
 
 
@@ -199,12 +218,13 @@ def _descend(graph: DataFrame, seed: int) -> DataFrame:
     sets = members.groupBy("at").agg(*[F.collect_list(c).alias(c) for c in ("node", "old", "least", "code")])
 
     def local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, s = [], [], []
+        gathered = 0
         for batch in batches:
             counts = pc.list_value_length(batch.column(1)).to_numpy(False)
             ends = np.cumsum(counts)
             ids, old = batch.column(1).flatten().to_numpy(False), batch.column(2).flatten().to_numpy(False)
             least, x = batch.column(3).flatten().to_numpy(False), _codes(batch.column(4).flatten())
-            a, b, s = [], [], []
             for lo, hi in zip((ends - counts).tolist(), ends.tolist(), strict=True):
                 own, m = ids[lo:hi], x[lo:hi]
                 sims = m @ m.T
@@ -213,8 +233,13 @@ def _descend(graph: DataFrame, seed: int) -> DataFrame:
                 a.append(own[i])
                 b.append(own[j])
                 s.append(sims[i, j])
-            if a:
+                gathered += len(i)
+            if gathered >= PAIRS_AT_ONCE:
                 yield _distinct(_pair_batch(a, b, s))
+                a, b, s = [], [], []
+                gathered = 0
+        if gathered:
+            yield _distinct(_pair_batch(a, b, s))
 
     return sets.mapInArrow(local_join, _PAIRS)
 
@@ -264,7 +289,7 @@ class Links:
         self.spark = graph.sparkSession
         self.name = f"auditloom_links_{uuid.uuid4().hex}"
         buckets = partitions_for(self.spark, n_nodes, BUCKET_NODES)
-        adjacency(graph, buckets).write.format("parquet").bucketBy(buckets, "node").option("path", scratch(self.spark, "links")).saveAsTable(self.name)
+        adjacency(graph, buckets).write.format("parquet").bucketBy(buckets, "node").option("parquet.block.size", ROW_GROUP).option("path", scratch(self.spark, "links")).saveAsTable(self.name)
         self.df = self.spark.table(self.name)
 
     def drop(self) -> None:
@@ -431,6 +456,11 @@ def _blocks(keys: DataFrame, size: int) -> list[DataFrame]:
 
 def nearest_neighbours(table: DataFrame, *, every: int = 50, k: int = 5, beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row whose id is divisible by ``every``."""
+    with wide_rows(table.sparkSession):
+        return _found(table, every, k, beam)
+
+
+def _found(table: DataFrame, every: int, k: int, beam: int) -> DataFrame:
     spark = table.sparkSession
     vectors = materialize(valid_vectors(table), "vectors")
     each = vectors.groupBy("node").agg(F.first("vector").alias("vector"))
